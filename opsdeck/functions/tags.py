@@ -1,4 +1,8 @@
-"""Tag tests over a ``tags map<string,string>`` column (instance tags)."""
+"""Tag tests over a ``tags map<string,string>`` column (instance tags).
+
+Convention: a tag is present when its value is non-null; a null value and a missing key
+both mean "absent" (the cloud API never returns null tag values).
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,12 @@ from pyspark.sql import functions as F
 
 
 def tag(key: str, tags: str | Column = "tags") -> Column:
-    """Value of one tag; null when the tag is missing."""
+    """Value of one tag; null when the tag is missing.
+
+    ``element_at`` rather than ``tags[key]``: the latter is null-intolerant, and constraint
+    inference then derives not-null facts through whatever expression built the map, which
+    can grow combinatorially when that expression has many branches.
+    """
     return F.element_at(_col(tags), F.lit(key))
 
 
@@ -27,7 +36,7 @@ def tag_equals(key: str, value: str, tags: str | Column = "tags") -> Column:
 
 def tag_exists(key: str, tags: str | Column = "tags") -> Column:
     """Tag present with any value, the empty value included."""
-    return F.coalesce(F.map_contains_key(_col(tags), F.lit(key)), F.lit(False))
+    return tag(key, tags).isNotNull()
 
 
 def present_and_not(value: Column, *excluded: str) -> Column:
@@ -38,12 +47,16 @@ def present_and_not(value: Column, *excluded: str) -> Column:
 def entries_to_map(entries: str | Column, key_field: str = "Key", value_field: str = "Value") -> Column:
     """Array of (key, value) structs -> map; when a key repeats, the last entry wins.
 
-    A left fold that drops an earlier entry of the same key before adding each entry, so the
-    result does not depend on the session's ``spark.sql.mapKeyDedupPolicy``. The input array
-    is referenced once, which keeps plans small when the optimizer substitutes this
-    expression into pushed-down filters. Entries with a null key are skipped; a null array
-    gives an empty map. Cost is quadratic in the tags of one instance (a few dozen at most).
+    Rows whose keys are unique and non-null (the normal case) take a code-generated path,
+    ``map_from_arrays``; the test is one ``array_except`` (drops nulls and repeats). Other
+    rows take a left fold that removes an earlier entry of the same key before adding each
+    entry and skips null keys, so the result never depends on the session's
+    ``spark.sql.mapKeyDedupPolicy``. A null array gives an empty map.
     """
+    arr = F.coalesce(_col(entries), F.array().cast(
+        f"array<struct<{key_field}:string,{value_field}:string>>"))
+    keys, values = arr[key_field], arr[value_field]
+    clean = F.size(F.array_except(keys, F.array(F.lit(None).cast("string")))) == F.size(keys)
     empty = F.create_map().cast("map<string,string>")
 
     def step(acc: Column, e: Column) -> Column:
@@ -51,7 +64,7 @@ def entries_to_map(entries: str | Column, key_field: str = "Key", value_field: s
         kept = F.map_filter(acc, lambda k, _v: k != key)
         return F.when(key.isNull(), acc).otherwise(F.map_concat(kept, F.create_map(key, e[value_field])))
 
-    return F.aggregate(F.coalesce(_col(entries), F.array()), empty, step)
+    return F.when(clean, F.map_from_arrays(keys, values)).otherwise(F.aggregate(arr, empty, step))
 
 
 def _col(c: str | Column) -> Column:

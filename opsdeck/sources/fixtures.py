@@ -8,11 +8,11 @@ code. The derived tables grow linearly with the source tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsdeck.functions.tags import entries_to_map
 from opsdeck.functions.timefns import iso_z, iso_z_millis
+from opsdeck.sources.landing import land_once
 
 # Proxy log lines rebuilt from events: ~1/11 lack the process marker, ~1/13 use OPTIONS.
 ACCESS_LOG_SQL = """
@@ -88,14 +88,8 @@ def access_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ACCESS_LOG_SQL, events=load(spark, sf_dir, "events"))
 
 
-def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat instances with their tag entry array ``Tags`` as the API lists it.
-
-    Every 19th instance carries an extra leading ``role`` entry that its real ``role`` tag
-    overrides (a repeated key: the last one wins).
-    """
-    facts = spark.sql(INSTANCE_FACTS_SQL, orders=load(spark, sf_dir, "orders"),
-                      customer=load(spark, sf_dir, "customer"))
+def _tag_values(facts: DataFrame) -> list[tuple[str, Column]]:
+    """(key, value) of every tag an instance may carry; a null value means the tag is absent."""
     launch = F.col("launch_time")
     launched_ts = launch + F.make_dt_interval(F.lit(0), F.col("launched_at_hours"))
     launched_at = F.when(F.col("stamp_millis"), iso_z_millis(launched_ts)).otherwise(iso_z(launched_ts))
@@ -103,8 +97,7 @@ def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     terminate_after = (F.when(F.col("ttl_days").isNull(), F.lit(None).cast("string"))
                        .when(F.col("terminate_after_empty"), F.lit(""))
                        .otherwise(iso_z_millis(terminate_ts)))
-    entries = [
-        ("role", F.when(F.col("decoy_role"), F.lit("prod"))),
+    return [
         ("role", F.col("role")),
         ("build", F.col("build")),
         ("hostname", F.col("hostname")),
@@ -115,6 +108,22 @@ def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("launched_at", launched_at),
         ("terminate_after", terminate_after),
     ]
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(INSTANCE_FACTS_SQL, orders=load(spark, sf_dir, "orders"),
+                     customer=load(spark, sf_dir, "customer"))
+
+
+def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat instances with their tag entry array ``Tags`` as the API lists it (absent tags
+    left out).
+
+    Every 19th instance carries an extra leading ``role`` entry that its real ``role`` tag
+    overrides (a repeated key: the last one wins).
+    """
+    facts = _facts(spark, sf_dir)
+    entries = [("role", F.when(F.col("decoy_role"), F.lit("prod")))] + _tag_values(facts)
     tags = F.filter(F.array(*[F.struct(F.lit(k).alias("Key"), v.alias("Value")) for k, v in entries]),
                     lambda e: e["Value"].isNotNull())
     return facts.select("res_pos", "inst_pos", "instance_id", "launch_time", "private_ip", "state",
@@ -122,10 +131,21 @@ def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat instances ``res_pos, inst_pos, instance_id, launch_time, private_ip, state, tags``."""
-    raw = raw_instances(spark, sf_dir)
-    return raw.select("res_pos", "inst_pos", "instance_id", "launch_time", "private_ip", "state",
-                      entries_to_map("Tags").alias("tags"))
+    """Flat instances ``res_pos, inst_pos, instance_id, launch_time, private_ip, state, tags``,
+    landed once per session as a parquet table (null tag value = absent tag).
+
+    Reports run over the landed table as they would over a landed inventory. Left as an
+    expression-built map, every pushed-down report filter would carry the whole map builder
+    and constraint inference over those copies grows combinatorially.
+    """
+    def build() -> DataFrame:
+        facts = _facts(spark, sf_dir)
+        keys, values = zip(*_tag_values(facts))
+        tags = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*values))
+        return facts.select("res_pos", "inst_pos", "instance_id", "launch_time", "private_ip", "state",
+                            tags.alias("tags"))
+
+    return land_once(spark, f"instances/{sf_dir}", build)
 
 
 def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
