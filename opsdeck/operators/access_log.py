@@ -1,7 +1,8 @@
 """Access-log parsing and per-endpoint aggregation.
 
-Plan shape: text scan -> Filter(contains marker) -> Project(one regexp_replace + split)
--> Filter -> HashAggregate(partial) -> Exchange(method, url) -> HashAggregate(final).
+Plan shape: text scan -> Filter(contains marker) -> Project(one regexp_replace)
+-> Generate(keep matched) -> Project(split) -> HashAggregate(partial) -> Exchange(method,
+url) -> HashAggregate(final).
 The partial aggregate is a map-side combine, so a hot endpoint costs one row per map task
 in the shuffle, not one row per request.
 """
@@ -35,7 +36,12 @@ def parse_access_log(lines: DataFrame, marker: str | None, pattern: str = LOG_PA
     if strategy == "single":
         whole = "(?s)^.*?" + pattern + ".*$"
         packed = F.regexp_replace(line, F.lit(whole), F.lit("$1 $2 $3 $4 $5"))
-        df = df.select(packed.alias("_packed"), line.alias("_line")).filter(F.col("_packed") != F.col("_line"))
+        rewritten = df.select(packed.alias("_packed"), line.alias("_line"))
+        # Keep matched lines with an explode of a zero-or-one element array rather than a
+        # Filter: the optimizer pushes a Filter below the projection and substitutes the
+        # regexp_replace into it, which would run the regex twice per line.
+        matched = F.when(F.col("_packed") != F.col("_line"), F.array(F.col("_packed")))
+        df = rewritten.select(F.explode(matched).alias("_packed"))
         parts = F.split(F.col("_packed"), " ")
         groups = [parts.getItem(i) for i in range(5)]
     elif strategy == "extract":
