@@ -42,3 +42,11 @@ def owner_or_unknown(name: Column, script_truth: bool) -> Column:
     """Owner label: ``Unknown`` when missing or empty; with ``script_truth`` also when ``'0'``."""
     bad = ("", "0") if script_truth else ("",)
     return F.when(F.coalesce(~name.isin(*bad), F.lit(False)), name).otherwise(F.lit("Unknown"))
+
+
+def comma_list(text: Column) -> Column:
+    """``a,b,c`` -> ``a, b, c``; ``n/a`` when missing, empty or ``'0'``. Trailing empty items
+    are dropped, as a script-style split does."""
+    items = F.regexp_replace(text, ",+$", "")
+    return F.when(F.coalesce(~text.isin("", "0"), F.lit(False)), F.replace(items, F.lit(","), F.lit(", "))) \
+        .otherwise(F.lit("n/a"))

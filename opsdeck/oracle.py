@@ -195,6 +195,12 @@ select build, owner, lower(link_host) as hostname, 'https://www.' || link_host a
   'http://' || link_host || ':9000' as portainer, 'n/a' as expires, {_created("launched")} as created,
   age_days, {_age_label("age_days")} as age_label, age_days >= 30 as overdue, last_severity as severity
 from rl
+""",
+    "listing_counts": f"""
+with {_INST}, {_RUNNING_ROWS}
+select (select count(distinct build) from inst where role = 'test' and build is not null and build <> 'baseimage')
+    as n_fleet_builds,
+  (select count(*) from rl) as n_running_builds
 """,
     "age_digest": f"""
 with {_INST},

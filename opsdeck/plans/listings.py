@@ -179,3 +179,11 @@ def broker_lookup(instances: DataFrame, brokers: DataFrame, *,
     """J1 on its own: ``build, rabbit`` for every listed build (``''`` without a broker)."""
     builds = fleet_builds(instances, exclude_builds).select(tag("build").alias("build")).distinct()
     return attach_brokers(builds, brokers, region)
+
+
+def listing_counts(fleet: DataFrame, running: DataFrame) -> DataFrame:
+    """Number of builds in each listing, as one row (one aggregate over both listings)."""
+    tagged = fleet.select(F.lit("fleet").alias("listing")).unionByName(
+        running.select(F.lit("running").alias("listing")))
+    return tagged.agg(F.count_if(F.col("listing") == "fleet").alias("n_fleet_builds"),
+                      F.count_if(F.col("listing") == "running").alias("n_running_builds"))

@@ -94,6 +94,10 @@ def running_listing(spark, sf_dir):
     return listings.running_listing(fx.instances(spark, sf_dir), fx.AS_OF)
 
 
+def listing_counts(spark, sf_dir):
+    return listings.listing_counts(fleet_listing(spark, sf_dir), running_listing(spark, sf_dir))
+
+
 def age_digest(spark, sf_dir):
     return digests.age_digest(fx.instances(spark, sf_dir), fx.AS_OF, ignore_owner=fx.IGNORE_OWNER)
 
@@ -143,6 +147,7 @@ QUERIES: dict[str, Query] = {
     "hostname_fallback": hostname_fallback,
     "fleet_listing": fleet_listing,
     "running_listing": running_listing,
+    "listing_counts": listing_counts,
     "age_digest": age_digest,
     "expiry_digest": expiry_digest,
     "cost_totals": cost_totals,

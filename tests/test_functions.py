@@ -116,3 +116,11 @@ def test_small_renderers(spark):
                      owner_or_unknown(F.col("o"), False)).collect()
     assert [tuple(r) for r in rows] == [("a", 2, "Unknown", "Unknown"), ("x", 1, "Unknown", "0"),
                                         (None, -3, "Unknown", "Unknown")]
+
+
+def test_comma_list(spark):
+    from opsdeck.functions.text import comma_list
+    vals = ["a,b,c", "a,,b", "a,b,,", "x", "", "0", None]
+    df = spark.createDataFrame([(v,) for v in vals], "x string")
+    assert [r.r for r in df.select(comma_list(F.col("x")).alias("r")).collect()] == \
+        ["a, b, c", "a, , b", "a, b", "x", "n/a", "n/a", "n/a"]
