@@ -17,6 +17,13 @@ def test_fleet(instances: DataFrame, role: str = ROLE_TAG_VALUE) -> DataFrame:
 
 
 def in_state(state: str) -> Column:
+    """Filter predicate on the instance state. Left as a plain comparison (a null state is
+    dropped by the filter anyway) so that it is pushed into the scan."""
+    return F.col("state") == F.lit(state)
+
+
+def is_state(state: str) -> Column:
+    """Boolean output column: the instance is in ``state`` (false, never null, when unknown)."""
     return F.coalesce(F.col("state") == F.lit(state), F.lit(False))
 
 

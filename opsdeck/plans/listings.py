@@ -18,7 +18,7 @@ from opsdeck.functions.timefns import (as_of_lit, calendar_days, created_display
                                        parse_iso)
 from opsdeck.operators.collapse import last_by
 from opsdeck.operators.joins import join_small
-from opsdeck.plans.fleet import in_state, order_columns, test_fleet
+from opsdeck.plans.fleet import in_state, is_state, order_columns, test_fleet
 
 
 def _links(host: Column, site: str, admin_site: str | None = None) -> list[Column]:
@@ -95,7 +95,7 @@ def fleet_listing(instances: DataFrame, brokers: DataFrame, as_of, *,
         age.alias("age_days"),
         age_label(age).alias("age_label"),
         severity(age, warn_days, danger_days, strict=True).alias("severity"),
-        in_state("running").alias("running"),
+        is_state("running").alias("running"),
     )
     listing = attach_brokers(listing, brokers, region)
     cols = ["build", "owner", "hostname", "website", "portainer", "admin", "rabbit",

@@ -16,7 +16,7 @@ from opsdeck.functions.urls import default_url_rules
 from opsdeck.operators.access_log import parse_access_log
 from opsdeck.operators.nested import flatten_instances, nest_instances
 from opsdeck.plans import costs, digests, lifecycle, listings, traffic
-from opsdeck.plans.fleet import in_state
+from opsdeck.plans.fleet import is_state
 from opsdeck.sources import fixtures as fx
 
 RULES = default_url_rules(fx.ID_PREFIX)
@@ -60,7 +60,7 @@ def tag_filters(spark, sf_dir):
         tag_truthy("build").alias("build_truthy"),
         tag_truthy("hostname").alias("hostname_truthy"),
         present_and_not(tag("launched_by_email"), fx.IGNORE_OWNER).alias("owner_email_ok"),
-        in_state("running").alias("running"),
+        is_state("running").alias("running"),
         tag_exists("no_age_alert").alias("no_age_alert_defined"),
     )
 
