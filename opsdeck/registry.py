@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from opsdeck.functions.tags import present_and_not, tag, tag_equals, tag_exists, tag_truthy
 from opsdeck.functions.urls import default_url_rules
 from opsdeck.operators.access_log import parse_access_log
-from opsdeck.operators.nested import flatten_instances, nest_instances
+from opsdeck.operators.nested import flatten_instances
 from opsdeck.plans import costs, digests, lifecycle, listings, traffic
 from opsdeck.plans.fleet import is_state
 from opsdeck.sources import fixtures as fx
@@ -42,7 +42,7 @@ def endpoint_stats_all(spark, sf_dir):
 
 
 def instances_flattened(spark, sf_dir):
-    flat = flatten_instances(nest_instances(fx.raw_instances(spark, sf_dir)))
+    flat = flatten_instances(fx.inventory_docs(spark, sf_dir))
     tag_cols = [tag(k).alias(k) for k in ("role", "build", "hostname", "launched_by_name",
                                           "launched_by_email", "no_age_alert")]
     return flat.select("page", "res_pos", "inst_pos", "instance_id", "launch_time", "private_ip", "state",

@@ -148,6 +148,15 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return land_once(spark, f"instances/{sf_dir}", build)
 
 
+def inventory_docs(spark: SparkSession, sf_dir: str, page_size: int = 10) -> DataFrame:
+    """Nested instance-listing pages ``page, Reservations`` (as the cloud API returns them),
+    built from ``raw_instances`` and landed once per session as nested parquet."""
+    from opsdeck.operators.nested import nest_instances
+
+    return land_once(spark, f"inventory_docs/{page_size}/{sf_dir}",
+                     lambda: nest_instances(raw_instances(spark, sf_dir), page_size=page_size))
+
+
 def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BROKERS_SQL, supplier=load(spark, sf_dir, "supplier"))
 
