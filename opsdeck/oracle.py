@@ -132,6 +132,7 @@ from urls
 """,
     "endpoint_stats": f"{_ENDPOINTS} order by requests desc, method, url limit 50",
     "endpoint_stats_all": _ENDPOINTS,
+    "endpoint_stats_streamed": _ENDPOINTS,
     "instances_flattened": f"""
 with {_INST}
 select cast(res_pos // 10 as bigint) as page, res_pos % 10 as res_pos, inst_pos, instance_id, launch_time,

@@ -6,6 +6,7 @@ the oracle SQL of the same key in ``opsdeck.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from opsdeck.operators.access_log import parse_access_log
 from opsdeck.operators.nested import flatten_instances
 from opsdeck.plans import costs, digests, lifecycle, listings, traffic
 from opsdeck.plans.fleet import is_state
+from opsdeck.session import ensure_checkpoint_dir
 from opsdeck.sources import fixtures as fx
+from opsdeck.streaming import log_stream
 
 RULES = default_url_rules(fx.ID_PREFIX)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +44,19 @@ def endpoint_stats_all(spark, sf_dir):
     return traffic.endpoint_stats(fx.access_log_lines(spark, sf_dir), fx.LOG_MARKER, RULES, limit=None)
 
 
+def endpoint_stats_streamed(spark, sf_dir):
+    """R1 through Structured Streaming: the derived log files are processed as a stream
+    (available-now trigger) and the current per-endpoint table is read back."""
+    folder = fx.access_log_folder(spark, sf_dir)
+    run = uuid.uuid4().hex
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-stream/{run}"
+    stats = log_stream.endpoint_stats_stream(spark, folder, fx.LOG_MARKER, RULES, glob="*.txt")
+    query = log_stream.start_endpoint_stats(stats, f"{base}/out", checkpoint=f"{base}/checkpoint",
+                                            available_now=True, name=f"endpoint_stats_{run}")
+    query.awaitTermination()
+    return log_stream.latest_endpoint_stats(spark, f"{base}/out")
+
+
 def instances_flattened(spark, sf_dir):
     flat = flatten_instances(fx.inventory_docs(spark, sf_dir))
     tag_cols = [tag(k).alias(k) for k in ("role", "build", "hostname", "launched_by_name",
@@ -139,6 +155,7 @@ QUERIES: dict[str, Query] = {
     "url_normalized": url_normalized,
     "endpoint_stats": endpoint_stats,
     "endpoint_stats_all": endpoint_stats_all,
+    "endpoint_stats_streamed": endpoint_stats_streamed,
     "instances_flattened": instances_flattened,
     "tag_filters": tag_filters,
     "build_last_wins": build_last_wins,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdeck.functions.timefns import iso_z, iso_z_millis
-from opsdeck.sources.landing import land_once
+from opsdeck.sources.landing import land_once, land_text_once
 
 # Proxy log lines rebuilt from events: ~1/11 lack the process marker, ~1/13 use OPTIONS.
 ACCESS_LOG_SQL = """
@@ -115,6 +115,11 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      customer=load(spark, sf_dir, "customer"))
 
 
+def access_log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The derived proxy lines written once per session as text files (``part-*.txt``)."""
+    return land_text_once(spark, f"access_log/{sf_dir}", lambda: access_log_lines(spark, sf_dir))
+
+
 def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat instances with their tag entry array ``Tags`` as the API lists it (absent tags
     left out).

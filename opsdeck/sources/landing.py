@@ -32,3 +32,13 @@ def land_once(spark: SparkSession, key: str, build) -> DataFrame:
         landed = land(build(), key.replace("/", "_"))
         _LANDED[cache_key] = landed.inputFiles()[0].rsplit("/", 1)[0]
     return spark.read.parquet(_LANDED[cache_key])
+
+
+def land_text_once(spark: SparkSession, key: str, build) -> str:
+    """Write a one-column string DataFrame once per session and key as text files; return the folder."""
+    cache_key = (spark.sparkContext.applicationId, "text:" + key)
+    if cache_key not in _LANDED:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-landed/{key.replace('/', '_')}-{uuid.uuid4().hex}"
+        build().write.mode("errorifexists").text(path)
+        _LANDED[cache_key] = path
+    return _LANDED[cache_key]
