@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +13,14 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Join ``big`` to a lookup table, broadcasting the lookup only when its size is proven small.
 
-    The proof is a count of at most ``max_broadcast_rows + 1`` rows of ``small`` (one bounded
-    job over the lookup side only). Beyond the bound the join is left to the planner: a
-    shuffled sort-merge join, which AQE may still turn into a broadcast or split for skew.
+    The proof is a count of at most ``max_broadcast_rows + 1`` rows of ``small``. The lookup is
+    persisted first, so the count computes it once and the broadcast reads those cached rows
+    (the cache is bounded by the same check; lost blocks are recomputed from lineage).
+    Beyond the bound the cache is dropped and the join is left to the planner: a shuffled
+    sort-merge join, which AQE may still turn into a broadcast or split for skew.
     """
-    if small.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        small = F.broadcast(small)
+    cached = small.persist(StorageLevel.MEMORY_AND_DISK)
+    if cached.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        return big.join(F.broadcast(cached), on, how)
+    cached.unpersist()
     return big.join(small, on, how)
