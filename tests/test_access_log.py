@@ -153,3 +153,12 @@ def test_read_access_log_folder_rules(spark):
             f.write(line(url="/" + os.path.basename(name).replace(".", "_")) + "\n")
     urls = sorted(r.url for r in parse_access_log(read_access_log(spark, folder), "edge_proxy").collect())
     assert urls == ["/a_log", "/b_tsv"]
+
+
+def test_oversized_numbers_do_not_fail_the_job(spark):
+    # status and size wider than bigint become null (the job keeps running under ANSI mode)
+    rows = [line(url="/big", status=200, size=10**25), line(url="/big", status=200, size=5)]
+    out = parse_access_log(lines_df(spark, rows), "edge_proxy").collect()
+    assert sorted((r.resp_bytes is None, r.status) for r in out) == [(False, 200), (True, 200)]
+    stats = endpoint_stats(lines_df(spark, rows), "edge_proxy", RULES).first()
+    assert stats.requests == 2 and stats.n_2xx == 2
