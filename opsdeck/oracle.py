@@ -131,6 +131,7 @@ select url, regexp_replace(regexp_replace(regexp_replace(url_decode(url),
 from urls
 """,
     "endpoint_stats": f"{_ENDPOINTS} order by requests desc, method, url limit 50",
+    "endpoint_stats_files": f"{_ENDPOINTS} order by requests desc, method, url limit 50",
     "endpoint_stats_all": _ENDPOINTS,
     "endpoint_stats_streamed": _ENDPOINTS,
     "instances_flattened": f"""

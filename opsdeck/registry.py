@@ -20,6 +20,7 @@ from opsdeck.plans import costs, digests, lifecycle, listings, traffic
 from opsdeck.plans.fleet import is_state
 from opsdeck.session import ensure_checkpoint_dir
 from opsdeck.sources import fixtures as fx
+from opsdeck.sources.logs import read_access_log
 from opsdeck.streaming import log_stream
 
 RULES = default_url_rules(fx.ID_PREFIX)
@@ -40,6 +41,12 @@ def endpoint_stats(spark, sf_dir):
     return traffic.endpoint_stats(fx.access_log_lines(spark, sf_dir), fx.LOG_MARKER, RULES)
 
 
+def endpoint_stats_files(spark, sf_dir):
+    """R1 read the production way: plain log files in a folder through ``read_access_log``."""
+    lines = read_access_log(spark, fx.access_log_folder(spark, sf_dir), glob="*.txt")
+    return traffic.endpoint_stats(lines, fx.LOG_MARKER, RULES)
+
+
 def endpoint_stats_all(spark, sf_dir):
     return traffic.endpoint_stats(fx.access_log_lines(spark, sf_dir), fx.LOG_MARKER, RULES, limit=None)
 
@@ -154,6 +161,7 @@ QUERIES: dict[str, Query] = {
     "access_log_parsed": access_log_parsed,
     "url_normalized": url_normalized,
     "endpoint_stats": endpoint_stats,
+    "endpoint_stats_files": endpoint_stats_files,
     "endpoint_stats_all": endpoint_stats_all,
     "endpoint_stats_streamed": endpoint_stats_streamed,
     "instances_flattened": instances_flattened,

@@ -80,6 +80,12 @@ def duckdb_sql(text: str) -> str:
     return text.format(events="events", orders="orders", customer="customer", supplier="supplier")
 
 
+def _landed_files(spark: SparkSession) -> int:
+    """Landed tables are written as several files, like any landed table, so their scans
+    run as parallel tasks (one file per default-parallelism slot)."""
+    return spark.sparkContext.defaultParallelism
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -117,7 +123,8 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def access_log_folder(spark: SparkSession, sf_dir: str) -> str:
     """The derived proxy lines written once per session as text files (``part-*.txt``)."""
-    return land_text_once(spark, f"access_log/{sf_dir}", lambda: access_log_lines(spark, sf_dir))
+    return land_text_once(spark, f"access_log/{sf_dir}", lambda: access_log_lines(spark, sf_dir),
+                          files=_landed_files(spark))
 
 
 def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +157,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
         return facts.select("res_pos", "inst_pos", "instance_id", "launch_time", "private_ip", "state",
                             tags.alias("tags"))
 
-    return land_once(spark, f"instances/{sf_dir}", build)
+    return land_once(spark, f"instances/{sf_dir}", build, files=_landed_files(spark))
 
 
 def inventory_docs(spark: SparkSession, sf_dir: str, page_size: int = 10) -> DataFrame:
@@ -159,7 +166,8 @@ def inventory_docs(spark: SparkSession, sf_dir: str, page_size: int = 10) -> Dat
     from opsdeck.operators.nested import nest_instances
 
     return land_once(spark, f"inventory_docs/{page_size}/{sf_dir}",
-                     lambda: nest_instances(raw_instances(spark, sf_dir), page_size=page_size))
+                     lambda: nest_instances(raw_instances(spark, sf_dir), page_size=page_size),
+                     files=_landed_files(spark))
 
 
 def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
