@@ -47,3 +47,14 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert df.columns == ["method", "url", "requests", "avg_resp_time_ms", "avg_resp_bytes", "n_2xx", "n_4xx", "n_5xx"]
     assert 0 < len(rows) <= 50
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+def test_column_types_match_oracle(spark, duck, name):
+    spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in entry_mod.queries()[name](spark, SF).dtypes}
+    duck_types = {r[0]: r[1] for r in duck.execute(f"describe {entry_mod.oracle_sql()[name]}").fetchall()}
+    assert spark_types == duck_types
