@@ -48,3 +48,16 @@ MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "
 ACTION_TERMINATE = "terminate"
 ACTION_STOP = "stop"
 ACTION_START = "start"
+
+# --- rendered texts ----------------------------------------------------------------------
+AGE_TODAY = "Today"
+AGE_AGO_SUFFIX = " ago"
+UNKNOWN_OWNER = "Unknown"
+NOT_AVAILABLE = "n/a"
+AGE_DIGEST_ITEM_FORMAT = "%s, running for %s"
+EXPIRY_DIGEST_ITEM_FORMAT = "%s, created %s ago will be terminated on the evening of %s."
+AGE_ZERO_TEXT = "less than a day"
+DIGEST_SUBJECT_LEAD = "You have "
+BOX_ITEM_FORMAT = "_*%s*_: %dd, £%d"
+USER_ITEM_FORMAT = "_*%s*_: x%d, %dd"
+TOTALS_FORMAT = "*%d* instances (*£%d/day*)\n*%d* cumulative days (*£%d*)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opsdeck.constants import AGE_AGO_SUFFIX, AGE_TODAY, NOT_AVAILABLE, UNKNOWN_OWNER
+
 
 def plural(n: Column, word: str) -> Column:
     """``1 day`` / ``2 days`` / ``0 days``."""
@@ -13,8 +15,8 @@ def plural(n: Column, word: str) -> Column:
 
 def age_label(days: Column) -> Column:
     """``Today`` for 0, ``1 day ago``, otherwise ``n days ago`` (negative ages included)."""
-    return (F.when(days == 0, F.lit("Today"))
-            .otherwise(F.concat(plural(days, "day"), F.lit(" ago"))))
+    return (F.when(days == 0, F.lit(AGE_TODAY))
+            .otherwise(F.concat(plural(days, "day"), F.lit(AGE_AGO_SUFFIX))))
 
 
 def severity(age: Column, warn_days: int, danger_days: int, strict: bool) -> Column:
@@ -41,7 +43,7 @@ def to_pounds(pence: Column) -> Column:
 def owner_or_unknown(name: Column, script_truth: bool) -> Column:
     """Owner label: ``Unknown`` when missing or empty; with ``script_truth`` also when ``'0'``."""
     bad = ("", "0") if script_truth else ("",)
-    return F.when(F.coalesce(~name.isin(*bad), F.lit(False)), name).otherwise(F.lit("Unknown"))
+    return F.when(F.coalesce(~name.isin(*bad), F.lit(False)), name).otherwise(F.lit(UNKNOWN_OWNER))
 
 
 def comma_list(text: Column) -> Column:
@@ -49,4 +51,4 @@ def comma_list(text: Column) -> Column:
     are dropped, as a script-style split does."""
     items = F.regexp_replace(text, ",+$", "")
     return F.when(F.coalesce(~text.isin("", "0"), F.lit(False)), F.replace(items, F.lit(","), F.lit(", "))) \
-        .otherwise(F.lit("n/a"))
+        .otherwise(F.lit(NOT_AVAILABLE))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsdeck.constants import DAY_PRICE_PENCE
+from opsdeck.constants import BOX_ITEM_FORMAT, DAY_PRICE_PENCE, TOTALS_FORMAT, USER_ITEM_FORMAT
 from opsdeck.functions.tags import tag
 from opsdeck.functions.text import short_name, to_pounds
 from opsdeck.functions.timefns import as_of_lit, elapsed_days
@@ -36,7 +36,7 @@ def cost_totals(costs: DataFrame, day_price: int = DAY_PRICE_PENCE) -> DataFrame
     )
     todays = (F.col("total_instances") * F.lit(day_price)).alias("todays_price_pence")
     out = totals.select("*", todays)
-    summary = F.format_string("*%d* instances (*£%d/day*)\n*%d* cumulative days (*£%d*)",
+    summary = F.format_string(TOTALS_FORMAT,
                               F.col("total_instances"), to_pounds(F.col("todays_price_pence")),
                               F.col("total_days"), to_pounds(F.col("total_price_pence")))
     return out.select("total_instances", "total_days", "total_price_pence", "todays_price_pence",
@@ -49,7 +49,7 @@ def cost_by_box(costs: DataFrame, by: str = "age") -> DataFrame:
     """One row per box with its rendered item; ``by="age"`` oldest first (age then name,
     both descending), ``by="name"`` by short name."""
     pounds = to_pounds(F.col("price_pence"))
-    item = F.format_string("_*%s*_: %dd, £%d", F.col("short_name"), F.col("age_days"), pounds)
+    item = F.format_string(BOX_ITEM_FORMAT, F.col("short_name"), F.col("age_days"), pounds)
     item = F.when(F.col("short_name").isNotNull() & F.col("age_days").isNotNull(), item)
     boxes = costs.select("*", pounds.alias("price_pounds"), item.alias("item_text"))
     if by == "age":
@@ -65,7 +65,7 @@ def cost_by_owner(costs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("instance_count"),
         F.coalesce(F.sum("age_days"), F.lit(0)).cast("bigint").alias("instance_days"),
     )
-    item = F.format_string("_*%s*_: x%d, %dd", F.col("owner"), F.col("instance_count"), F.col("instance_days"))
+    item = F.format_string(USER_ITEM_FORMAT, F.col("owner"), F.col("instance_count"), F.col("instance_days"))
     return per_owner.select("*", F.when(F.col("owner").isNotNull(), item).alias("item_text")).orderBy("owner")
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsdeck.constants import AGE_DIGEST_MIN_DAYS, EXPIRY_DIGEST_WITHIN_DAYS
+from opsdeck.constants import (AGE_DIGEST_ITEM_FORMAT, AGE_DIGEST_MIN_DAYS, AGE_ZERO_TEXT,
+                               DIGEST_SUBJECT_LEAD, EXPIRY_DIGEST_ITEM_FORMAT, EXPIRY_DIGEST_WITHIN_DAYS)
 from opsdeck.functions.tags import present_and_not, tag, tag_truthy
 from opsdeck.functions.text import plural
 from opsdeck.functions.timefns import as_of_lit, elapsed_days, expiry_phrase, parse_iso
@@ -34,7 +35,7 @@ def with_owner_header(items: DataFrame, subject_prefix: str = DEFAULT_SUBJECT_PR
     it when small and splits a hot owner's partition when skewed.
     """
     counts = items.groupBy("owner").agg(F.count(F.lit(1)).alias("n_instances"))
-    subject = F.concat(F.lit(subject_prefix + "You have "), plural(F.col("n_instances"), "running instance"))
+    subject = F.concat(F.lit(subject_prefix + DIGEST_SUBJECT_LEAD), plural(F.col("n_instances"), "running instance"))
     return items.join(counts, "owner").withColumn("subject", subject)
 
 
@@ -53,13 +54,13 @@ def age_digest(instances: DataFrame, as_of, *, min_days: int = AGE_DIGEST_MIN_DA
         tag("launched_by_email").alias("owner"), tag("build").alias("build"), *order, age.alias("age_days"))
     rows = rows.filter(F.col("age_days") >= min_days)
     last = last_by(rows, ["owner", "build"], order)
-    item = F.concat(F.col("build"), F.lit(", running for "), plural(F.col("age_days"), "day"))
+    item = F.format_string(AGE_DIGEST_ITEM_FORMAT, F.col("build"), plural(F.col("age_days"), "day"))
     items = last.select("owner", "build", "age_days", item.alias("item_text"))
     return with_owner_header(items, subject_prefix).orderBy("owner", "build")
 
 
 def _age_text(age: Column) -> Column:
-    return F.when(age == 0, F.lit("less than a day")).otherwise(plural(age, "day"))
+    return F.when(age == 0, F.lit(AGE_ZERO_TEXT)).otherwise(plural(age, "day"))
 
 
 def expiry_digest(instances: DataFrame, as_of, *, within_days: int = EXPIRY_DIGEST_WITHIN_DAYS,
@@ -82,7 +83,8 @@ def expiry_digest(instances: DataFrame, as_of, *, within_days: int = EXPIRY_DIGE
         expiry_phrase(expires).alias("expires_on"))
     rows = rows.filter(F.col("expires_days") <= within_days)
     last = last_by(rows, ["owner", "build"], order)
-    item = F.concat(F.col("build"), F.lit(", created "), _age_text(F.col("age_days")),
-                    F.lit(" ago will be terminated on the evening of "), F.col("expires_on"), F.lit("."))
+    age_text = _age_text(F.col("age_days"))
+    item = F.when(age_text.isNotNull() & F.col("expires_on").isNotNull(),
+                  F.format_string(EXPIRY_DIGEST_ITEM_FORMAT, F.col("build"), age_text, F.col("expires_on")))
     items = last.select("owner", "build", "age_days", "expires_days", "expires_on", item.alias("item_text"))
     return with_owner_header(items, subject_prefix).orderBy("owner", "build")

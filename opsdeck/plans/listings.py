@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsdeck.constants import (BROKER_NAME_SEPARATOR, DEFAULT_REGION, FLEET_DANGER_DAYS,
+from opsdeck.constants import (BROKER_CONSOLE_TEMPLATE, BROKER_NAME_SEPARATOR, DEFAULT_REGION, FLEET_DANGER_DAYS,
                                FLEET_EXCLUDED_BUILDS, FLEET_WARN_DAYS, PORTAINER_PORT,
                                RUNNING_DANGER_DAYS, RUNNING_EXPIRES_TEXT, RUNNING_OVERDUE_DAYS,
                                RUNNING_WARN_DAYS)
@@ -39,7 +39,8 @@ def broker_links(brokers: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
     keyed = brokers.select(F.substring_index("broker_name", BROKER_NAME_SEPARATOR, 1).alias("build"),
                            "pos", "broker_id")
     last = last_by(keyed, ["build"], ["pos"])
-    url = F.concat(F.lit("https://"), F.col("broker_id"), F.lit(f".mq.{region}.on.aws"))
+    before, after = BROKER_CONSOLE_TEMPLATE.split("{broker_id}")
+    url = F.concat(F.lit(before), F.col("broker_id"), F.lit(after.format(region=region)))
     return last.select("build", url.alias("rabbit"))
 
 
