@@ -182,9 +182,16 @@ def broker_lookup(instances: DataFrame, brokers: DataFrame, *,
     return attach_brokers(builds, brokers, region)
 
 
-def listing_counts(fleet: DataFrame, running: DataFrame) -> DataFrame:
-    """Number of builds in each listing, as one row (one aggregate over both listings)."""
-    tagged = fleet.select(F.lit("fleet").alias("listing")).unionByName(
-        running.select(F.lit("running").alias("listing")))
-    return tagged.agg(F.count_if(F.col("listing") == "fleet").alias("n_fleet_builds"),
-                      F.count_if(F.col("listing") == "running").alias("n_running_builds"))
+def listing_counts(instances: DataFrame, exclude_builds: Sequence[str] = FLEET_EXCLUDED_BUILDS) -> DataFrame:
+    """Number of builds in the fleet listing (R2) and the running listing (R3), as one row.
+
+    Each listing has exactly one row per qualifying build, so the sizes are two conditional
+    distinct counts over one scan (distinct values are de-duplicated per task before the
+    shuffle) instead of building both listings.
+    """
+    build = tag("build")
+    in_fleet = build.isNotNull() & ~build.isin(*exclude_builds)
+    in_running = tag_truthy("build") & in_state("running")
+    return test_fleet(instances).agg(
+        F.count_distinct(F.when(in_fleet, build)).alias("n_fleet_builds"),
+        F.count_distinct(F.when(in_running, build)).alias("n_running_builds"))

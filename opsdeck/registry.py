@@ -118,7 +118,7 @@ def running_listing(spark, sf_dir):
 
 
 def listing_counts(spark, sf_dir):
-    return listings.listing_counts(fleet_listing(spark, sf_dir), running_listing(spark, sf_dir))
+    return listings.listing_counts(fx.instances(spark, sf_dir), exclude_builds=fx.EXCLUDED_BUILDS)
 
 
 def age_digest(spark, sf_dir):

@@ -166,3 +166,18 @@ def test_extend_lifetime(spark):
     out = [tuple(r) for r in lifecycle.extend_lifetime(inst, req).collect()]
     assert out == [("a", 1.5, "i-1", "first", dt.datetime(2001, 8, 1, 10), dt.datetime(2001, 8, 1, 11, 30),
                     "2001-08-01T11:30:00Z")]
+
+
+def test_listing_counts_equal_listing_sizes(spark):
+    inst = make_instances(spark, [
+        {"instance_id": "i-1", "tags": t(build="a")}, {"instance_id": "i-2", "tags": t(build="a")},
+        {"instance_id": "i-3", "state": "stopped", "tags": t(build="b")},
+        {"instance_id": "i-4", "tags": t(build="0")}, {"instance_id": "i-5", "tags": t(build="skip")},
+        {"instance_id": "i-6", "tags": {"role": "test"}}, {"instance_id": "i-7", "tags": t(role="prod", build="p")},
+    ])
+    brokers = _brokers(spark, [])
+    fleet = listings.fleet_listing(inst, brokers, AS_OF, exclude_builds=("skip",)).count()
+    running = listings.running_listing(inst, AS_OF).count()
+    got = listings.listing_counts(inst, exclude_builds=("skip",)).first()
+    # fleet: a, b, "0" ("skip" excluded); running: a, skip (R3 has no exclusion list)
+    assert (got.n_fleet_builds, got.n_running_builds) == (fleet, running) == (3, 2)
