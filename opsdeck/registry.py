@@ -27,8 +27,13 @@ RULES = default_url_rules(fx.ID_PREFIX)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _log_files(spark, sf_dir):
+    """The derived proxy lines as plain log files in a folder (the production input)."""
+    return read_access_log(spark, fx.access_log_folder(spark, sf_dir), glob="*.txt")
+
+
 def access_log_parsed(spark, sf_dir):
-    return parse_access_log(fx.access_log_lines(spark, sf_dir), fx.LOG_MARKER)
+    return parse_access_log(_log_files(spark, sf_dir), fx.LOG_MARKER)
 
 
 def url_normalized(spark, sf_dir):
@@ -43,12 +48,11 @@ def endpoint_stats(spark, sf_dir):
 
 def endpoint_stats_files(spark, sf_dir):
     """R1 read the production way: plain log files in a folder through ``read_access_log``."""
-    lines = read_access_log(spark, fx.access_log_folder(spark, sf_dir), glob="*.txt")
-    return traffic.endpoint_stats(lines, fx.LOG_MARKER, RULES)
+    return traffic.endpoint_stats(_log_files(spark, sf_dir), fx.LOG_MARKER, RULES)
 
 
 def endpoint_stats_all(spark, sf_dir):
-    return traffic.endpoint_stats(fx.access_log_lines(spark, sf_dir), fx.LOG_MARKER, RULES, limit=None)
+    return traffic.endpoint_stats(_log_files(spark, sf_dir), fx.LOG_MARKER, RULES, limit=None)
 
 
 def endpoint_stats_streamed(spark, sf_dir):
