@@ -21,13 +21,16 @@ BROKER = T.StructType([T.StructField("BrokerId", T.StringType()), T.StructField(
 BROKERS_SCHEMA = T.StructType([T.StructField("BrokerSummaries", T.ArrayType(BROKER))])
 
 
-def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Instance-listing responses -> ``Reservations`` rows (one per response), explicit schema.
+def read_inventory(spark: SparkSession, path: str, multi_line: bool = True, with_page: bool = True) -> DataFrame:
+    """Instance-listing responses -> ``page, Reservations`` rows (one per response), explicit schema.
 
-    A whole-response JSON file cannot be split, so each file is one task; land large
-    inventories as JSON lines (``multi_line=False``), one response or page per line.
+    ``page`` is the source file's path, so several response files order as (file, position in
+    file) and "last listed wins" is well defined across pages; with JSON lines, put one page
+    per file for the same guarantee. A whole-response JSON file cannot be split, so each file
+    is one task; land large inventories as JSON lines (``multi_line=False``).
     """
-    return spark.read.schema(INVENTORY_SCHEMA).option("multiLine", multi_line).json(path)
+    docs = spark.read.schema(INVENTORY_SCHEMA).option("multiLine", multi_line).json(path)
+    return docs.select(F.input_file_name().alias("page"), "Reservations") if with_page else docs
 
 
 def read_brokers(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -55,3 +55,17 @@ def test_read_brokers(spark):
     folder = _folder({"brokers.json": json.dumps(doc, indent=1)})
     assert [tuple(r) for r in read_brokers(spark, folder).collect()] == [(0, "b-1", "a-rabbit-dev"),
                                                                         (1, "b-2", "a-rabbit-dev-2")]
+
+
+def test_last_wins_across_pages(spark):
+    from conftest import AS_OF
+    from opsdeck.plans import listings
+
+    def page(instance_id, owner):
+        return json.dumps({"Reservations": [{"Instances": [{
+            "InstanceId": instance_id, "LaunchTime": "2001-07-01T10:00:00.000Z", "State": {"Name": "running"},
+            "Tags": [{"Key": "role", "Value": "test"}, {"Key": "build", "Value": "a"},
+                     {"Key": "launched_by_name", "Value": owner}]}]}]})
+    folder = _folder({"p1.json": page("i-1", "first"), "p2.json": page("i-2", "second")})
+    inst = flatten_instances(read_inventory(spark, folder))
+    assert [r.owner for r in listings.running_listing(inst, AS_OF).collect()] == ["second"]
