@@ -181,3 +181,25 @@ def test_listing_counts_equal_listing_sizes(spark):
     got = listings.listing_counts(inst, exclude_builds=("skip",)).first()
     # fleet: a, b, "0" ("skip" excluded); running: a, skip (R3 has no exclusion list)
     assert (got.n_fleet_builds, got.n_running_builds) == (fleet, running) == (3, 2)
+
+
+def test_digest_with_a_hot_owner(spark):
+    rows = []
+    for i in range(3000):
+        owner = "hot@e" if i % 3 else f"u{i % 7}@e"
+        rows.append({"instance_id": f"i-{i}", "launch": ago(3 + i % 5),
+                     "tags": t(build=f"b{i % 400}", launched_by_email=owner)})
+    inst = make_instances(spark, rows).repartition(8)
+    out = digests.age_digest(inst, AS_OF, min_days=2, ignore_owner="none@e")
+    per_owner = {r.owner: (r.n, r.k) for r in out.groupBy("owner").agg(F.count("*").alias("n"),
+                                                                       F.max("n_instances").alias("k")).collect()}
+    assert all(n == k for n, k in per_owner.values())          # header count equals its item rows
+    hot_builds = {f"b{i % 400}" for i in range(3000) if i % 3}
+    assert per_owner["hot@e"][0] == len(hot_builds)
+    # each item keeps the age of the last listed instance of that (owner, build)
+    last_age = {}
+    for i in range(3000):
+        if i % 3:
+            last_age[f"b{i % 400}"] = 3 + i % 5
+    got = {r.build: r.age_days for r in out.filter(F.col("owner") == "hot@e").collect()}
+    assert got == last_age
