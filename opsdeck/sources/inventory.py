@@ -30,7 +30,7 @@ def read_inventory(spark: SparkSession, path: str, multi_line: bool = True, with
     is one task; land large inventories as JSON lines (``multi_line=False``).
     """
     docs = spark.read.schema(INVENTORY_SCHEMA).option("multiLine", multi_line).json(path)
-    return docs.select(F.input_file_name().alias("page"), "Reservations") if with_page else docs
+    return docs.select(F.col("_metadata.file_path").alias("page"), "Reservations") if with_page else docs
 
 
 def read_brokers(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
