@@ -28,7 +28,9 @@ def lenient_url_decode(url: Column) -> Column:
     ``%2B``; both then decode back to themselves.
     """
     escaped = F.regexp_replace(url, r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+    decoded = F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+    # Without a '%' the text decodes to itself: skip the regex and the decoder for those rows.
+    return F.when(url.contains("%"), decoded).otherwise(url)
 
 
 def literal_replacement(text: str) -> str:
