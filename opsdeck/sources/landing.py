@@ -17,6 +17,10 @@ from opsdeck.session import ensure_checkpoint_dir
 _LANDED: dict[tuple[str, str], str] = {}
 
 
+def _landing_path(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-landed/{name.replace('/', '_')}-{uuid.uuid4().hex}"
+
+
 def land(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` once as parquet under the checkpoint folder and return a scan of it.
 
@@ -24,17 +28,19 @@ def land(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     run as that many tasks; by default the existing partitioning is written as is.
     """
     spark: SparkSession = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-landed/{name}-{uuid.uuid4().hex}"
+    path = _landing_path(spark, name)
     (df.repartition(files) if files else df).write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
 def land_once(spark: SparkSession, key: str, build, files: int | None = None) -> DataFrame:
-    """``land(build(), key)`` the first time per session and key; later calls re-read the table."""
+    """Land ``build()`` the first time per session and key; later calls re-read the table."""
     cache_key = (spark.sparkContext.applicationId, key)
     if cache_key not in _LANDED:
-        landed = land(build(), key.replace("/", "_"), files)
-        _LANDED[cache_key] = landed.inputFiles()[0].rsplit("/", 1)[0]
+        path = _landing_path(spark, key)
+        df = build()
+        (df.repartition(files) if files else df).write.mode("errorifexists").parquet(path)
+        _LANDED[cache_key] = path
     return spark.read.parquet(_LANDED[cache_key])
 
 
@@ -42,7 +48,7 @@ def land_text_once(spark: SparkSession, key: str, build, files: int | None = Non
     """Write a one-column string DataFrame once per session and key as text files; return the folder."""
     cache_key = (spark.sparkContext.applicationId, "text:" + key)
     if cache_key not in _LANDED:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-landed/{key.replace('/', '_')}-{uuid.uuid4().hex}"
+        path = _landing_path(spark, key)
         df = build()
         (df.repartition(files) if files else df).write.mode("errorifexists").text(path)
         _LANDED[cache_key] = path
