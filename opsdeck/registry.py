@@ -56,16 +56,16 @@ def endpoint_stats_all(spark, sf_dir):
 
 
 def endpoint_stats_streamed(spark, sf_dir):
-    """R1 through Structured Streaming: the derived log files are processed as a stream
-    (available-now trigger) and the current per-endpoint table is read back."""
+    """R1 with Structured Streaming ingestion: the derived log files are parsed by a stream
+    (available-now trigger) into a parquet table, then aggregated."""
     folder = fx.access_log_folder(spark, sf_dir)
     run = uuid.uuid4().hex
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-stream/{run}"
-    stats = log_stream.endpoint_stats_stream(spark, folder, fx.LOG_MARKER, RULES, glob="*.txt")
-    query = log_stream.start_endpoint_stats(stats, f"{base}/out", checkpoint=f"{base}/checkpoint",
-                                            available_now=True, name=f"endpoint_stats_{run}")
+    requests = log_stream.requests_stream(spark, folder, fx.LOG_MARKER, RULES, glob="*.txt")
+    query = log_stream.start_ingest(requests, f"{base}/requests", checkpoint=f"{base}/checkpoint",
+                                    available_now=True, name=f"access_log_ingest_{run}")
     query.awaitTermination()
-    return log_stream.latest_endpoint_stats(spark, f"{base}/out")
+    return log_stream.endpoint_stats_ingested(spark, f"{base}/requests")
 
 
 def instances_flattened(spark, sf_dir):

@@ -1,10 +1,11 @@
-"""R1 over a log folder that keeps receiving files: incremental endpoint statistics.
-
-The same parse / decode / normalise / aggregate operators as the batch report, on a
-Structured Streaming file source. The running aggregate keeps one state row per
-(method, url) in the state store (use the RocksDB provider for large URL cardinality);
-only new files are read per micro-batch, and progress plus state live under the
-checkpoint location, so a restarted query continues where it stopped.
+"""R1 over a log folder that keeps receiving files.
+
+A Structured Streaming job does the per-line work (marker test, one regex pass, decoding,
+URL rules) once per new file and appends the keyed requests to a parquet table through the
+file sink, which is exactly-once: its commit log under the output folder records which
+files belong to which micro-batch, and a restarted query continues from its checkpoint.
+The endpoint statistics are a batch aggregate over that table (partial + final, as in the
+batch report). No state store and no driver-side callback are involved.
 """
 
 from __future__ import annotations
@@ -12,13 +13,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opsdeck.constants import LOG_FILE_GLOB
 from opsdeck.functions.urls import Rule
-from opsdeck.operators.access_log import endpoint_aggregate
-from opsdeck.operators.collapse import last_by
+from opsdeck.operators.access_log import endpoint_aggregate, top_endpoints
 from opsdeck.plans.traffic import requests_by_endpoint
 from opsdeck.session import ensure_checkpoint_dir
 
@@ -32,36 +31,28 @@ def read_access_log_stream(spark: SparkSession, folder: str, glob: str = LOG_FIL
     return reader.load(folder)
 
 
-def endpoint_stats_stream(spark: SparkSession, folder: str, marker: str | None, rules: Sequence[Rule],
-                          glob: str = LOG_FILE_GLOB, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of running per-endpoint statistics (same columns as the batch report)."""
+def requests_stream(spark: SparkSession, folder: str, marker: str | None, rules: Sequence[Rule],
+                    glob: str = LOG_FILE_GLOB, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming keyed requests: ``method, url`` (decoded, normalised), time, bytes, status."""
     lines = read_access_log_stream(spark, folder, glob, max_files_per_trigger)
-    return endpoint_aggregate(requests_by_endpoint(lines, marker, rules))
+    return requests_by_endpoint(lines, marker, rules)
 
 
-def start_endpoint_stats(stats: DataFrame, output: str, checkpoint: str | None = None,
-                         available_now: bool = False, name: str = "endpoint_stats") -> StreamingQuery:
-    """Run the statistics in ``update`` mode, appending each micro-batch's changed endpoints
-    (tagged with ``batch_id``) as parquet under ``output``.
+def start_ingest(requests: DataFrame, output: str, checkpoint: str | None = None,
+                 available_now: bool = False, name: str = "access_log_ingest") -> StreamingQuery:
+    """Append the keyed requests of each micro-batch to the parquet table at ``output``.
 
-    A batch replayed after a failure writes the same rows again, so readers that take the
-    latest row per endpoint (``latest_endpoint_stats``) see exactly-once results.
     ``checkpoint`` defaults to a folder under the cluster's ``spark.checkpoint.dir``;
-    ``available_now`` processes every file present and stops (scheduled batch runs).
+    ``available_now`` processes every file present and stops (scheduled runs).
     """
-    spark = stats.sparkSession
+    spark = requests.sparkSession
     location = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-stream/{name}"
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(output)
-
-    writer = (stats.writeStream.outputMode("update").queryName(name).foreachBatch(write_batch)
-              .option("checkpointLocation", location))
+    writer = (requests.writeStream.format("parquet").outputMode("append").queryName(name)
+              .option("path", output).option("checkpointLocation", location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def latest_endpoint_stats(spark: SparkSession, output: str) -> DataFrame:
-    """Current statistics: the row of the latest batch for each (method, url)."""
-    rows = spark.read.parquet(output)
-    return last_by(rows, ["method", "url"], ["batch_id"]).drop("batch_id")
+def endpoint_stats_ingested(spark: SparkSession, output: str, limit: int | None = None) -> DataFrame:
+    """Per-endpoint statistics over everything ingested so far (only committed batches are read)."""
+    return top_endpoints(endpoint_aggregate(spark.read.parquet(output)), limit)

@@ -1,4 +1,4 @@
-"""Incremental endpoint statistics over a folder that receives files between runs."""
+"""Incremental ingestion of a log folder that receives files between runs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import tempfile
 from opsdeck.functions.urls import default_url_rules
 from opsdeck.plans.traffic import endpoint_stats
 from opsdeck.sources.logs import read_access_log
-from opsdeck.streaming.log_stream import endpoint_stats_stream, latest_endpoint_stats, start_endpoint_stats
+from opsdeck.streaming.log_stream import endpoint_stats_ingested, requests_stream, start_ingest
 from test_access_log import line
 
 RULES = default_url_rules("REF")
@@ -19,30 +19,29 @@ def _write(folder, name, lines):
         f.write("\n".join(lines) + "\n")
 
 
-def _latest(spark, output):
-    return {(r.method, r.url): (r.requests, r.n_2xx, r.n_4xx, r.n_5xx)
-            for r in latest_endpoint_stats(spark, output).collect()}
-
-
-def _batch(spark, folder):
-    return {(r.method, r.url): (r.requests, r.n_2xx, r.n_4xx, r.n_5xx)
-            for r in endpoint_stats(read_access_log(spark, folder), "edge_proxy", RULES, limit=None).collect()}
+def _stats(df):
+    return {(r.method, r.url): (r.requests, r.n_2xx, r.n_4xx, r.n_5xx) for r in df.collect()}
 
 
 def test_stream_matches_batch_incrementally(spark):
     folder = tempfile.mkdtemp(prefix="opsdeck-stream-in-")
     work = tempfile.mkdtemp(prefix="opsdeck-stream-")
-    output, checkpoint = os.path.join(work, "out"), os.path.join(work, "ckpt")
+    output, checkpoint = os.path.join(work, "requests"), os.path.join(work, "ckpt")
     _write(folder, "a.log", [line(url="/a/1"), line(url="/a/2", status=404), line(url="/b", marker="other")])
     _write(folder, "skip.txt", [line(url="/never")])
 
     def run():
-        stats = endpoint_stats_stream(spark, folder, "edge_proxy", RULES)
-        start_endpoint_stats(stats, output, checkpoint=checkpoint, available_now=True).awaitTermination()
+        stream = requests_stream(spark, folder, "edge_proxy", RULES)
+        start_ingest(stream, output, checkpoint=checkpoint, available_now=True).awaitTermination()
+
+    def batch():
+        return _stats(endpoint_stats(read_access_log(spark, folder), "edge_proxy", RULES, limit=None))
 
     run()
-    assert _latest(spark, output) == _batch(spark, folder) == {("GET", "/a/[id]"): (2, 1, 1, 0)}
+    assert _stats(endpoint_stats_ingested(spark, output)) == batch() == {("GET", "/a/[id]"): (2, 1, 1, 0)}
     _write(folder, "b.tsv", [line(url="/a/3", status=500), line(url="/c", method="POST")])
-    run()  # restarted query: reads only the new file, continues from its state
+    run()  # restarted query: reads only the new file
+    run()  # nothing new: no duplicates
     expected = {("GET", "/a/[id]"): (3, 1, 1, 1), ("POST", "/c"): (1, 1, 0, 0)}
-    assert _latest(spark, output) == _batch(spark, folder) == expected
+    assert _stats(endpoint_stats_ingested(spark, output)) == batch() == expected
+    assert spark.read.parquet(output).count() == 4
