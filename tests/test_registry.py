@@ -58,3 +58,30 @@ def test_column_types_match_oracle(spark, duck, name):
     spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in entry_mod.queries()[name](spark, SF).dtypes}
     duck_types = {r[0]: r[1] for r in duck.execute(f"describe {entry_mod.oracle_sql()[name]}").fetchall()}
     assert spark_types == duck_types
+
+
+def _q(spark, name):
+    return entry_mod.queries()[name](spark, SF)
+
+
+def test_invariants_on_fixture_tables(spark):
+    from pyspark.sql import functions as F
+    stats = _q(spark, "endpoint_stats_all")
+    assert stats.filter(F.col("n_2xx") + F.col("n_4xx") + F.col("n_5xx") > F.col("requests")).count() == 0
+    total = _q(spark, "cost_totals").first().total_instances
+    assert _q(spark, "cost_by_owner").agg(F.sum("instance_count")).first()[0] == total
+    assert _q(spark, "cost_by_box").count() == total
+    for name in ("fleet_listing", "running_listing", "build_last_wins", "broker_lookup"):
+        df = _q(spark, name)
+        assert df.count() == df.select("build").distinct().count(), name
+    night = {r.instance_id for r in _q(spark, "nightly_plan").collect()}
+    morning = {r.instance_id for r in _q(spark, "morning_plan").collect()}
+    assert night and morning and not night & morning
+    for name in ("age_digest", "expiry_digest"):
+        df = _q(spark, name)
+        per_owner = df.groupBy("owner").agg(F.count("*").alias("n"), F.min("n_instances").alias("lo"),
+                                            F.max("n_instances").alias("hi"))
+        assert per_owner.filter((F.col("n") != F.col("lo")) | (F.col("n") != F.col("hi"))).count() == 0, name
+    counts = _q(spark, "listing_counts").first()
+    assert (counts.n_fleet_builds, counts.n_running_builds) == (_q(spark, "fleet_listing").count(),
+                                                                _q(spark, "running_listing").count())
