@@ -17,7 +17,7 @@ INSTANCE_SCHEMA = ("res_pos int, inst_pos int, instance_id string, launch_time t
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", app="opsdeck-tests", shuffle_partitions=8)
+    session = build_session("local[*]", app="opsdeck-tests", shuffle_partitions=8)
     yield session
     session.stop()
 
