@@ -61,3 +61,6 @@ DIGEST_SUBJECT_LEAD = "You have "
 BOX_ITEM_FORMAT = "_*%s*_: %dd, £%d"
 USER_ITEM_FORMAT = "_*%s*_: x%d, %dd"
 TOTALS_FORMAT = "*%d* instances (*£%d/day*)\n*%d* cumulative days (*£%d*)"
+# Fleet listing status marker: label and colour for running / not running.
+STATUS_RUNNING = ("Running", "#28a745")
+STATUS_STOPPED = ("Stopped", "#dc3545")

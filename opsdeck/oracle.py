@@ -188,7 +188,9 @@ select build, case when coalesce(launched_by_name <> '', false) then launched_by
   'http://admin.' || hostname as admin, rabbit, launched_at_ts as launched_at, age_days,
   {_age_label("age_days")} as age_label,
   case when age_days > 60 then 'danger' when age_days > 30 then 'warning' else '' end as severity,
-  state = 'running' as running
+  state = 'running' as running,
+  case when state = 'running' then 'Running' else 'Stopped' end as status_label,
+  case when state = 'running' then '#28a745' else '#dc3545' end as status_color
 from f
 """,
     "running_listing": f"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from opsdeck.constants import (BROKER_CONSOLE_TEMPLATE, BROKER_NAME_SEPARATOR, DEFAULT_REGION, FLEET_DANGER_DAYS,
                                FLEET_EXCLUDED_BUILDS, FLEET_WARN_DAYS, PORTAINER_PORT,
                                RUNNING_DANGER_DAYS, RUNNING_EXPIRES_TEXT, RUNNING_OVERDUE_DAYS,
-                               RUNNING_WARN_DAYS)
+                               RUNNING_WARN_DAYS, STATUS_RUNNING, STATUS_STOPPED)
 from opsdeck.functions.tags import tag, tag_exists, tag_truthy, truthy
 from opsdeck.functions.text import age_label, owner_or_unknown, severity
 from opsdeck.functions.timefns import (as_of_lit, calendar_days, created_display, elapsed_days,
@@ -75,7 +75,7 @@ def fleet_listing(instances: DataFrame, brokers: DataFrame, as_of, *,
 
     Age is in calendar days from the ``launched_at`` tag to ``as_of``; severity uses strict
     thresholds. Columns: build, owner, hostname, website, portainer, admin, rabbit,
-    launched_at, age_days, age_label, severity, running.
+    launched_at, age_days, age_label, severity, running, status_label, status_color.
     """
     now = as_of_lit(as_of)
     order = order_columns(instances)
@@ -99,8 +99,13 @@ def fleet_listing(instances: DataFrame, brokers: DataFrame, as_of, *,
         is_state("running").alias("running"),
     )
     listing = attach_brokers(listing, brokers, region)
+    running = F.col("running")
+    listing = listing.select(
+        "*",
+        F.when(running, F.lit(STATUS_RUNNING[0])).otherwise(F.lit(STATUS_STOPPED[0])).alias("status_label"),
+        F.when(running, F.lit(STATUS_RUNNING[1])).otherwise(F.lit(STATUS_STOPPED[1])).alias("status_color"))
     cols = ["build", "owner", "hostname", "website", "portainer", "admin", "rabbit",
-            "launched_at", "age_days", "age_label", "severity", "running"]
+            "launched_at", "age_days", "age_label", "severity", "running", "status_label", "status_color"]
     return listing.select(*cols).orderBy(F.desc("running"), F.lower("build"), "build")
 
 

@@ -63,6 +63,7 @@ def test_fleet_listing(spark):
     alpha, zeta = out
     assert (alpha.owner, alpha.age_days, alpha.severity, alpha.age_label, alpha.rabbit) == ("0", 31, "warning", "31 days ago", "")
     assert (zeta.owner, zeta.age_days, zeta.severity, zeta.age_label, zeta.running) == ("ann", 0, "", "Today", True)
+    assert (zeta.status_label, zeta.status_color) == ("Running", "#28a745")
     assert zeta.rabbit == "https://b2.mq.eu-west-1.on.aws"
     assert zeta.website == "https://www.Zeta.Example.test" and zeta.portainer == "http://Zeta.Example.test:9000"
 
