@@ -162,3 +162,11 @@ def test_oversized_numbers_do_not_fail_the_job(spark):
     assert sorted((r.resp_bytes is None, r.status) for r in out) == [(False, 200), (True, 200)]
     stats = endpoint_stats(lines_df(spark, rows), "edge_proxy", RULES).first()
     assert stats.requests == 2 and stats.n_2xx == 2
+
+
+def test_invalid_utf8_in_files_is_replaced(spark):
+    folder = tempfile.mkdtemp(prefix="opsdeck-bytes-")
+    with open(os.path.join(folder, "a.log"), "wb") as f:
+        f.write(line(url="/x\xffy").encode("latin-1") + b"\n" + line(url="/ok").encode() + b"\n")
+    urls = sorted(r.url for r in endpoint_stats(read_access_log(spark, folder), "edge_proxy", RULES).collect())
+    assert urls == ["/ok", "/x�y"]
