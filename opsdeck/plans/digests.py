@@ -80,9 +80,10 @@ def expiry_digest(instances: DataFrame, as_of, *, within_days: int = EXPIRY_DIGE
         tag("launched_by_email").alias("owner"), tag("build").alias("build"), *order,
         elapsed_days(parse_iso(tag("launched_at")), now).alias("age_days"),
         elapsed_days(now, expires).alias("expires_days"),
-        expiry_phrase(expires).alias("expires_on"))
+        expires.alias("expires_at"))
     rows = rows.filter(F.col("expires_days") <= within_days)
-    last = last_by(rows, ["owner", "build"], order)
+    # render the date once per item, after the collapse (the shuffle carries a timestamp)
+    last = last_by(rows, ["owner", "build"], order).withColumn("expires_on", expiry_phrase(F.col("expires_at")))
     age_text = _age_text(F.col("age_days"))
     item = F.when(age_text.isNotNull() & F.col("expires_on").isNotNull(),
                   F.format_string(EXPIRY_DIGEST_ITEM_FORMAT, F.col("build"), age_text, F.col("expires_on")))
