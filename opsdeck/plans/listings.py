@@ -131,17 +131,17 @@ def _link_host(domain: str) -> Column:
 
 
 def running_rows(instances: DataFrame, as_of, *, warn_days: int = RUNNING_WARN_DAYS,
-                 danger_days: int = RUNNING_DANGER_DAYS, overdue_days: int = RUNNING_OVERDUE_DAYS,
-                 site: str = "www", domain: str = "example.test") -> DataFrame:
-    """Per running test instance with a build: the running-listing fields before collapse.
+                 danger_days: int = RUNNING_DANGER_DAYS, domain: str = "example.test") -> DataFrame:
+    """Per running test instance with a build: the inputs of a running-listing row.
 
     Launch time is the ``launched_at`` tag when set, else the API launch time; age is whole
     elapsed days. ``severity`` is null (not written) when ``no_age_alert`` is present.
+    Texts are rendered after the collapse (``render_running``), so the shuffle carries only
+    these inputs.
     """
     now = as_of_lit(as_of)
     launched = F.when(tag_truthy("launched_at"), parse_iso(tag("launched_at"))).otherwise(F.col("launch_time"))
     age = elapsed_days(launched, now)
-    host = _link_host(domain)
     sev = F.when(tag_exists("no_age_alert"), F.lit(None).cast("string")) \
         .otherwise(severity(age, warn_days, danger_days, strict=False))
     return _running_with_build(instances).select(
@@ -149,34 +149,46 @@ def running_rows(instances: DataFrame, as_of, *, warn_days: int = RUNNING_WARN_D
         *order_columns(instances),
         "instance_id",
         owner_or_unknown(tag("launched_by_name"), script_truth=True).alias("owner"),
-        F.lower(host).alias("hostname"),
-        *_links(host, site),
-        F.lit(RUNNING_EXPIRES_TEXT).alias("expires"),
-        created_display(launched).alias("created"),
+        _link_host(domain).alias("link_host"),
+        launched.alias("launched"),
         age.alias("age_days"),
-        age_label(age).alias("age_label"),
-        (age >= overdue_days).alias("overdue"),
         sev.alias("severity"),
     )
 
 
-def running_listing(instances: DataFrame, as_of, **kwargs) -> DataFrame:
+def render_running(rows: DataFrame, *, overdue_days: int = RUNNING_OVERDUE_DAYS, site: str = "www") -> DataFrame:
+    """Running-listing columns from collapsed ``running_rows``. Only the displayed host name
+    is lower-cased; links keep the tag's case."""
+    host, age = F.col("link_host"), F.col("age_days")
+    return rows.select(
+        "build", "owner", F.lower(host).alias("hostname"), *_links(host, site),
+        F.lit(RUNNING_EXPIRES_TEXT).alias("expires"),
+        created_display(F.col("launched")).alias("created"),
+        "age_days", age_label(age).alias("age_label"), (age >= overdue_days).alias("overdue"),
+        "severity",
+    )
+
+
+def running_listing(instances: DataFrame, as_of, *, warn_days: int = RUNNING_WARN_DAYS,
+                    danger_days: int = RUNNING_DANGER_DAYS, overdue_days: int = RUNNING_OVERDUE_DAYS,
+                    site: str = "www", domain: str = "example.test") -> DataFrame:
     """One row per running build, sorted by build. Every field comes from the last
     instance of the build except ``severity``, which keeps the last value written (an
-    instance with ``no_age_alert`` does not overwrite it)."""
-    rows = running_rows(instances, as_of, **kwargs)
-    order = order_columns(instances)
-    last = last_by(rows, ["build"], order, keep_last_set=["severity"])
-    cols = ["build", "owner", "hostname", "website", "portainer", "expires", "created",
-            "age_days", "age_label", "overdue", "severity"]
-    return last.select(*cols).orderBy("build")
+    instance with ``no_age_alert`` does not overwrite it).
+
+    Columns: build, owner, hostname, website, portainer, expires, created, age_days,
+    age_label, overdue, severity.
+    """
+    rows = running_rows(instances, as_of, warn_days=warn_days, danger_days=danger_days, domain=domain)
+    last = last_by(rows, ["build"], order_columns(instances), keep_last_set=["severity"])
+    return render_running(last, overdue_days=overdue_days, site=site).orderBy("build")
 
 
 def build_last_wins_fieldwise(instances: DataFrame, as_of, **kwargs) -> DataFrame:
     """E4f on its own: ``build, instance_id, age_days, severity`` after the field-wise collapse."""
-    rows = running_rows(instances, as_of, **kwargs)
-    last = last_by(rows.select("build", *order_columns(instances), "instance_id", "age_days", "severity"),
-                   ["build"], order_columns(instances), keep_last_set=["severity"])
+    order = order_columns(instances)
+    rows = running_rows(instances, as_of, **kwargs).select("build", *order, "instance_id", "age_days", "severity")
+    last = last_by(rows, ["build"], order, keep_last_set=["severity"])
     return last.select("build", "instance_id", "age_days", "severity")
 
 
