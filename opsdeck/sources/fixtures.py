@@ -146,8 +146,9 @@ def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat instances ``res_pos, inst_pos, instance_id, launch_time, private_ip, state, tags``,
-    landed once per session as a parquet table (null tag value = absent tag).
+    """Flat instances ``res_pos, inst_pos, instance_id, launch_time, private_ip, tags, state``,
+    landed once per session as a parquet table partitioned by ``state`` (null tag value =
+    absent tag), so state filters prune folders.
 
     Reports run over the landed table as they would over a landed inventory. Left as an
     expression-built map, every pushed-down report filter would carry the whole map builder
@@ -160,7 +161,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
         return facts.select("res_pos", "inst_pos", "instance_id", "launch_time", "private_ip", "state",
                             tags.alias("tags"))
 
-    return land_once(spark, f"instances/{sf_dir}", build, files=_landed_files(spark))
+    return land_once(spark, f"instances/{sf_dir}", build, files=_landed_files(spark), partition_by=("state",))
 
 
 def inventory_docs(spark: SparkSession, sf_dir: str, page_size: int = 10) -> DataFrame:

@@ -33,13 +33,21 @@ def land(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def land_once(spark: SparkSession, key: str, build, files: int | None = None) -> DataFrame:
-    """Land ``build()`` the first time per session and key; later calls re-read the table."""
+def land_once(spark: SparkSession, key: str, build, files: int | None = None,
+              partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Land ``build()`` the first time per session and key; later calls re-read the table.
+
+    ``partition_by`` writes one folder per value, so filters on those columns prune whole
+    folders at planning time (``PartitionFilters``) instead of reading and testing rows.
+    """
     cache_key = (spark.sparkContext.applicationId, key)
     if cache_key not in _LANDED:
         path = _landing_path(spark, key)
         df = build()
-        (df.repartition(files) if files else df).write.mode("errorifexists").parquet(path)
+        writer = (df.repartition(files) if files else df).write.mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
         _LANDED[cache_key] = path
     return spark.read.parquet(_LANDED[cache_key])
 
