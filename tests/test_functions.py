@@ -143,3 +143,27 @@ def test_lenient_decode_matches_python_unquote(spark):
     got = {r.i: r.d for r in df.select("i", lenient_url_decode(F.col("u")).alias("d")).collect()}
     bad = [(t, got[i], urllib.parse.unquote(t)) for i, t in enumerate(texts) if got[i] != urllib.parse.unquote(t)]
     assert not bad, bad[:5]
+
+
+def test_url_rules_match_python_re(spark):
+    import random
+    import re
+
+    from opsdeck.functions.urls import default_url_rules, normalize_url
+
+    rules = default_url_rules("REF")
+    compiled = [(re.compile(p, re.ASCII), r) for p, r in rules]
+    rng = random.Random(99)
+    atoms = ["/", "12", "7", "REF", "REFabc", "jp/journeys/", "x", "/calling-points", "a", "\r", "\n", "\u0085",
+             "\u2028", "é", "$1", "\\", ".", " "]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, u string")
+    got = {r.i: r.n for r in df.select("i", normalize_url(F.col("u"), rules).alias("n")).collect()}
+
+    def python(t):
+        for p, r in compiled:
+            t = p.sub(r, t)
+        return t
+
+    bad = [(t, got[i], python(t)) for i, t in enumerate(texts) if got[i] != python(t)]
+    assert not bad, bad[:5]
