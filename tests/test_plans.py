@@ -77,3 +77,18 @@ def test_inventory_scan_pruned_and_pushed(spark):
     assert "EqualTo(state,running)" in text
     read = re.search(r"ReadSchema: (struct<[^\n]*>)", text).group(1)
     assert "launch_time" not in read and "private_ip" not in read and "res_pos" not in read
+
+
+def test_digest_scans_inventory_once(spark):
+    from conftest import AS_OF, ago, make_instances
+    from opsdeck.plans.digests import age_digest
+    from opsdeck.sources.landing import land
+
+    rows = [{"instance_id": f"i-{i}", "launch": ago(3 + i % 4),
+             "tags": {"role": "test", "build": f"b{i % 7}", "launched_by_email": f"u{i % 3}@e"}} for i in range(60)]
+    inst = land(make_instances(spark, rows), "digest_plan_test")
+    df = age_digest(inst, AS_OF, ignore_owner="none@e")
+    df.collect()  # AQE decides exchange reuse while executing
+    final = formatted(df).split("\n\n\n")[0].split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    assert final.count("Scan parquet") == 1
