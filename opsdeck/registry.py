@@ -162,27 +162,27 @@ def extend_lifetime(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
-    "access_log_parsed": access_log_parsed,
-    "url_normalized": url_normalized,
-    "endpoint_stats": endpoint_stats,
-    "endpoint_stats_files": endpoint_stats_files,
-    "endpoint_stats_all": endpoint_stats_all,
-    "endpoint_stats_streamed": endpoint_stats_streamed,
-    "instances_flattened": instances_flattened,
-    "tag_filters": tag_filters,
-    "build_last_wins": build_last_wins,
-    "build_last_wins_fieldwise": build_last_wins_fieldwise,
-    "broker_lookup": broker_lookup,
-    "hostname_fallback": hostname_fallback,
-    "fleet_listing": fleet_listing,
-    "running_listing": running_listing,
-    "listing_counts": listing_counts,
-    "age_digest": age_digest,
-    "expiry_digest": expiry_digest,
-    "cost_totals": cost_totals,
-    "cost_by_box": cost_by_box,
-    "cost_by_owner": cost_by_owner,
-    "nightly_plan": nightly_plan,
-    "morning_plan": morning_plan,
-    "extend_lifetime": extend_lifetime,
+    "access_log_parsed": access_log_parsed,                  # A1 B1-B3 G1
+    "url_normalized": url_normalized,                        # G2 G3
+    "endpoint_stats": endpoint_stats,                        # R1: E1-E3 F1 (DataFrame input)
+    "endpoint_stats_files": endpoint_stats_files,            # R1 from log files (A1)
+    "endpoint_stats_all": endpoint_stats_all,                # E1-E3 without the top-k cut
+    "endpoint_stats_streamed": endpoint_stats_streamed,      # R1 through streaming ingestion
+    "instances_flattened": instances_flattened,              # A2 C1 C2
+    "tag_filters": tag_filters,                              # B4-B7 B9 G15
+    "build_last_wins": build_last_wins,                      # E4 B8
+    "build_last_wins_fieldwise": build_last_wins_fieldwise,  # E4f I2
+    "broker_lookup": broker_lookup,                          # A3 J1 G5
+    "hostname_fallback": hostname_fallback,                  # C3 C4 G7
+    "fleet_listing": fleet_listing,                          # R2: C3 C5 C6 H1 H4 I1 G8 F2
+    "running_listing": running_listing,                      # R3: C4 C5 H3 H5 H9 I2 I3 F3
+    "listing_counts": listing_counts,                        # E8
+    "age_digest": age_digest,                                # R4: B10 E4o E7 G9
+    "expiry_digest": expiry_digest,                          # R5: B11 H6 H8 G10 I6
+    "cost_totals": cost_totals,                              # R6a: C7 E5 I4 I5
+    "cost_by_box": cost_by_box,                              # R6b: G6 G11 F5
+    "cost_by_owner": cost_by_owner,                          # R6c: E6 G11 F6
+    "nightly_plan": nightly_plan,                            # R7: B5 B7 B13 H2 H6
+    "morning_plan": morning_plan,                            # R8
+    "extend_lifetime": extend_lifetime,                      # R9: J2 B12 F7 H7
 }
