@@ -1,8 +1,10 @@
 """opsdeck: operations analytics (proxy access logs, fleet inventories) on Spark DataFrames.
 
 Every public function takes DataFrames / Columns plus explicit parameters and returns a
-DataFrame / Column. Nothing here triggers an action except where a function says so
-(``operators.joins.join_small`` counts a bounded prefix of its small side).
+DataFrame / Column without running a job, except where it says so:
+``operators.joins.join_small`` counts a bounded prefix of its lookup side,
+``sources.landing`` writes tables, and ``streaming.log_stream.start_ingest`` starts a
+streaming query.
 """
 
 __version__ = "0.1.0"
