@@ -83,10 +83,14 @@ def duckdb_sql(text: str) -> str:
     return text.format(events="events", orders="orders", customer="customer", supplier="supplier")
 
 
+MAX_LANDED_FILES = 64
+
+
 def _landed_files(spark: SparkSession) -> int:
-    """Landed tables are written as several files, like any landed table, so their scans
-    run as parallel tasks (one file per default-parallelism slot)."""
-    return spark.sparkContext.defaultParallelism
+    """Landed test tables are written as several files, like any landed table, so their scans
+    run as parallel tasks: one per default-parallelism slot, at most 64 (the test tables are
+    small; thousands of cluster cores would otherwise mean thousands of tiny files)."""
+    return max(1, min(spark.sparkContext.defaultParallelism, MAX_LANDED_FILES))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
