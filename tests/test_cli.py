@@ -29,3 +29,17 @@ def test_cli_inventory_reports(spark):
     # i-3 (build b) has no role tag, so only build a is in the test fleet
     assert sorted(r.build for r in spark.read.parquet(out).collect()) == ["a"]
     assert main(["--as-of", "2001-07-31 12:00:00", "costs", inventory, "--by", "owner"]) == 0
+
+
+def test_cli_every_inventory_command(spark, capsys):
+    inventory = _folder({"page.json": json.dumps(DOC)})
+    brokers = _folder({"b.json": json.dumps({"BrokerSummaries": [{"BrokerId": "b-1", "BrokerName": "a-rabbit-dev"}]})})
+    base = ["--as-of", "2001-07-31 12:00:00", "--show", "5"]
+    commands = [["fleet-listing", inventory, brokers], ["running-listing", inventory], ["age-digest", inventory, "3"],
+                ["expiry-digest", inventory, "5"], ["costs", inventory, "--by", "age"], ["costs", inventory],
+                ["nightly-plan", inventory], ["morning-plan", inventory], ["extend-lifetime", inventory, "a", "2.5"]]
+    for cmd in commands:
+        assert main(base + cmd) == 0, cmd
+    out = capsys.readouterr().out
+    assert "https://b-1.mq.eu-west-1.on.aws" in out      # fleet listing joined the broker
+    assert "total_instances" in out                      # cost totals printed
