@@ -202,13 +202,15 @@ def broker_lookup(instances: DataFrame, brokers: DataFrame, *,
 def listing_counts(instances: DataFrame, exclude_builds: Sequence[str] = FLEET_EXCLUDED_BUILDS) -> DataFrame:
     """Number of builds in the fleet listing (R2) and the running listing (R3), as one row.
 
-    Each listing has exactly one row per qualifying build, so the sizes are two conditional
-    distinct counts over one scan (distinct values are de-duplicated per task before the
-    shuffle) instead of building both listings.
+    Each listing has exactly one row per qualifying build, so the sizes come from one scan:
+    a per-build aggregate of two membership flags (partial + final, so a hot build ships one
+    row per task), then a global sum. No listing is built, and no row is duplicated as the
+    Expand behind two conditional distinct counts would.
     """
     build = tag("build")
-    in_fleet = build.isNotNull() & ~build.isin(*exclude_builds)
+    in_fleet = ~build.isin(*exclude_builds)
     in_running = tag_truthy("build") & in_state("running")
-    return test_fleet(instances).agg(
-        F.count_distinct(F.when(in_fleet, build)).alias("n_fleet_builds"),
-        F.count_distinct(F.when(in_running, build)).alias("n_running_builds"))
+    per_build = test_fleet(instances).filter(build.isNotNull()).groupBy(build.alias("build")).agg(
+        F.max(in_fleet.cast("int")).alias("f"), F.max(F.coalesce(in_running, F.lit(False)).cast("int")).alias("r"))
+    return per_build.agg(F.coalesce(F.sum("f"), F.lit(0)).cast("bigint").alias("n_fleet_builds"),
+                         F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("n_running_builds"))
