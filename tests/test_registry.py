@@ -85,3 +85,11 @@ def test_invariants_on_fixture_tables(spark):
     counts = _q(spark, "listing_counts").first()
     assert (counts.n_fleet_builds, counts.n_running_builds) == (_q(spark, "fleet_listing").count(),
                                                                 _q(spark, "running_listing").count())
+
+
+@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+def test_plan_has_no_python_windows_or_cross_joins(spark, name):
+    df = entry_mod.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin", "Window", "Expand"):
+        assert node not in plan, (name, node)
