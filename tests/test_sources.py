@@ -69,3 +69,11 @@ def test_last_wins_across_pages(spark):
     folder = _folder({"p1.json": page("i-1", "first"), "p2.json": page("i-2", "second")})
     inst = flatten_instances(read_inventory(spark, folder))
     assert [r.owner for r in listings.running_listing(inst, AS_OF).collect()] == ["second"]
+
+
+def test_read_inventory_without_page(spark):
+    folder = _folder({"page1.json": json.dumps(DOC)})
+    docs = read_inventory(spark, folder, with_page=False)
+    assert docs.columns == ["Reservations"]
+    flat = flatten_instances(docs)
+    assert "page" not in flat.columns and flat.count() == 3
