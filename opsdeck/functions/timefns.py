@@ -21,9 +21,21 @@ def as_of_lit(as_of: str | _dt.datetime) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
+_OFFSET = r"([+-])(\d{2}):?(\d{2})$"
+
+
 def parse_iso(text: Column) -> Column:
-    """ISO-8601 text with or without milliseconds and a ``Z`` suffix -> timestamp_ntz; null if unreadable."""
-    return text.try_cast("timestamp_ntz")
+    """ISO-8601 text -> UTC wall-clock timestamp_ntz; null if unreadable.
+
+    Accepts milliseconds or not, and a ``Z`` suffix or a numeric offset (``+01:00``,
+    ``-0800``), which is subtracted to give UTC. The arithmetic is on the NTZ value, so no
+    session time zone is involved.
+    """
+    wall = text.try_cast("timestamp_ntz")
+    sign = F.when(F.regexp_extract(text, _OFFSET, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    minutes = (F.regexp_extract(text, _OFFSET, 2).cast("int") * 60
+               + F.regexp_extract(text, _OFFSET, 3).cast("int")) * sign
+    return F.when(text.rlike(_OFFSET), wall - F.make_dt_interval(F.lit(0), F.lit(0), minutes)).otherwise(wall)
 
 
 def elapsed_days(start: Column, end: Column) -> Column:

@@ -53,6 +53,11 @@ def test_parse_iso_forms(spark):
     for text, expected in [("2001-07-31T12:00:00Z", dt.datetime(2001, 7, 31, 12)),
                            ("2001-07-31T12:00:00.000Z", dt.datetime(2001, 7, 31, 12)),
                            ("2001-07-31T03:47:05Z", dt.datetime(2001, 7, 31, 3, 47, 5)),
+                           ("2001-07-31T12:00:00+01:00", dt.datetime(2001, 7, 31, 11)),
+                           ("2001-07-31T12:00:00.000+05:30", dt.datetime(2001, 7, 31, 6, 30)),
+                           ("2001-07-31T12:00:00-0800", dt.datetime(2001, 7, 31, 20)),
+                           ("2001-07-31 00:30:00+01:00", dt.datetime(2001, 7, 30, 23, 30)),
+                           ("2001-07-31", dt.datetime(2001, 7, 31)),
                            ("", None), ("garbage", None), (None, None)]:
         assert one(spark, parse_iso(F.col("x")), value=text) == expected
 
