@@ -36,9 +36,10 @@ def broker_links(brokers: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
 
     A broker's build is its name up to the separator (the whole name when absent).
     """
+    order = [c for c in ("page", "pos") if c in brokers.columns]
     keyed = brokers.select(F.substring_index("broker_name", BROKER_NAME_SEPARATOR, 1).alias("build"),
-                           "pos", "broker_id")
-    last = last_by(keyed, ["build"], ["pos"])
+                           *order, "broker_id")
+    last = last_by(keyed, ["build"], order)
     before, after = BROKER_CONSOLE_TEMPLATE.split("{broker_id}")
     url = F.concat(F.lit(before), F.col("broker_id"), F.lit(after.format(region=region)))
     return last.select("build", url.alias("rabbit"))

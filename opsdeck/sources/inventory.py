@@ -33,11 +33,16 @@ def read_inventory(spark: SparkSession, path: str, multi_line: bool = True, with
     return docs.select(F.col("_metadata.file_path").alias("page"), "Reservations") if with_page else docs
 
 
-def read_brokers(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Broker-listing responses -> ``pos, broker_id, broker_name`` in listing order."""
+def read_brokers(spark: SparkSession, path: str, multi_line: bool = True, with_page: bool = True) -> DataFrame:
+    """Broker-listing responses -> ``[page,] pos, broker_id, broker_name`` in listing order.
+
+    ``page`` is the source file's path (as in ``read_inventory``), so "last listed wins" is
+    well defined across several listing files.
+    """
     raw = spark.read.schema(BROKERS_SCHEMA).option("multiLine", multi_line).json(path)
-    exploded = raw.select(F.posexplode("BrokerSummaries").alias("pos", "b"))
-    return exploded.select(F.col("pos").cast("bigint").alias("pos"),
+    lead = [F.col("_metadata.file_path").alias("page")] if with_page else []
+    exploded = raw.select(*lead, F.posexplode("BrokerSummaries").alias("pos", "b"))
+    return exploded.select(*(["page"] if with_page else []), F.col("pos").cast("bigint").alias("pos"),
                            F.col("b.BrokerId").alias("broker_id"), F.col("b.BrokerName").alias("broker_name"))
 
 

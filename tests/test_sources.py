@@ -53,8 +53,17 @@ def test_read_brokers(spark):
     doc = {"BrokerSummaries": [{"BrokerId": "b-1", "BrokerName": "a-rabbit-dev"},
                                {"BrokerId": "b-2", "BrokerName": "a-rabbit-dev-2"}]}
     folder = _folder({"brokers.json": json.dumps(doc, indent=1)})
-    assert [tuple(r) for r in read_brokers(spark, folder).collect()] == [(0, "b-1", "a-rabbit-dev"),
-                                                                        (1, "b-2", "a-rabbit-dev-2")]
+    rows = read_brokers(spark, folder, with_page=False).collect()
+    assert [tuple(r) for r in rows] == [(0, "b-1", "a-rabbit-dev"), (1, "b-2", "a-rabbit-dev-2")]
+
+
+def test_last_broker_wins_across_files(spark):
+    from opsdeck.plans.listings import broker_links
+    folder = _folder({"p1.json": json.dumps({"BrokerSummaries": [{"BrokerId": "old", "BrokerName": "a-rabbit-dev"},
+                                                                 {"BrokerId": "x", "BrokerName": "z-rabbit-dev"}]}),
+                      "p2.json": json.dumps({"BrokerSummaries": [{"BrokerId": "new", "BrokerName": "a-rabbit-dev"}]})})
+    links = {r.build: r.rabbit for r in broker_links(read_brokers(spark, folder)).collect()}
+    assert links["a"] == "https://new.mq.eu-west-1.on.aws"
 
 
 def test_last_wins_across_pages(spark):
