@@ -59,3 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="opsdeck-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return folder
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder it lies in.
+
+    For drivers that only put the folder on their own module path; where executors run on
+    other machines, ship the package with ``--py-files`` instead.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
