@@ -13,6 +13,8 @@ have are an error. Rows are never dropped, merged or reordered.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -24,6 +26,7 @@ PIECE_CHARS = 1 << 15
 #: After a character that is no white space and before one that is; after a letter and before
 #: none; after a digit and before none.
 SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})")
+DIGEST = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _encodings: dict = {}
 
 
@@ -53,24 +56,24 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def encode_text(raw: bytes | None, encoding, piece_chars: int = PIECE_CHARS) -> list[int]:
+    """The ids of one text, piece by piece."""
+    ids: list[int] = []
+    if raw:
+        for piece in pieces(raw.decode("utf-8", "replace"), piece_chars):
+            ids += encoding.encode_ordinary(piece)
+    return ids
+
+
 def encode(text: Column, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS) -> Column:
     """The token ids of a text column, as array<int>."""
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = load(rank_file, pattern)
         for batch in batches:
-            offsets, values = [0], []
-            n = 0
-            for raw in batch:
-                body = raw.as_py()
-                if body:
-                    for piece in pieces(body.decode("utf-8", "replace"), piece_chars):
-                        part = pa.array(encoding.encode_ordinary(piece), pa.int32())
-                        n += len(part)
-                        values.append(part)
-                offsets.append(n)
-            flat = pa.concat_arrays(values) if values else pa.array([], pa.int32())
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+            rows = [pa.array(encode_text(raw.as_py(), encoding, piece_chars), pa.int32()) for raw in batch]
+            offsets = pa.array(accumulate(map(len, rows), initial=0), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.concat_arrays(rows) if rows else pa.array([], pa.int32()))
 
     return ids(text.cast("binary"))
 
@@ -92,16 +95,24 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, *, text_col:
     return docs.withColumn(ids_col, encode(F.col(text_col), rank_file, pattern, piece_chars))
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Per document the number of ids and hashes of the ids and of the bytes they decode to."""
-    ids = encode_documents(docs.select("doc_id", "text"), rank_file, pattern).select("doc_id", "token_ids")
-    back = ids.withColumn("raw", decode(F.col("token_ids"), rank_file, pattern))
-    return back.select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("raw", 256).alias("decoded_sha256"),
-    )
+def round_trip(text: Column, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS) -> Column:
+    """Number of ids, hash of the ids and hash of the bytes they decode to.
+
+    Encodes and decodes in one worker, a text at a time, so neither ids nor bytes of a whole
+    batch are held or sent.
+    """
+    @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoding = load(rank_file, pattern)
+        for batch in batches:
+            out = []
+            for raw in batch:
+                ids = encode_text(raw.as_py(), encoding, piece_chars)
+                out.append({"n_tokens": len(ids), "ids_sha256": sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                            "decoded_sha256": sha256(encoding.decode_bytes(ids)).hexdigest()})
+            yield pa.array(out, DIGEST)
+
+    return digest(text.cast("binary"))
 
 
 def production_vocabulary() -> tuple[str, str]:
@@ -112,4 +123,6 @@ def production_vocabulary() -> tuple[str, str]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), *production_vocabulary())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    digest = round_trip(F.col("text"), *production_vocabulary())
+    return docs.select("doc_id", digest.alias("digest")).select("doc_id", "digest.*")
