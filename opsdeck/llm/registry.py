@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from opsdeck.llm import bpe, mixing
+from opsdeck.llm import bpe, mixing, quality, token_counts
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op4_byte_bpe": bpe.query,
+    "op5_quality_rules": quality.query,
+    "op8_token_counts": token_counts.query,
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested by brute force.
