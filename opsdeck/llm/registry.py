@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from opsdeck.llm import bpe, mixing, quality, token_counts
+from opsdeck.llm import bpe, langid, mih, mixing, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op4_byte_bpe": bpe.query,
     "op5_quality_rules": quality.query,
+    "op6_language_id": langid.query,
+    "op7_multi_index_hashing": mih.query,
     "op8_token_counts": token_counts.query,
+    "op10_url_filter": url_filter.query,
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested by brute force.
