@@ -10,11 +10,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opsdeck.llm import bpe, mixing
+from opsdeck.llm import bpe, mixing, ngram_join, quality, substring_dedup
 from opsdeck.session import ensure_checkpoint_dir
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.with_quality(docs, result_col="quality__").filter("quality__.kept").select(docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def fresh_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that occur again; ``n_chars`` follows. A document that loses
+    every word stays, with an empty text."""
+    kept = substring_dedup.repeated_words(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weighed alike; a document appears as often as its drawn count."""
     return mixing.mix_sources(docs).select(docs.columns)
@@ -26,6 +44,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality rules", good),
+    ("n-gram Jaccard join", distinct),
+    ("substring dedup", fresh_text),
     ("mixing sources", mix),
     ("byte-level BPE", tokens),
 ]

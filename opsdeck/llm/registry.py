@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsdeck.llm import bpe, langid, mih, mixing, quality, substring_dedup, token_counts, url_filter
+from opsdeck.llm import bpe, langid, mih, mixing, ngram_join, quality, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_language_id": langid.query,
     "op7_multi_index_hashing": mih.query,
     "op8_token_counts": token_counts.query,
+    "op9_ngram_jaccard_join": ngram_join.query,
     "op10_url_filter": url_filter.query,
 }
 
