@@ -106,7 +106,7 @@ class Answers:
     """What a chunk got back."""
 
     payloads: list[bytes]  # in bucket order
-    note: bytes | None
+    notes: list[bytes]  # likewise; from the chunk itself or, with bucket -1, for all chunks
 
     def bits(self, keys: np.ndarray, n_buckets: int) -> np.ndarray:
         """One flag for each of the sorted keys that were sent."""
@@ -126,8 +126,7 @@ def _ordered(rows: pa.Table, by: list[str]) -> pa.Table:
 def _answers(rows: pa.Table) -> Answers:
     rows = rows.sort_by("bucket")
     notes = rows.filter(rows["note"])
-    return Answers(rows.filter(pc.invert(rows["note"]))["payload"].to_pylist(),
-                   notes["payload"][0].as_py() if notes.num_rows else None)
+    return Answers(rows.filter(pc.invert(rows["note"]))["payload"].to_pylist(), notes["payload"].to_pylist())
 
 
 def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
@@ -174,6 +173,24 @@ def answer(asked: DataFrame, merge: Callable) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
+def summed(asked: DataFrame, count: Callable, n_chunks: int) -> DataFrame:
+    """Totals over all buckets, as a note (JSON of name -> total) for every chunk.
+
+    ``count(keys, extras)`` gives a bucket's part as a dict; the rows added up are as few as
+    buckets times names.
+    """
+    def run(rows: pa.Table) -> pa.Table:
+        keys = rows.filter(pc.invert(rows["note"]))
+        found = count(keys["keys"].to_pylist(), keys["extra"].to_pylist()) if keys.num_rows else {}
+        return pa.table({"name": pa.array([str(k) for k in found], pa.string()), "n": pa.array([int(v) for v in found.values()], pa.int64())})
+
+    parts = asked.groupBy("bucket").applyInArrow(run, "name string, n long")
+    totals = parts.groupBy("name").agg(F.sum("n").alias("n"))
+    whole = totals.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "n")))).alias("json"))
+    return whole.select(F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), F.lit(-1).alias("bucket"),
+                        F.lit(True).alias("note"), F.col("json").cast("binary").alias("payload"))
+
+
 def finish(chunks: DataFrame, answers: DataFrame, order: list[str], make: Callable, schema: str) -> DataFrame:
     """``make(rows, answers)`` for every chunk gives a table of ``schema``."""
     def run(rows: pa.Table, back: pa.Table) -> pa.Table:

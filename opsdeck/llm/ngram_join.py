@@ -203,11 +203,11 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     def reduce(rows: pa.Table, back: exchange.Answers) -> pa.Table:
         sets = sets_of(rows["text"].to_pylist(), n)
         size, count = sets.sizes, rows.num_rows
-        name = np.frombuffer(back.note[: 8 * count], dtype=np.int64)
-        chosen = np.flatnonzero(exchange.unpack_bits(back.note[8 * count:], count))
+        name = np.frombuffer(back.notes[0][: 8 * count], dtype=np.int64)
+        chosen = np.flatnonzero(exchange.unpack_bits(back.notes[0][8 * count:], count))
         grams, of = spread(sets, chosen)
         distinct, which = np.unique(grams, return_inverse=True)
-        times = exchange.Answers([zlib.decompress(p) for p in back.payloads], None).numbers("uint32")
+        times = exchange.Answers([zlib.decompress(p) for p in back.payloads], []).numbers("uint32")
         times = times[which] if len(distinct) else np.zeros(0, np.uint32)
         by = np.lexsort((grams, times, of))
         by = by[times[by] > 1]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from opsdeck.llm import bpe, langid, mih, mixing, ngram_join, quality, substring_dedup, token_counts, url_filter
+from opsdeck.llm import bpe, katz, langid, mih, mixing, ngram_join, quality, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_katz_backoff": katz.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_byte_bpe": bpe.query,
     "op5_quality_rules": quality.query,

@@ -126,7 +126,7 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, block: int | None =
     def remove(rows: pa.Table, back: exchange.Answers) -> pa.Table:
         raw = rows[text_col].to_pylist()
         words = Texts(raw)
-        hit = exchange.unpack_bits(zlib.decompress(back.note), len(words.hashes))
+        hit = exchange.unpack_bits(zlib.decompress(back.notes[0]), len(words.hashes))
         at = _to_check(words, hit, block, window)
         first, _, by, starts, run = window_keys(words, at)
         at = at[back.bits(first[by[starts]], n_buckets)[run]]
