@@ -2,8 +2,8 @@
 
 Every public function takes DataFrames / Columns plus explicit parameters and returns a
 DataFrame / Column without running a job, except where it says so:
-``operators.joins.join_small`` counts a bounded prefix of its lookup side,
-``sources.landing`` writes tables, and ``streaming.log_stream.start_ingest`` starts a
+``sources.inventory`` counts documents per page before it reads them (``check=False`` leaves
+that out), ``sources.landing`` writes tables, and ``streaming.log_stream.start_ingest`` starts a
 streaming query.
 """
 

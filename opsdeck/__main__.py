@@ -20,6 +20,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--out", default=None, help="write the result as parquet here instead of printing")
     p.add_argument("--show", type=int, default=50, help="rows to print when --out is not given")
     p.add_argument("--as-of", default=None, help="report time, 'YYYY-MM-DD HH:MM:SS' UTC (default: now)")
+    p.add_argument("--json-lines", action="store_true",
+                   help="inventory and broker files hold one response with its page number per line")
     sub = p.add_subparsers(dest="command", required=True)
 
     e = sub.add_parser("endpoint-stats", help="per-endpoint traffic from proxy log files")
@@ -60,9 +62,9 @@ def build_report(spark, args):
     if args.command == "endpoint-stats":
         return traffic.endpoint_stats(read_access_log(spark, args.log_folder), args.marker,
                                       default_url_rules(args.id_prefix), limit=args.limit)
-    inst = flatten_instances(read_inventory(spark, args.inventory))
+    inst = flatten_instances(read_inventory(spark, args.inventory, args.json_lines))
     if args.command == "fleet-listing":
-        return listings.fleet_listing(inst, read_brokers(spark, args.brokers), as_of)
+        return listings.fleet_listing(inst, read_brokers(spark, args.brokers, args.json_lines), as_of)
     if args.command == "running-listing":
         return listings.running_listing(inst, as_of)
     if args.command == "age-digest":

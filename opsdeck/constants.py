@@ -58,6 +58,8 @@ AGE_DIGEST_ITEM_FORMAT = "%s, running for %s"
 EXPIRY_DIGEST_ITEM_FORMAT = "%s, created %s ago will be terminated on the evening of %s."
 AGE_ZERO_TEXT = "less than a day"
 DIGEST_SUBJECT_LEAD = "You have "
+AGE_DIGEST_HEADING_FORMAT = "Here's a list of your instances that have been running for %s or more:"
+EXPIRY_DIGEST_HEADING = "Here's a list of instances you launched that will be terminated soon:"
 BOX_ITEM_FORMAT = "_*%s*_: %dd, £%d"
 USER_ITEM_FORMAT = "_*%s*_: x%d, %dd"
 TOTALS_FORMAT = "*%d* instances (*£%d/day*)\n*%d* cumulative days (*£%d*)"

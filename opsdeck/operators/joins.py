@@ -1,26 +1,24 @@
-"""Joins against small lookup tables with a checked broadcast."""
+"""Joins of rows with hot keys against a table that has one row per key."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
+SALTS = 16
+_SALT = "_salt"
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join ``big`` to a lookup table, broadcasting the lookup only when its size is proven small.
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, how: str = "inner",
+                salts: int = SALTS) -> DataFrame:
+    """Join on ``key`` so that the rows of a hot key go to ``salts`` tasks.
 
-    The proof is a count of at most ``max_broadcast_rows + 1`` rows of ``small``. The lookup is
-    persisted first, so the count computes it once and the broadcast reads those cached rows
-    (the cache is bounded by the same check; lost blocks are recomputed from lineage).
-    Beyond the bound the cache is dropped and the join is left to the planner: a shuffled
-    sort-merge join, which AQE may still turn into a broadcast or split for skew.
+    AQE splits a skewed join only if both sides are plain shuffles; an aggregated lookup is
+    none. Here the rows are dealt by (key, hash of ``spread_by``), and the few lookup rows are
+    repeated once per salt.
     """
-    cached = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if cached.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        return big.join(F.broadcast(cached), on, how)
-    cached.unpersist()
-    return big.join(small, on, how)
+    # never null, so that no filter on it is pushed into one side and tells the two apart
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"), F.lit(0))
+    left = rows.withColumn(_SALT, salt)
+    right = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, _SALT], how).drop(_SALT)

@@ -213,6 +213,8 @@ a as (select launched_by_email as owner, build, res_pos, inst_pos, date_sub('day
 al as {_last("(select * from a where age_days >= 2)", "owner, build")},
 c as (select owner, count(*) as n_instances from al group by owner)
 select owner, build, age_days, build || ', running for ' || {_plural("age_days", "day")} as item_text,
+  'Here''s a list of your instances that have been running for 2 days or more:' as heading,
+  'https://reports.example.test/instances' as link,
   n_instances, {_subject("n_instances")} as subject
 from al join c using (owner)
 """,
@@ -229,6 +231,8 @@ c as (select owner, count(*) as n_instances from el group by owner)
 select owner, build, age_days, expires_days, expires_on,
   build || ', created ' || case when age_days = 0 then 'less than a day' else {_plural("age_days", "day")} end
     || ' ago will be terminated on the evening of ' || expires_on || '.' as item_text,
+  'Here''s a list of instances you launched that will be terminated soon:' as heading,
+  'https://reports.example.test/extend?instance=' || build as link,
   n_instances, {_subject("n_instances")} as subject
 from el join c using (owner)
 """,
@@ -247,6 +251,17 @@ with {_INST}, {_COSTS}
 select *, {_pounds("price_pence")} as price_pounds,
   printf('_*%s*_: %dd, £%d', short_name, age_days, {_pounds("price_pence")}) as item_text
 from costs
+""",
+    "cost_by_box_name": f"""
+with {_INST}, {_COSTS}
+select *, {_pounds("price_pence")} as price_pounds,
+  printf('_*%s*_: %dd, £%d', short_name, age_days, {_pounds("price_pence")}) as item_text
+from costs
+""",
+    "name_lists": """
+select p_partkey, case when p_partkey % 11 in (0, 1) or p_name is null or p_name = '' then 'n/a'
+  else array_to_string(string_split(p_name, ' '), ', ') end as shown
+from part
 """,
     "cost_by_owner": f"""
 with {_INST}, {_COSTS},
@@ -269,14 +284,14 @@ from inst where role = 'test' and ta_present and state = 'stopped'
 """,
     "extend_lifetime": f"""
 with {_INST},
-req as ({fx.duckdb_sql(fx.EXTENSION_REQUESTS_SQL)}),
-m as (select r.build, r.hours, i.res_pos, i.inst_pos, i.instance_id, i.name_tag as name,
-        i.terminate_after_ts as old_terminate_after
-      from inst i join req r on i.build = r.build where i.role = 'test' and i.ta_present),
-mf as {_last("m", "build, hours", "res_pos, inst_pos")},
+req as (select build, count(*) as n_requests, sum(hours) as hours
+        from ({fx.duckdb_sql(fx.EXTENSION_REQUESTS_SQL)}) group by build),
+m as (select build, res_pos, inst_pos, instance_id, name_tag as name, terminate_after_ts as old_terminate_after
+      from inst where role = 'test' and ta_present),
+mf as (select * from {_last("m", "build", "res_pos, inst_pos")} join req using (build)),
 n as (select *, old_terminate_after + to_microseconds(cast(hours * 3600 * 1000000 as bigint)) as new_terminate_after
       from mf)
-select build, hours, instance_id, name, old_terminate_after, new_terminate_after,
+select build, n_requests, hours, instance_id, name, old_terminate_after, new_terminate_after,
   strftime(new_terminate_after, '%Y-%m-%dT%H:%M:%SZ') as new_tag_value
 from n
 """,

@@ -47,15 +47,15 @@ def cost_totals(costs: DataFrame, day_price: int = DAY_PRICE_PENCE) -> DataFrame
 
 def cost_by_box(costs: DataFrame, by: str = "age") -> DataFrame:
     """One row per box with its rendered item; ``by="age"`` oldest first (age then name,
-    both descending), ``by="name"`` by short name."""
+    both descending), ``by="name"`` by short name; ties by instance id."""
     pounds = to_pounds(F.col("price_pence"))
     item = F.format_string(BOX_ITEM_FORMAT, F.col("short_name"), F.col("age_days"), pounds)
     item = F.when(F.col("short_name").isNotNull() & F.col("age_days").isNotNull(), item)
     boxes = costs.select("*", pounds.alias("price_pounds"), item.alias("item_text"))
     if by == "age":
-        return boxes.orderBy(F.desc("age_days"), F.desc("short_name"))
+        return boxes.orderBy(F.desc("age_days"), F.desc("short_name"), "instance_id")
     if by == "name":
-        return boxes.orderBy("short_name")
+        return boxes.orderBy("short_name", "instance_id")
     raise ValueError(f"unknown order {by!r}")
 
 
@@ -67,9 +67,3 @@ def cost_by_owner(costs: DataFrame) -> DataFrame:
     )
     item = F.format_string(USER_ITEM_FORMAT, F.col("owner"), F.col("instance_count"), F.col("instance_days"))
     return per_owner.select("*", F.when(F.col("owner").isNotNull(), item).alias("item_text")).orderBy("owner")
-
-
-def fleet_cost_report(instances: DataFrame, as_of, day_price: int = DAY_PRICE_PENCE):
-    """All three R6 results over one persisted set of cost rows (the rows are read once)."""
-    costs = cost_rows(instances, as_of, day_price).persist()
-    return cost_totals(costs, day_price), cost_by_box(costs), cost_by_owner(costs)

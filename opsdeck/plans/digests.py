@@ -11,15 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsdeck.constants import (AGE_DIGEST_ITEM_FORMAT, AGE_DIGEST_MIN_DAYS, AGE_ZERO_TEXT,
-                               DIGEST_SUBJECT_LEAD, EXPIRY_DIGEST_ITEM_FORMAT, EXPIRY_DIGEST_WITHIN_DAYS)
+from opsdeck.constants import (AGE_DIGEST_HEADING_FORMAT, AGE_DIGEST_ITEM_FORMAT, AGE_DIGEST_MIN_DAYS, AGE_ZERO_TEXT,
+                               DIGEST_SUBJECT_LEAD, EXPIRY_DIGEST_HEADING, EXPIRY_DIGEST_ITEM_FORMAT,
+                               EXPIRY_DIGEST_WITHIN_DAYS)
 from opsdeck.functions.tags import present_and_not, tag, tag_truthy
 from opsdeck.functions.text import plural
 from opsdeck.functions.timefns import as_of_lit, elapsed_days, expiry_phrase, parse_iso
 from opsdeck.operators.collapse import last_by
+from opsdeck.operators.joins import salted_join
 from opsdeck.plans.fleet import in_state, order_columns, test_fleet
 
 DEFAULT_SUBJECT_PREFIX = "[EC2 report] "
+DEFAULT_REPORT_URL = "https://reports.example.test/instances"
+DEFAULT_EXTEND_URL = "https://reports.example.test/extend?instance="
 
 
 def _owned_running(instances: DataFrame, ignore_owner: str) -> DataFrame:
@@ -32,8 +36,9 @@ def with_owner_header(items: DataFrame, subject_prefix: str = DEFAULT_SUBJECT_PR
                       count_column: str | None = None) -> DataFrame:
     """Adds ``n_instances`` (items of the owner) and ``subject`` to every item row.
 
-    The per-owner count is a partial+final aggregate joined back on owner; AQE broadcasts
-    it when small and splits a hot owner's partition when skewed. ``count_column`` names a
+    The per-owner count is a partial+final aggregate joined back on owner and a salt of the
+    build, so an owner with a third of all items is spread over many tasks (an aggregated side
+    is one that AQE does not split). ``count_column`` names a
     column that is never null in ``items`` (guaranteed by an earlier filter): counting it
     equals counting rows, and keeps the count branch reading the same collapse as the item
     rows, so both share one shuffle and the inventory is scanned once.
@@ -41,16 +46,18 @@ def with_owner_header(items: DataFrame, subject_prefix: str = DEFAULT_SUBJECT_PR
     counted = F.count(F.col(count_column)) if count_column else F.count(F.lit(1))
     counts = items.groupBy("owner").agg(counted.alias("n_instances"))
     subject = F.concat(F.lit(subject_prefix + DIGEST_SUBJECT_LEAD), plural(F.col("n_instances"), "running instance"))
-    return items.join(counts, "owner").withColumn("subject", subject)
+    return salted_join(items, counts, "owner", "build").withColumn("subject", subject)
 
 
 def age_digest(instances: DataFrame, as_of, *, min_days: int = AGE_DIGEST_MIN_DAYS,
                ignore_owner: str = "ops@example.test",
-               subject_prefix: str = DEFAULT_SUBJECT_PREFIX) -> DataFrame:
+               subject_prefix: str = DEFAULT_SUBJECT_PREFIX,
+               report_url: str = DEFAULT_REPORT_URL) -> DataFrame:
     """Running test instances at least ``min_days`` old (elapsed days from the API launch
     time), per owner e-mail; a build listed twice keeps its last qualifying instance.
 
-    Columns: owner, build, age_days, item_text, n_instances, subject; sorted by owner, build.
+    Columns: owner, build, age_days, item_text, heading, link, n_instances, subject; sorted by
+    owner, build. ``heading`` and ``link`` (to the report) are the same for every row.
     """
     now = as_of_lit(as_of)
     order = order_columns(instances)
@@ -60,7 +67,9 @@ def age_digest(instances: DataFrame, as_of, *, min_days: int = AGE_DIGEST_MIN_DA
     rows = rows.filter(F.col("age_days") >= min_days)
     last = last_by(rows, ["owner", "build"], order)
     item = F.format_string(AGE_DIGEST_ITEM_FORMAT, F.col("build"), plural(F.col("age_days"), "day"))
-    items = last.select("owner", "build", "age_days", item.alias("item_text"))
+    days = f"{min_days} day" + ("" if min_days == 1 else "s")
+    items = last.select("owner", "build", "age_days", item.alias("item_text"),
+                        F.lit(AGE_DIGEST_HEADING_FORMAT % days).alias("heading"), F.lit(report_url).alias("link"))
     # age_days >= min_days above: never null
     return with_owner_header(items, subject_prefix, count_column="age_days").orderBy("owner", "build")
 
@@ -71,13 +80,15 @@ def _age_text(age: Column) -> Column:
 
 def expiry_digest(instances: DataFrame, as_of, *, within_days: int = EXPIRY_DIGEST_WITHIN_DAYS,
                   ignore_owner: str = "ops@example.test",
-                  subject_prefix: str = DEFAULT_SUBJECT_PREFIX) -> DataFrame:
+                  subject_prefix: str = DEFAULT_SUBJECT_PREFIX,
+                  extend_url: str = DEFAULT_EXTEND_URL) -> DataFrame:
     """Running test instances with an expiry tag that expire within ``within_days`` whole
     days (already expired ones included), per owner e-mail.
 
     Age runs from the ``launched_at`` tag to ``as_of`` (positive for past launches);
     ``expires_days`` is whole days from ``as_of`` to the expiry, truncated toward zero.
-    Columns: owner, build, age_days, expires_days, expires_on, item_text, n_instances, subject.
+    Columns: owner, build, age_days, expires_days, expires_on, item_text, heading, link (to
+    extend the item's build), n_instances, subject.
     """
     now = as_of_lit(as_of)
     order = order_columns(instances)
@@ -93,6 +104,8 @@ def expiry_digest(instances: DataFrame, as_of, *, within_days: int = EXPIRY_DIGE
     age_text = _age_text(F.col("age_days"))
     item = F.when(age_text.isNotNull() & F.col("expires_on").isNotNull(),
                   F.format_string(EXPIRY_DIGEST_ITEM_FORMAT, F.col("build"), age_text, F.col("expires_on")))
-    items = last.select("owner", "build", "age_days", "expires_days", "expires_on", item.alias("item_text"))
+    items = last.select("owner", "build", "age_days", "expires_days", "expires_on", item.alias("item_text"),
+                        F.lit(EXPIRY_DIGEST_HEADING).alias("heading"),
+                        F.concat(F.lit(extend_url), F.col("build")).alias("link"))
     # expires_days <= within_days above: never null
     return with_owner_header(items, subject_prefix, count_column="expires_days").orderBy("owner", "build")

@@ -9,7 +9,6 @@ from opsdeck.constants import ACTION_START, ACTION_STOP, ACTION_TERMINATE
 from opsdeck.functions.tags import tag, tag_exists, tag_truthy
 from opsdeck.functions.timefns import add_hours, as_of_lit, elapsed_days, iso_z, parse_iso
 from opsdeck.operators.collapse import first_by
-from opsdeck.operators.joins import join_small
 from opsdeck.plans.fleet import in_state, order_columns, test_fleet
 
 
@@ -38,20 +37,22 @@ def morning_plan(instances: DataFrame) -> DataFrame:
 
 
 def extend_lifetime(instances: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each (build, hours) request, the first listed test instance of that build with
-    an expiry tag gets its expiry moved ``hours`` later.
-
-    Columns: build, hours, instance_id, name, old_terminate_after, new_terminate_after and
-    new_tag_value (the new expiry as ``yyyy-MM-ddTHH:mm:ssZ``). Requests matching no
-    instance produce no row.
+    """For each requested build, the first listed test instance of that build with an
+    expiry tag gets its expiry moved later by the hours of all its requests.
+
+    Each request moves the expiry that the one before left, so repeated requests of a build add
+    up. Columns: build, n_requests, hours (their sum), instance_id, name, old_terminate_after,
+    new_terminate_after and new_tag_value (the new expiry as ``yyyy-MM-ddTHH:mm:ssZ``).
+    Requests matching no instance produce no row. Instances and requests are reduced to one row
+    per build (map-side first) before they meet.
     """
     order = order_columns(instances)
     candidates = _expiring(instances).select(
         tag("build").alias("build"), *order, "instance_id", tag("Name").alias("name"),
         tag("terminate_after").alias("terminate_after"))
-    matched = join_small(candidates, requests.select("build", "hours"), "build", "inner")
-    first = first_by(matched, ["build", "hours"], order)
+    asked = requests.groupBy("build").agg(F.count(F.lit(1)).alias("n_requests"), F.sum("hours").alias("hours"))
+    first = first_by(candidates, ["build"], order).join(asked, "build")
     old = parse_iso(F.col("terminate_after"))
     new = add_hours(old, F.col("hours"))
-    return first.select("build", "hours", "instance_id", "name", old.alias("old_terminate_after"),
+    return first.select("build", "n_requests", "hours", "instance_id", "name", old.alias("old_terminate_after"),
                         new.alias("new_terminate_after"), iso_z(new).alias("new_tag_value"))

@@ -17,7 +17,6 @@ from opsdeck.functions.text import age_label, owner_or_unknown, severity
 from opsdeck.functions.timefns import (as_of_lit, calendar_days, created_display, elapsed_days,
                                        parse_iso)
 from opsdeck.operators.collapse import last_by
-from opsdeck.operators.joins import join_small
 from opsdeck.plans.fleet import in_state, is_state, order_columns, test_fleet
 
 
@@ -45,12 +44,13 @@ def broker_links(brokers: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
     return last.select("build", url.alias("rabbit"))
 
 
-def attach_brokers(listing: DataFrame, brokers: DataFrame, region: str = DEFAULT_REGION,
-                   max_broadcast_rows: int | None = None) -> DataFrame:
-    """Left lookup of the broker console per build; ``''`` when a build has no broker."""
-    links = broker_links(brokers, region)
-    kwargs = {} if max_broadcast_rows is None else {"max_broadcast_rows": max_broadcast_rows}
-    joined = join_small(listing, links, "build", "left", **kwargs)
+def attach_brokers(listing: DataFrame, brokers: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
+    """Left lookup of the broker console per build; ``''`` when a build has no broker.
+
+    Both sides have one row per build, so no key is hot; the planner broadcasts the links when
+    their bytes are few.
+    """
+    joined = listing.join(broker_links(brokers, region), "build", "left")
     return joined.withColumn("rabbit", F.coalesce(F.col("rabbit"), F.lit("")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdeck.functions.tags import present_and_not, tag, tag_equals, tag_exists, tag_truthy
+from opsdeck.functions.text import comma_list
 from opsdeck.functions.urls import default_url_rules
 from opsdeck.operators.access_log import parse_access_log
 from opsdeck.operators.nested import flatten_instances
@@ -62,8 +63,8 @@ def endpoint_stats_streamed(spark, sf_dir):
     run = uuid.uuid4().hex
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-stream/{run}"
     requests = log_stream.requests_stream(spark, folder, fx.LOG_MARKER, RULES, glob="*.txt")
-    query = log_stream.start_ingest(requests, f"{base}/requests", checkpoint=f"{base}/checkpoint",
-                                    available_now=True, name=f"access_log_ingest_{run}")
+    query = log_stream.start_ingest(requests, f"{base}/requests", available_now=True,
+                                    name=f"access_log_ingest_{run}")
     query.awaitTermination()
     return log_stream.endpoint_stats_ingested(spark, f"{base}/requests")
 
@@ -94,7 +95,8 @@ def tag_filters(spark, sf_dir):
 
 def build_last_wins(spark, sf_dir):
     last = listings.build_last_wins(fx.instances(spark, sf_dir), fx.EXCLUDED_BUILDS)
-    return last.select("build", "instance_id", "res_pos", "inst_pos", "state",
+    position = (F.col("page") * 10 + F.col("res_pos")).cast("int")  # pages hold 10 reservations
+    return last.select("build", "instance_id", position.alias("res_pos"), "inst_pos", "state",
                        F.col("tags")["hostname"].alias("hostname"),
                        F.col("tags")["launched_by_name"].alias("launched_by_name"))
 
@@ -145,6 +147,18 @@ def cost_by_box(spark, sf_dir):
     return costs.cost_by_box(_costs(spark, sf_dir))
 
 
+def cost_by_box_name(spark, sf_dir):
+    return costs.cost_by_box(_costs(spark, sf_dir), by="name")
+
+
+def name_lists(spark, sf_dir):
+    """Part names, their words as a comma list, and that list as it is shown."""
+    words = F.concat_ws(",", F.split(F.col("p_name"), " "))
+    listed = F.when(F.col("p_partkey") % 11 == 0, F.lit(None)).when(F.col("p_partkey") % 11 == 1, F.lit("")).otherwise(words)
+    parts = fx.load(spark, sf_dir, "part")
+    return parts.select("p_partkey", listed.alias("listed")).select("p_partkey", comma_list(F.col("listed")).alias("shown"))
+
+
 def cost_by_owner(spark, sf_dir):
     return costs.cost_by_owner(_costs(spark, sf_dir))
 
@@ -181,6 +195,8 @@ QUERIES: dict[str, Query] = {
     "expiry_digest": expiry_digest,                          # R5: B11 H6 H8 G10 I6
     "cost_totals": cost_totals,                              # R6a: C7 E5 I4 I5
     "cost_by_box": cost_by_box,                              # R6b: G6 G11 F5
+    "cost_by_box_name": cost_by_box_name,                    # F4
+    "name_lists": name_lists,                                # G13
     "cost_by_owner": cost_by_owner,                          # R6c: E6 G11 F6
     "nightly_plan": nightly_plan,                            # R7: B5 B7 B13 H2 H6
     "morning_plan": morning_plan,                            # R8

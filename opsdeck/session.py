@@ -38,7 +38,6 @@ def build_session(master: str | None = None, app: str = "opsdeck",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 

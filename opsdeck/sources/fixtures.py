@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdeck.functions.timefns import iso_z, iso_z_millis
+from opsdeck.sources.inventory import read_brokers, read_inventory
 from opsdeck.sources.landing import land_once, land_text_once
 
 # Proxy log lines rebuilt from events: ~1/11 lack the process marker, ~1/13 use OPTIONS.
@@ -62,11 +63,10 @@ select s_suppkey as pos, concat('b-', s_suppkey) as broker_id,
 from {supplier}
 """
 
-# Every build gets one request (hours depend on the build only), so the plan covers the whole
-# inventory; FIXTURES §3.5 also filtered o_orderkey % 7 = 0, which selects the same builds from
-# sf0.01 up and is dropped so that no query reads a subset of a table.
+# Every order asks for its build, so a build has many requests and the plan covers the whole
+# inventory.
 EXTENSION_REQUESTS_SQL = """
-select distinct concat('Sid_', o_orderkey % 1000) as build, cast(1 + o_orderkey % 1000 % 72 as double) as hours
+select concat('Sid_', o_orderkey % 1000) as build, cast(1 + o_orderkey % 3 as double) as hours
 from {orders}
 """
 
@@ -83,16 +83,6 @@ def duckdb_sql(text: str) -> str:
     return text.format(events="events", orders="orders", customer="customer", supplier="supplier")
 
 
-MAX_LANDED_FILES = 64
-
-
-def _landed_files(spark: SparkSession) -> int:
-    """Landed test tables are written as several files, like any landed table, so their scans
-    run as parallel tasks: one per default-parallelism slot, at most 64 (the test tables are
-    small; thousands of cluster cores would otherwise mean thousands of tiny files)."""
-    return max(1, min(spark.sparkContext.defaultParallelism, MAX_LANDED_FILES))
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -130,8 +120,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def access_log_folder(spark: SparkSession, sf_dir: str) -> str:
     """The derived proxy lines written once per session as text files (``part-*.txt``)."""
-    return land_text_once(spark, f"access_log/{sf_dir}", lambda: access_log_lines(spark, sf_dir),
-                          files=_landed_files(spark))
+    return land_text_once(spark, f"access_log/{sf_dir}", lambda: access_log_lines(spark, sf_dir))
 
 
 def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,37 +138,54 @@ def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
                         tags.alias("Tags"))
 
 
+def inventory_folder(spark: SparkSession, sf_dir: str, page_size: int = 10) -> str:
+    """The instance listing as landed JSON lines, one response with its page number per line,
+    written once per session. Absent tags have no entry, null fields no key."""
+    from opsdeck.operators.nested import nest_instances
+
+    def build() -> DataFrame:
+        pages = nest_instances(raw_instances(spark, sf_dir), page_size=page_size)
+        return pages.select(F.to_json(F.struct("page", "Reservations")).alias("value"))
+
+    return land_text_once(spark, f"inventory_json/{page_size}/{sf_dir}", build)
+
+
+def inventory_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page, Reservations`` through the inventory reader."""
+    return read_inventory(spark, inventory_folder(spark, sf_dir), json_lines=True)
+
+
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat instances ``res_pos, inst_pos, instance_id, launch_time, private_ip, tags, state``,
-    landed once per session as a parquet table partitioned by ``state`` (null tag value =
-    absent tag), so state filters prune folders.
+    """Flat instances ``page, res_pos, inst_pos, instance_id, launch_time, private_ip, tags,
+    state``: the JSON listing read, flattened and landed once per session as a parquet table
+    partitioned by ``state``, so state filters prune folders.
 
-    Reports run over the landed table as they would over a landed inventory. Left as an
-    expression-built map, every pushed-down report filter would carry the whole map builder
-    and constraint inference over those copies grows combinatorially.
+    Reports run over the landed table. Left as an expression-built map, every pushed-down
+    report filter would carry the whole map builder and constraint inference over those
+    copies grows combinatorially.
     """
-    def build() -> DataFrame:
-        facts = _facts(spark, sf_dir)
-        keys, values = zip(*_tag_values(facts))
-        tags = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*values))
-        return facts.select("res_pos", "inst_pos", "instance_id", "launch_time", "private_ip", "state",
-                            tags.alias("tags"))
+    from opsdeck.operators.nested import flatten_instances
 
-    return land_once(spark, f"instances/{sf_dir}", build, files=_landed_files(spark), partition_by=("state",))
+    return land_once(spark, f"instances/{sf_dir}", lambda: flatten_instances(inventory_docs(spark, sf_dir)),
+                     partition_by=("state",))
 
 
-def inventory_docs(spark: SparkSession, sf_dir: str, page_size: int = 10) -> DataFrame:
-    """Nested instance-listing pages ``page, Reservations`` (as the cloud API returns them),
-    built from ``raw_instances`` and landed once per session as nested parquet."""
-    from opsdeck.operators.nested import nest_instances
+def brokers_folder(spark: SparkSession, sf_dir: str, page_size: int = 50) -> str:
+    """The broker listing as landed JSON lines, pages of ``page_size`` brokers."""
+    def build() -> DataFrame:
+        rows = spark.sql(BROKERS_SQL, supplier=load(spark, sf_dir, "supplier"))
+        one = F.struct(F.col("pos"), F.struct(F.col("broker_id").alias("BrokerId"), F.col("broker_name").alias("BrokerName")).alias("b"))
+        pages = rows.groupBy(F.floor(F.col("pos") / page_size).cast("bigint").alias("page")).agg(
+            F.array_sort(F.collect_list(one)).alias("all"))
+        doc = F.struct(F.col("page"), F.transform("all", lambda x: x["b"]).alias("BrokerSummaries"))
+        return pages.select(F.to_json(doc).alias("value"))
 
-    return land_once(spark, f"inventory_docs/{page_size}/{sf_dir}",
-                     lambda: nest_instances(raw_instances(spark, sf_dir), page_size=page_size),
-                     files=_landed_files(spark))
+    return land_text_once(spark, f"brokers_json/{page_size}/{sf_dir}", build)
 
 
 def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(BROKERS_SQL, supplier=load(spark, sf_dir, "supplier"))
+    """``page, pos, broker_id, broker_name`` through the broker reader."""
+    return read_brokers(spark, brokers_folder(spark, sf_dir), json_lines=True)
 
 
 def extension_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,28 +21,52 @@ BROKER = T.StructType([T.StructField("BrokerId", T.StringType()), T.StructField(
 BROKERS_SCHEMA = T.StructType([T.StructField("BrokerSummaries", T.ArrayType(BROKER))])
 
 
-def read_inventory(spark: SparkSession, path: str, multi_line: bool = True, with_page: bool = True) -> DataFrame:
-    """Instance-listing responses -> ``page, Reservations`` rows (one per response), explicit schema.
+PAGE = "page"
+
+
+def _pages(spark: SparkSession, path: str, schema: T.StructType, json_lines: bool, check: bool) -> DataFrame:
+    """One row per document with its page number: the field ``page`` of the document, else the
+    last number in the name of its file.
 
-    ``page`` is the source file's path, so several response files order as (file, position in
-    file) and "last listed wins" is well defined across pages; with JSON lines, put one page
-    per file for the same guarantee. A whole-response JSON file cannot be split, so each file
-    is one task; land large inventories as JSON lines (``multi_line=False``).
+    Pages order the documents, so several of which one has no number, or two have the same,
+    leave "last listed wins" undefined. With ``check`` (the default of the readers) that is an
+    error, found by counting documents per page before anything else runs. A single document
+    needs no number; it is page 0.
     """
-    docs = spark.read.schema(INVENTORY_SCHEMA).option("multiLine", multi_line).json(path)
-    return docs.select(F.col("_metadata.file_path").alias("page"), "Reservations") if with_page else docs
+    fields = T.StructType([T.StructField(PAGE, T.LongType()), *schema.fields])
+    docs = spark.read.schema(fields).option("multiLine", not json_lines).json(path)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
+    docs = docs.withColumn(PAGE, F.coalesce(F.col(PAGE), F.when(name != "", name.cast("bigint"))))
+    if check:
+        bad = docs.groupBy(PAGE).count().filter(F.col(PAGE).isNull() | (F.col("count") > 1)).limit(5).collect()
+        single = len(bad) == 1 and bad[0]["count"] == 1 and docs.filter(F.col(PAGE).isNotNull()).isEmpty()
+        if bad and not single:
+            what = ", ".join(f"{r['count']} documents with page {r[PAGE]}" for r in bad)
+            raise ValueError(f"every document needs a page number of its own: {what}")
+    return docs.withColumn(PAGE, F.coalesce(F.col(PAGE), F.lit(0).cast("bigint")))
 
 
-def read_brokers(spark: SparkSession, path: str, multi_line: bool = True, with_page: bool = True) -> DataFrame:
-    """Broker-listing responses -> ``[page,] pos, broker_id, broker_name`` in listing order.
+def read_inventory(spark: SparkSession, path: str, json_lines: bool = False, with_page: bool = True,
+                   check: bool = True) -> DataFrame:
+    """Instance-listing responses -> ``page, Reservations`` rows (one per response), explicit schema.
 
-    ``page`` is the source file's path (as in ``read_inventory``), so "last listed wins" is
-    well defined across several listing files.
+    ``page`` is a number (see ``_pages``), so ``page-10`` follows ``page-9``. A whole-response
+    JSON file cannot be split: each is one task and one row. Land large inventories as JSON
+    lines, one response with its ``page`` per line, and read them with ``json_lines``.
+    ``with_page=False`` is for a single response.
     """
-    raw = spark.read.schema(BROKERS_SCHEMA).option("multiLine", multi_line).json(path)
-    lead = [F.col("_metadata.file_path").alias("page")] if with_page else []
+    docs = _pages(spark, path, INVENTORY_SCHEMA, json_lines, check and with_page)
+    return docs if with_page else docs.drop(PAGE)
+
+
+def read_brokers(spark: SparkSession, path: str, json_lines: bool = False, with_page: bool = True,
+                 check: bool = True) -> DataFrame:
+    """Broker-listing responses -> ``[page,] pos, broker_id, broker_name`` in listing order;
+    pages as in ``read_inventory``."""
+    raw = _pages(spark, path, BROKERS_SCHEMA, json_lines, check and with_page)
+    lead = [PAGE] if with_page else []
     exploded = raw.select(*lead, F.posexplode("BrokerSummaries").alias("pos", "b"))
-    return exploded.select(*(["page"] if with_page else []), F.col("pos").cast("bigint").alias("pos"),
+    return exploded.select(*lead, F.col("pos").cast("bigint").alias("pos"),
                            F.col("b.BrokerId").alias("broker_id"), F.col("b.BrokerName").alias("broker_name"))
 
 

@@ -21,20 +21,16 @@ def _landing_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-landed/{name.replace('/', '_')}-{uuid.uuid4().hex}"
 
 
-def land(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """Write ``df`` once as parquet under the checkpoint folder and return a scan of it.
-
-    ``files`` spreads the rows over that many files (a round-robin shuffle) so later scans
-    run as that many tasks; by default the existing partitioning is written as is.
-    """
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the checkpoint folder and return a scan of it. The
+    existing partitioning is written as is."""
     spark: SparkSession = df.sparkSession
     path = _landing_path(spark, name)
-    (df.repartition(files) if files else df).write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
-def land_once(spark: SparkSession, key: str, build, files: int | None = None,
-              partition_by: tuple[str, ...] = ()) -> DataFrame:
+def land_once(spark: SparkSession, key: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Land ``build()`` the first time per session and key; later calls re-read the table.
 
     ``partition_by`` writes one folder per value, so filters on those columns prune whole
@@ -43,8 +39,7 @@ def land_once(spark: SparkSession, key: str, build, files: int | None = None,
     cache_key = (spark.sparkContext.applicationId, key)
     if cache_key not in _LANDED:
         path = _landing_path(spark, key)
-        df = build()
-        writer = (df.repartition(files) if files else df).write.mode("errorifexists")
+        writer = build().write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
@@ -52,12 +47,21 @@ def land_once(spark: SparkSession, key: str, build, files: int | None = None,
     return spark.read.parquet(_LANDED[cache_key])
 
 
-def land_text_once(spark: SparkSession, key: str, build, files: int | None = None) -> str:
+def land_text_once(spark: SparkSession, key: str, build) -> str:
     """Write a one-column string DataFrame once per session and key as text files; return the folder."""
     cache_key = (spark.sparkContext.applicationId, "text:" + key)
     if cache_key not in _LANDED:
         path = _landing_path(spark, key)
-        df = build()
-        (df.repartition(files) if files else df).write.mode("errorifexists").text(path)
+        build().write.mode("errorifexists").text(path)
         _LANDED[cache_key] = path
     return _LANDED[cache_key]
+
+
+def drop_landed(spark: SparkSession) -> int:
+    """Delete the tables that this session landed once, and forget them; how many there were."""
+    app = spark.sparkContext.applicationId
+    mine = [key for key in _LANDED if key[0] == app]
+    for key in mine:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_LANDED.pop(key))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(mine)

@@ -19,20 +19,32 @@ from opsdeck.constants import LOG_FILE_GLOB
 from opsdeck.functions.urls import Rule
 from opsdeck.operators.access_log import endpoint_aggregate, top_endpoints
 from opsdeck.plans.traffic import requests_by_endpoint
-from opsdeck.session import ensure_checkpoint_dir
+
+
+MAX_FILES_PER_TRIGGER = 1000
 
 
 def read_access_log_stream(spark: SparkSession, folder: str, glob: str = LOG_FILE_GLOB,
-                           max_files_per_trigger: int | None = None) -> DataFrame:
-    """New plain files directly inside ``folder`` matching ``glob`` -> streaming ``value`` lines."""
+                           max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER,
+                           max_file_age: str | None = None) -> DataFrame:
+    """New plain files directly inside ``folder`` matching ``glob`` -> streaming ``value`` lines.
+
+    A micro-batch takes at most ``max_files_per_trigger`` files; the rest wait for the next
+    ones, none is left out. Spark remembers the files it has seen for ``max_file_age`` before
+    the newest one (its default: 7 days) and ignores older ones; move done files out of the
+    folder to keep its listing short.
+    """
     reader = spark.readStream.format("text").option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if max_file_age:
+        reader = reader.option("maxFileAge", max_file_age)
     return reader.load(folder)
 
 
 def requests_stream(spark: SparkSession, folder: str, marker: str | None, rules: Sequence[Rule],
-                    glob: str = LOG_FILE_GLOB, max_files_per_trigger: int | None = None) -> DataFrame:
+                    glob: str = LOG_FILE_GLOB,
+                    max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER) -> DataFrame:
     """Streaming keyed requests: ``method, url`` (decoded, normalised), time, bytes, status."""
     lines = read_access_log_stream(spark, folder, glob, max_files_per_trigger)
     return requests_by_endpoint(lines, marker, rules)
@@ -42,11 +54,13 @@ def start_ingest(requests: DataFrame, output: str, checkpoint: str | None = None
                  available_now: bool = False, name: str = "access_log_ingest") -> StreamingQuery:
     """Append the keyed requests of each micro-batch to the parquet table at ``output``.
 
-    ``checkpoint`` defaults to a folder under the cluster's ``spark.checkpoint.dir``;
-    ``available_now`` processes every file present and stops (scheduled runs).
+    ``checkpoint`` defaults to the folder ``<output>_checkpoint`` beside the table, so a table
+    and its progress belong together whichever application runs the ingestion (a folder that
+    changes with the application would start again at batch 0, which the table's commit log
+    takes as done, and new files would be lost). ``available_now`` processes every file present
+    and stops (scheduled runs).
     """
-    spark = requests.sparkSession
-    location = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-stream/{name}"
+    location = checkpoint or f"{output.rstrip('/')}_checkpoint"
     writer = (requests.writeStream.format("parquet").outputMode("append").queryName(name)
               .option("path", output).option("checkpointLocation", location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from opsdeck.functions.urls import default_url_rules
 from opsdeck.operators.collapse import last_by
-from opsdeck.operators.joins import join_small
+from opsdeck.operators.joins import salted_join
 from opsdeck.plans.traffic import endpoint_stats
 from test_access_log import line, lines_df
 
@@ -55,16 +56,54 @@ def test_hot_key_collapse_is_correct(spark):
     assert len(out) == 1001
 
 
-def test_join_small_broadcasts_only_under_the_bound(spark):
-    big = spark.range(0, 10000).select(F.col("id").alias("k"))
-    small = spark.range(0, 10).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+@pytest.fixture
+def no_broadcast(spark):
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # isolate the explicit decision
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_salted_join_splits_a_hot_key(spark, no_broadcast):
+    rows = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
+                                       F.col("id").alias("item"))
+    lookup = rows.groupBy("k").agg(F.count("*").alias("n"))
+    joined = salted_join(rows, lookup, "k", "item")
+    assert "BroadcastHashJoin" not in physical(joined)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        assert "BroadcastHashJoin" in physical(join_small(big, small, "k", "left", max_broadcast_rows=10))
-        assert "BroadcastHashJoin" not in physical(join_small(big, small, "k", "left", max_broadcast_rows=9))
+        parts = joined.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 3000     # no single task holds the key
+    assert joined.filter("k = 'hot' and n <> 3000").count() == 0 and joined.count() == 9000
+    left = salted_join(rows, lookup.filter("k <> 'hot'"), "k", "item", "left")
+    assert left.count() == 9000 and left.filter("n is null").count() == 3000
+
+
+def test_digest_spreads_a_hot_owner(spark, no_broadcast):
+    from conftest import make_instances
+    from opsdeck.plans.digests import with_owner_header
+    rows = [{"instance_id": f"i-{i}"} for i in range(300)]
+    items = make_instances(spark, rows).select(
+        F.when(F.pmod(F.hash("instance_id"), F.lit(3)) > 0, F.lit("hot")).otherwise(F.col("instance_id")).alias("owner"),
+        F.col("instance_id").alias("build"))
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = with_owner_header(items)
+        assert out.filter("owner = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+
+
+def test_extension_collapses_before_the_join(spark, no_broadcast):
+    from conftest import make_instances
+    from opsdeck.plans.lifecycle import extend_lifetime
+    inst = make_instances(spark, [{"instance_id": "i-1", "tags": {"role": "test", "build": "a", "terminate_after": "x"}}])
+    plan = physical(extend_lifetime(inst, spark.createDataFrame([("a", 1.0)], "build string, hours double")))
+    join = plan.index("SortMergeJoin")
+    assert plan.find("Aggregate") > join and plan.count("Aggregate") >= 4    # both sides, below the join
 
 
 def test_inventory_scan_pruned_and_pushed(spark):

@@ -163,9 +163,9 @@ def test_extend_lifetime(spark):
         {"instance_id": "i-2", "tags": t(build="a", Name="second", terminate_after="2001-08-09T10:00:00.000Z")},
         {"instance_id": "i-3", "tags": t(build="b")},
     ])
-    req = spark.createDataFrame([("a", 1.5), ("b", 2.0), ("zz", 1.0)], "build string, hours double")
+    req = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("zz", 1.0), ("a", 0.5)], "build string, hours double")
     out = [tuple(r) for r in lifecycle.extend_lifetime(inst, req).collect()]
-    assert out == [("a", 1.5, "i-1", "first", dt.datetime(2001, 8, 1, 10), dt.datetime(2001, 8, 1, 11, 30),
+    assert out == [("a", 2, 1.5, "i-1", "first", dt.datetime(2001, 8, 1, 10), dt.datetime(2001, 8, 1, 11, 30),
                     "2001-08-01T11:30:00Z")]
 
 
@@ -204,3 +204,51 @@ def test_digest_with_a_hot_owner(spark):
             last_age[f"b{i % 400}"] = 3 + i % 5
     got = {r.build: r.age_days for r in out.filter(F.col("owner") == "hot@e").collect()}
     assert got == last_age
+
+
+def test_orders_of_the_sorted_reports(spark):
+    """The rows of each report in the order its readers see."""
+    rows = [{"instance_id": f"i-{k}", "launch": ago(1 + (k * 7) % 4), "state": "running" if k % 3 else "stopped",
+             "tags": t(build=f"b{(k * 5) % 9}", hostname=f"h{k % 4}.example.test", launched_by_name=f"n{k % 3}",
+                       launched_by_email=f"u{k % 2}@e", launched_at=iso(ago(2)), terminate_after=iso(ago(-1)))}
+            for k in range(24)]
+    inst = make_instances(spark, rows).repartition(5)
+    fleet = [(not r.running, r.build.lower()) for r in listings.fleet_listing(inst, _brokers(spark, []), AS_OF).collect()]
+    assert fleet == sorted(fleet)
+    running = [r.build for r in listings.running_listing(inst, AS_OF).collect()]
+    assert running == sorted(running) and len(running) > 1
+    for digest in (digests.age_digest(inst, AS_OF, min_days=1), digests.expiry_digest(inst, AS_OF)):
+        keys = [(r.owner, r.build) for r in digest.collect()]
+        assert keys == sorted(keys) and len(keys) > 1
+    boxes = costs.cost_rows(inst, AS_OF)
+    by_age = [(-r.age_days, [-ord(c) for c in r.short_name], r.instance_id) for r in costs.cost_by_box(boxes).collect()]
+    assert by_age == sorted(by_age)
+    by_name = [(r.short_name, r.instance_id) for r in costs.cost_by_box(boxes, by="name").collect()]
+    assert by_name == sorted(by_name) and len(by_name) == 24
+    owners = [r.owner for r in costs.cost_by_owner(boxes).collect()]
+    assert owners == sorted(owners)
+
+
+def test_digest_headings_and_links(spark):
+    inst = make_instances(spark, [{"instance_id": "i-1", "launch": ago(3), "tags": t(
+        build="a", launched_by_email="u@e", launched_at=iso(ago(3)), terminate_after=iso(ago(-2)))}])
+    one = digests.age_digest(inst, AS_OF, min_days=1, report_url="https://r.test").first()
+    assert one.heading == "Here's a list of your instances that have been running for 1 day or more:"
+    assert one.link == "https://r.test"
+    assert " 2 days or more:" in digests.age_digest(inst, AS_OF).first().heading
+    soon = digests.expiry_digest(inst, AS_OF, extend_url="https://r.test/more?b=").first()
+    assert soon.heading.endswith("terminated soon:") and soon.link == "https://r.test/more?b=a"
+
+
+def test_overwritten_brokers_are_seen_and_nothing_is_cached(spark, tmp_path):
+    import json
+
+    from opsdeck.sources.inventory import read_brokers
+    inst = make_instances(spark, [{"instance_id": "i-1", "tags": t(build="a")}])
+
+    def rabbit(broker):
+        (tmp_path / "brokers.json").write_text(json.dumps({"BrokerSummaries": [{"BrokerId": broker, "BrokerName": "a-rabbit-dev"}]}))
+        return listings.fleet_listing(inst, read_brokers(spark, str(tmp_path)), AS_OF).first().rabbit
+
+    assert "old" in rabbit("old") and "new" in rabbit("new")
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()

@@ -3,18 +3,41 @@
 from __future__ import annotations
 
 from opsdeck.session import ensure_checkpoint_dir
-from opsdeck.sources.landing import land
+from opsdeck.sources.landing import drop_landed, land, land_once
 
 
 def test_checkpoint_dir_is_taken_from_the_session(spark):
-    configured = spark.sparkContext.getCheckpointDir()
-    assert configured
+    configured = ensure_checkpoint_dir(spark)              # set on first use, not by build_session
+    assert spark.sparkContext.getCheckpointDir() == configured
     assert ensure_checkpoint_dir(spark) == configured      # never replaced once set
 
 
 def test_landing_writes_under_the_checkpoint_dir(spark):
     df = spark.range(5).withColumnRenamed("id", "x")
-    landed = land(df, "session_test", files=2)
+    landed = land(df, "session_test")
     root = ensure_checkpoint_dir(spark).replace("file:", "")
     assert all(root in f.replace("file:", "") for f in landed.inputFiles())
     assert sorted(r.x for r in landed.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_landed_tables_can_be_dropped(spark):
+    import os
+    landed = land_once(spark, "drop_test", lambda: spark.range(3))
+    path = landed.inputFiles()[0].replace("file:", "")
+    assert os.path.exists(path) and drop_landed(spark) >= 1 and not os.path.exists(path)
+    assert land_once(spark, "drop_test", lambda: spark.range(4)).count() == 4     # landed anew
+
+
+def test_workers_import_the_package(spark):
+    from opsdeck.session import share_code
+    share_code(spark)
+    share_code(spark)
+    home = os_home()
+    assert spark.sparkContext.environment["PYTHONPATH"].split(":").count(home) == 1
+
+
+def os_home():
+    import os
+
+    import opsdeck
+    return os.path.dirname(os.path.dirname(os.path.abspath(opsdeck.__file__)))

@@ -7,6 +7,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from opsdeck.operators.nested import flatten_instances
 from opsdeck.sources.inventory import read_brokers, read_inventory
 
@@ -43,10 +45,46 @@ def test_read_and_flatten_api_response(spark):
 
 
 def test_json_lines_pages(spark):
-    page2 = {"Reservations": [{"Instances": [{"InstanceId": "i-9", "State": {"Name": "running"}}]}]}
-    folder = _folder({"pages.json": json.dumps(DOC) + "\n" + json.dumps(page2) + "\n"})
-    ids = sorted(r.instance_id for r in flatten_instances(read_inventory(spark, folder, multi_line=False)).collect())
-    assert ids == ["i-1", "i-2", "i-3", "i-9"]
+    page2 = {"page": 2, "Reservations": [{"Instances": [{"InstanceId": "i-9", "State": {"Name": "running"}}]}]}
+    folder = _folder({"pages.json": json.dumps({"page": 1, **DOC}) + "\n" + json.dumps(page2) + "\n"})
+    rows = flatten_instances(read_inventory(spark, folder, json_lines=True)).collect()
+    assert sorted((r.page, r.instance_id) for r in rows) == [(1, "i-1"), (1, "i-2"), (1, "i-3"), (2, "i-9")]
+
+
+def _owner_page(owner, **page):
+    return json.dumps({**page, "Reservations": [{"Instances": [{
+        "InstanceId": f"i-{owner}", "LaunchTime": "2001-07-01T10:00:00.000Z", "State": {"Name": "running"},
+        "Tags": [{"Key": "role", "Value": "test"}, {"Key": "build", "Value": "a"},
+                 {"Key": "launched_by_name", "Value": owner}]}]}]})
+
+
+def test_pages_are_ordered_by_number_not_by_text(spark):
+    from conftest import AS_OF
+    from opsdeck.plans import listings
+    folder = _folder({f"page-{k}.json": _owner_page(f"page{k}") for k in range(1, 11)})
+    inst = flatten_instances(read_inventory(spark, folder))
+    assert [r.owner for r in listings.running_listing(inst, AS_OF).collect()] == ["page10"]
+
+
+def test_many_documents_in_one_file_have_one_order(spark):
+    from conftest import AS_OF
+    from opsdeck.plans import listings
+    folder = _folder({"all.json": "\n".join(_owner_page(f"line{k:04d}", page=k) for k in range(500))})
+    flat = flatten_instances(read_inventory(spark, folder, json_lines=True))
+    for inst in (flat, flat.repartition(3), flat.repartition(7, "instance_id")):
+        assert [r.owner for r in listings.running_listing(inst, AS_OF).collect()] == ["line0499"]
+
+
+def test_documents_without_an_order_are_refused(spark):
+    same = _folder({"all.json": _owner_page("x", page=1) + "\n" + _owner_page("y", page=1)})
+    none = _folder({"all.json": _owner_page("x") + "\n" + _owner_page("y")})
+    mixed = _folder({"all.json": _owner_page("x") + "\n" + _owner_page("y", page=4)})
+    for folder in (same, none, mixed):
+        with pytest.raises(ValueError, match="page number of its own"):
+            read_inventory(spark, folder, json_lines=True)
+    assert read_inventory(spark, same, json_lines=True, check=False).count() == 2
+    single = _folder({"all.json": _owner_page("x")})
+    assert [r.page for r in read_inventory(spark, single, json_lines=True).collect()] == [0]
 
 
 def test_read_brokers(spark):

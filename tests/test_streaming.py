@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 import tempfile
 
 from opsdeck.functions.urls import default_url_rules
@@ -45,3 +47,23 @@ def test_stream_matches_batch_incrementally(spark):
     expected = {("GET", "/a/[id]"): (3, 1, 1, 1), ("POST", "/c"): (1, 1, 0, 0)}
     assert _stats(endpoint_stats_ingested(spark, output)) == batch() == expected
     assert spark.read.parquet(output).count() == 4
+
+
+def test_a_second_application_continues(spark):
+    """The default checkpoint lies beside the table, so another application finds it (Spark's own
+    checkpoint folder is another one in each application)."""
+    folder = tempfile.mkdtemp(prefix="opsdeck-stream-in-")
+    output = os.path.join(tempfile.mkdtemp(prefix="opsdeck-stream-"), "requests")
+    script = (
+        "import sys; sys.path[:0] = [%r]\n"
+        "from opsdeck.session import build_session\n"
+        "from opsdeck.functions.urls import default_url_rules\n"
+        "from opsdeck.streaming.log_stream import requests_stream, start_ingest\n"
+        "spark = build_session('local[2]', shuffle_partitions=2, extra={'spark.checkpoint.dir': %r})\n"
+        "start_ingest(requests_stream(spark, %r, 'edge_proxy', default_url_rules('REF')), %r,"
+        " available_now=True).awaitTermination()\n"
+    ) % (os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tempfile.mkdtemp(prefix="opsdeck-ck-"), folder, output)
+    for name, url in (("a.log", "/one/x"), ("b.log", "/two/x")):
+        _write(folder, name, [line(url=url)])
+        subprocess.run([sys.executable, "-c", script], check=True, capture_output=True, timeout=300)
+    assert _stats(endpoint_stats_ingested(spark, output)) == {("GET", "/one/x"): (1, 1, 0, 0), ("GET", "/two/x"): (1, 1, 0, 0)}
