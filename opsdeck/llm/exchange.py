@@ -49,9 +49,9 @@ def layout(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES, bucke
     return Layout(max(1, math.ceil(n / chunk_bytes)), max(1, math.ceil(n / bucket_bytes)))
 
 
-def chunked(docs: DataFrame, key: list[Column], n_chunks: int) -> DataFrame:
-    """``docs`` with the number of each row's chunk."""
-    return docs.withColumn(CHUNK, F.pmod(F.xxhash64(*key), F.lit(n_chunks)).cast("int"))
+def chunked(docs: DataFrame, key: list[Column], n_chunks: int, chunk_col: str = CHUNK) -> DataFrame:
+    """``docs`` with the number of each row's chunk, in a column whose name it doesn't have yet."""
+    return docs.withColumn(chunk_col, F.pmod(F.xxhash64(*key), F.lit(n_chunks)).cast("int"))
 
 
 def pack(keys: np.ndarray, n_bytes: int) -> bytes:
@@ -137,21 +137,22 @@ _REQUEST = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("note", pa
 _ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("note", pa.bool_()), ("payload", pa.binary())])
 
 
-def requests(chunks: DataFrame, order: list[str], n_buckets: int, make: Callable, answers: DataFrame | None = None) -> DataFrame:
+def requests(chunks: DataFrame, order: list[str], n_buckets: int, make: Callable, answers: DataFrame | None = None,
+             chunk_col: str = CHUNK) -> DataFrame:
     """``make(rows, answers, Requests)`` for every chunk; the rows are in order."""
     def first(rows: pa.Table) -> pa.Table:
-        to = Requests(rows[CHUNK][0].as_py(), n_buckets)
+        to = Requests(rows[chunk_col][0].as_py(), n_buckets)
         make(_ordered(rows, order), None, to)
         return _table(to.rows, _REQUEST)
 
     def later(rows: pa.Table, back: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table([], _REQUEST)
-        to = Requests(rows[CHUNK][0].as_py(), n_buckets)
+        to = Requests(rows[chunk_col][0].as_py(), n_buckets)
         make(_ordered(rows, order), _answers(back), to)
         return _table(to.rows, _REQUEST)
 
-    by = chunks.groupBy(CHUNK)
+    by = chunks.groupBy(chunk_col)
     if answers is None:
         return by.applyInArrow(first, REQUEST)
     return by.cogroup(answers.groupBy("chunk")).applyInArrow(later, REQUEST)
@@ -191,7 +192,8 @@ def summed(asked: DataFrame, count: Callable, n_chunks: int) -> DataFrame:
                         F.lit(True).alias("note"), F.col("json").cast("binary").alias("payload"))
 
 
-def finish(chunks: DataFrame, answers: DataFrame, order: list[str], make: Callable, schema: str) -> DataFrame:
+def finish(chunks: DataFrame, answers: DataFrame, order: list[str], make: Callable, schema: str,
+           chunk_col: str = CHUNK) -> DataFrame:
     """``make(rows, answers)`` for every chunk gives a table of ``schema``."""
     def run(rows: pa.Table, back: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -202,4 +204,4 @@ def finish(chunks: DataFrame, answers: DataFrame, order: list[str], make: Callab
     from pyspark.sql.types import StructType
 
     _empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-    return chunks.groupBy(CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.groupBy(chunk_col).cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

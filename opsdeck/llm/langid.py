@@ -56,7 +56,9 @@ def presence(texts: list[str | None]) -> np.ndarray:
         code = np.where(letter, code, np.uint32(32))
         keep = letter.copy()  # of a run of other characters the first stands for the border
         keep[1:] |= letter[:-1]
-        code = np.concatenate(([np.uint32(32)], code[keep], [np.uint32(32)])).astype(np.uint32)
+        code = code[keep]
+        end = [] if code[-1] == 32 else [np.uint32(32)]
+        code = np.concatenate(([np.uint32(32)], code, end)).astype(np.uint32)
         mixed, first = np.zeros(len(code), dtype=np.uint32), 0
         for n, places in enumerate(PLACES):
             mixed = (mixed[: len(code) - n] if n == 0 else mixed[:-1]) * _MULTIPLIERS[1] + code[n:] * _MULTIPLIERS[0]

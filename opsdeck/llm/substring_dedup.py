@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsdeck.llm import exchange
+from opsdeck.llm.common import fresh
 from opsdeck.llm.words import Texts
 
 WINDOW = 35
@@ -72,7 +73,9 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, block: int | None =
     added = ("n_words", "n_removed", "spans")
     docs = docs.drop(*added)
     sizes = sizes or exchange.layout(docs, text_col)
-    chunks = exchange.chunked(docs.withColumn(text_col, F.col(text_col).cast("binary")), [F.col(id_col), F.col(text_col)], sizes.n_chunks)
+    chunk = fresh(docs, exchange.CHUNK)
+    chunks = exchange.chunked(docs.withColumn(text_col, F.col(text_col).cast("binary")), [F.col(id_col), F.col(text_col)],
+                              sizes.n_chunks, chunk)
     order, n_buckets = [id_col, text_col], sizes.n_buckets
 
     def probe(rows: pa.Table, _, to: exchange.Requests) -> None:
@@ -149,9 +152,9 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, block: int | None =
         return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.chunked_array([c]) for c in columns],
                                     names=[f.name for f in out_fields] + list(added))
 
-    hits = exchange.answer(exchange.requests(chunks, order, n_buckets, probe), match)
-    repeats = exchange.answer(exchange.requests(chunks, order, n_buckets, extend, hits), again)
-    return exchange.finish(chunks, repeats, order, remove, schema)
+    hits = exchange.answer(exchange.requests(chunks, order, n_buckets, probe, chunk_col=chunk), match)
+    repeats = exchange.answer(exchange.requests(chunks, order, n_buckets, extend, hits, chunk), again)
+    return exchange.finish(chunks, repeats, order, remove, schema, chunk)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

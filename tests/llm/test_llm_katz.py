@@ -1,0 +1,92 @@
+import math
+from collections import Counter, defaultdict
+
+import pytest
+from conftest import make_docs, noisy_texts, with_clashes, words
+from pyspark.sql import functions as F
+
+from opsdeck.llm import exchange, katz
+
+
+class Brute:
+    """The model from its definition, on plain dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.seqs = order, [[None, *words(t, lower=True), 0] for t in texts]
+        self.c = [None, *(Counter(tuple(q[p:p + k]) for q in self.seqs for p in range(len(q) - k + 1)) for k in range(1, order + 1))]
+        self.starts = self.c[1].pop((None,), 0)
+        self.n, self.v = sum(self.c[1].values()), len(self.c[1])
+        self.d = [None]
+        for k in range(1, order + 1):
+            n = Counter(self.c[k].values())
+            self.d.append(katz.discounts({r: n[r] for r in range(1, 7)}))
+        self.mass = sum(self.t(1, x) for x in self.c[1].values())
+        self.unseen = max(1 - self.mass / self.n, 1 / (self.n + 1)) if self.n else 1.0
+        self.follow = [None, None, *(defaultdict(list) for _ in range(order - 1))]
+        for k in range(2, order + 1):
+            for gram, x in self.c[k].items():
+                if x >= katz.CUT:
+                    self.follow[k][gram[:-1]].append(gram)
+
+    def t(self, k, x):
+        return self.d[k][x] * x if x <= katz.TOP else x
+
+    def count(self, gram):
+        return self.starts if gram == (None,) else self.c[len(gram)][gram]
+
+    def p(self, gram):
+        k = len(gram)
+        if k == 1:
+            x = self.c[1].get(gram, 0)
+            return self.t(1, x) * (1 - self.unseen) / self.mass if x else self.unseen
+        x, h = self.c[k].get(gram, 0), gram[:-1]
+        if x >= katz.CUT:
+            return self.t(k, x) / (self.count(h) + 1)
+        seen = self.follow[k].get(h, [])
+        up = sum(self.t(k, self.c[k][g]) / (self.count(h) + 1) for g in seen)
+        return (1 - up) / (1 - sum(self.p(g[1:]) for g in seen)) * self.p(gram[1:])
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_against_brute_force(spark, order):
+    texts = noisy_texts(1, n=60, vocabulary=9)
+    docs = with_clashes(make_docs(spark, texts))
+    got = {r.doc_id: r for r in katz.train_and_score(docs, F.col("doc_id") % 4 == 1, order=order, sizes=exchange.Layout(3, 4)).collect()}
+    model = Brute([t for i, t in enumerate(texts) if i % 4 != 1], order)
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        q, r = [None, *words(text, lower=True), 0], got[i]
+        score = sum(math.log10(model.p(tuple(q[max(0, j - order + 1):j + 1]))) for j in range(1, len(q)))
+        base = sum(math.log10((model.c[1].get((w,), 0) + 1) / (model.n + model.v + 1)) for w in q[1:])
+        assert r.score == pytest.approx(score, abs=1e-6) and r.base_score == pytest.approx(base, abs=1e-6)
+        assert (r.n_tokens, r.train_tokens, r.held_out) == (len(q) - 1, model.n, i % 4 == 1)
+        assert r.n_known == sum((w,) in model.c[1] for w in q[1:])
+    histories = [h for h in model.follow[order]]
+    assert histories
+    for h in histories[:20]:  # the probabilities of every history add up to 1
+        assert sum(model.p((*h, *w)) for w in model.c[1]) + model.p((*h, "unseen")) == pytest.approx(1)
+
+
+def test_discounts():
+    d = katz.discounts({1: 1000, 2: 400, 3: 220, 4: 140, 5: 100, 6: 75})
+    a = 6 * 75 / 1000
+    assert d[1] == pytest.approx((2 * 400 / 1000 - a) / (1 - a)) and all(0 < x < 1 for x in d[1:])
+    for odd in ({}, {1: 5}, {1: 1, 2: 9, 3: 0}, {r: 10 for r in range(1, 7)}):
+        assert all(0 < x <= 1 for x in katz.discounts(odd)[1:])
+
+
+def test_empty_table_no_training_and_repeated_rows(spark):
+    docs = make_docs(spark, noisy_texts(2, n=12))
+    assert katz.train_and_score(docs.limit(0), F.lit(False)).count() == 0
+    none = katz.train_and_score(docs, F.lit(True)).collect()
+    assert len(none) == 12 and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in none)
+    twice = katz.train_and_score(docs.union(docs), F.lit(None).cast("boolean"))
+    assert twice.count() == 24 and twice.distinct().count() == 12 and twice.filter("held_out").count() == 0
+
+
+def test_model_is_stored_in_partitions(spark, tmp_path):
+    path = f"{tmp_path}/model"
+    katz.train_and_score(make_docs(spark, noisy_texts(3)), F.lit(False), path=path, order=3)
+    stored = spark.read.parquet(path)
+    assert {(r.kind, r.order) for r in stored.select("kind", "order").distinct().collect()} == {
+        ("score", 3), ("count", 1), ("count", 2), ("count", 3), ("weight", 2), ("weight", 3)}
