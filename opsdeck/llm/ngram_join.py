@@ -316,3 +316,25 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, len(w) AS words, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+windows AS (
+  SELECT doc_id, words, i, string_agg(word, ' ') OVER ahead AS gram, count(*) OVER ahead AS n FROM places
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+grams AS (SELECT DISTINCT doc_id, gram FROM windows WHERE n = 5 OR (i = 1 AND words < 5)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id
+           GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, b AS other FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+least AS (SELECT node, min(other) AS other FROM reach GROUP BY node)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, least(t.doc_id, coalesce(l.other, t.doc_id)) AS component_id
+FROM texts t LEFT JOIN sizes s ON t.doc_id = s.doc_id LEFT JOIN least l ON l.node = t.doc_id
+"""

@@ -20,4 +20,6 @@ QUERIES = {
 #: DuckDB SQL where SQL can express the operator; the others are tested by brute force.
 ORACLE_SQL = {
     "op1_mix_sources": mixing.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op9_ngram_jaccard_join": ngram_join.ORACLE,
 }

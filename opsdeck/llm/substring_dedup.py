@@ -160,3 +160,26 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, block: int | None =
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeated_words(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+windows AS (
+  SELECT doc_id, i, word, string_agg(word, ' ') OVER ahead AS body, count(*) OVER ahead AS n FROM places
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+again AS (SELECT body FROM windows WHERE n = 35 GROUP BY body HAVING count(*) > 1),
+marked AS (
+  SELECT w.doc_id, w.i, w.word, CASE WHEN w.n = 35 AND a.body IS NOT NULL THEN 1 ELSE 0 END AS starts
+  FROM windows w LEFT JOIN again a ON w.n = 35 AND w.body = a.body),
+judged AS (
+  SELECT doc_id, i, word, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM marked),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS body
+  FROM judged GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
