@@ -48,7 +48,7 @@ ORDER = 2
 CUT = 2
 TOP = 5  # largest count that is discounted
 START, END = np.uint64(0x6C62272E07BB0142), np.uint64(0x62B821756295C58D)
-MODEL = "kind string, order int, bucket int, keys binary, values binary"
+MODEL = "kind string, order int, bucket int, n_buckets int, keys binary, values binary"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
 
@@ -219,6 +219,10 @@ def _count(k: int, keys, extras) -> list[bytes]:
 
 def _count_totals(k: int, keys, extras) -> dict:
     distinct, total, *_ = _merged(k, keys, extras)
+    return _totals(k, distinct, total)
+
+
+def _totals(k: int, distinct: np.ndarray, total: np.ndarray) -> dict:
     starts = 0
     if k == 1:
         start = distinct == START
@@ -247,7 +251,7 @@ def _weights(k: int, keys, extras) -> list[bytes]:
     return [zlib.compress(alpha[w].tobytes(), 1) for w in np.split(which, cuts)]
 
 
-def _stored(kind: str, k: int, asked: DataFrame) -> DataFrame:
+def _stored(kind: str, k: int, asked: DataFrame, n_buckets: int) -> DataFrame:
     """The model's rows of one order: sorted keys and their counts or weights, by bucket."""
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
@@ -261,16 +265,51 @@ def _stored(kind: str, k: int, asked: DataFrame) -> DataFrame:
             else:
                 distinct, value, *_ = _weigh(k, keys, extras)
                 some = value != 1.0
-            out.append({"kind": kind, "order": k, "bucket": own["bucket"][0].as_py(),
+            out.append({"kind": kind, "order": k, "bucket": own["bucket"][0].as_py(), "n_buckets": n_buckets,
                         "keys": distinct[some].tobytes(), "values": zlib.compress(value[some].tobytes(), 1)})
-        return pa.Table.from_pylist(out, schema=pa.schema([("kind", pa.string()), ("order", pa.int32()), ("bucket", pa.int32()),
-                                                           ("keys", pa.binary()), ("values", pa.binary())]))
+        return pa.Table.from_pylist(out, schema=pa.schema([
+            ("kind", pa.string()), ("order", pa.int32()), ("bucket", pa.int32()), ("n_buckets", pa.int32()),
+            ("keys", pa.binary()), ("values", pa.binary())]))
 
     return asked.groupBy("bucket").applyInArrow(run, MODEL)
 
 
-def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order: int, sizes: exchange.Layout | None):
-    """Scores and the model's rows, as DataFrames of one plan that shares its shuffles."""
+def _looked_up(asked: DataFrame, stored: DataFrame, kind: str, k: int) -> DataFrame:
+    """Answers from a stored model, in the form in which training gives them."""
+    def run(rows: pa.Table, model: pa.Table) -> pa.Table:
+        keys = model["keys"].to_pylist()
+        known = np.frombuffer(keys[0], dtype=np.uint64) if keys else np.zeros(0, np.uint64)
+        kept = zlib.decompress(model["values"][0].as_py()) if keys else b""
+        value = np.append(np.frombuffer(kept, dtype=np.int64 if kind == "count" else np.float64), 0 if kind == "count" else 1)
+        out = []
+        for c, b, note, raw, extra in zip(*(rows[n].to_pylist() for n in ("chunk", "bucket", "note", "keys", "extra")), strict=True):
+            payload = extra
+            if not note:
+                wanted = exchange.unpack(raw, key_bytes(k if kind == "count" else k - 1))
+                at = np.searchsorted(known, wanted)
+                hit = at < len(known)
+                hit[hit] = known[at[hit]] == wanted[hit]
+                blob = zlib.compress(value[np.where(hit, at, len(known))].tobytes(), 1)
+                payload = _frame([blob, exchange.pack_bits(np.zeros(len(wanted), bool))]) if kind == "count" else blob
+            out.append({"chunk": c, "bucket": b, "note": note, "payload": payload})
+        return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("note", pa.bool_()),
+                                                           ("payload", pa.binary())]))
+
+    part = stored.filter((F.col("kind") == kind) & (F.col("order") == k)).select("bucket", "keys", "values")
+    return asked.groupBy("bucket").cogroup(part.groupBy("bucket")).applyInArrow(run, exchange.ANSWER)
+
+
+def _stored_totals(stored: DataFrame, k: int, n_chunks: int) -> DataFrame:
+    """What ``_count_totals`` says, from the stored counts of an order."""
+    part = stored.filter((F.col("kind") == "count") & (F.col("order") == k))
+    rows = part.select("bucket", F.lit(0).alias("chunk"), F.lit(False).alias("note"), "keys", F.col("values").alias("extra"))
+    return exchange.summed(rows, lambda keys, extras: _totals(k, np.frombuffer(keys[0], dtype=np.uint64), _numbers(extras[0])), n_chunks)
+
+
+def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order: int, sizes: exchange.Layout | None,
+          stored: DataFrame | None = None):
+    """Scores and the model's rows, as DataFrames of one plan that shares its shuffles. With a
+    stored model the same rounds look its tables up instead of adding up counts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
     sizes = sizes or exchange.layout(rows, "text")
@@ -348,7 +387,7 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
 
         return make
 
-    def score(table: pa.Table, back: exchange.Answers) -> pa.Table:
+    def scored(table: pa.Table, back: exchange.Answers) -> pa.Table:
         chunk, _ = restore(table, back, "end", 0)
         p = chunk.probabilities(order)
         n, types = chunk.totals[1].get("tokens", 0), chunk.totals[1].get("types", 0)
@@ -370,14 +409,20 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
     model, back = [], None
     for k in range(1, order + 1):
         asked = exchange.requests(chunks, sort, n_buckets, counting(k), back)
-        model.append(_stored("count", k, asked))
-        back = exchange.answer(asked, lambda a, b, k=k: _count(k, a, b)).union(
-            exchange.summed(asked, lambda a, b, k=k: _count_totals(k, a, b), sizes.n_chunks))
+        if stored is not None:
+            back = _looked_up(asked, stored, "count", k).union(_stored_totals(stored, k, sizes.n_chunks))
+        else:
+            model.append(_stored("count", k, asked, n_buckets))
+            back = exchange.answer(asked, lambda a, b, k=k: _count(k, a, b)).union(
+                exchange.summed(asked, lambda a, b, k=k: _count_totals(k, a, b), sizes.n_chunks))
         if k > 1:
             asked = exchange.requests(chunks, sort, n_buckets, weighing(k), back)
-            model.append(_stored("weight", k, asked))
-            back = exchange.answer(asked, lambda a, b, k=k: _weights(k, a, b))
-    return exchange.finish(chunks, back, sort, score, SCORES), model
+            if stored is not None:
+                back = _looked_up(asked, stored, "weight", k)
+            else:
+                model.append(_stored("weight", k, asked, n_buckets))
+                back = exchange.answer(asked, lambda a, b, k=k: _weights(k, a, b))
+    return exchange.finish(chunks, back, sort, scored, SCORES), model
 
 
 def train_and_score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -401,6 +446,16 @@ def train_and_score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id"
     return spark.read.schema(schema).parquet(path).filter("kind = 'score'").select(*scores.columns)
 
 
+def score(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of other documents by the model that ``train_and_score`` stored at ``path``."""
+    stored = docs.sparkSession.read.parquet(path).filter("kind <> 'score'")
+    made = stored.agg(F.max("order").alias("order"), F.max("n_buckets").alias("n")).first()
+    if made["order"] is None:
+        raise ValueError(f"no model at {path}")
+    sizes = exchange.Layout(exchange.layout(docs, text_col).n_chunks, made["n"])
+    return _plan(docs, F.lit(True), id_col, text_col, made["order"], sizes, stored)[0]
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Held out: documents whose crc32(doc_id) mod 7 is 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -90,3 +90,14 @@ def test_model_is_stored_in_partitions(spark, tmp_path):
     stored = spark.read.parquet(path)
     assert {(r.kind, r.order) for r in stored.select("kind", "order").distinct().collect()} == {
         ("score", 3), ("count", 1), ("count", 2), ("count", 3), ("weight", 2), ("weight", 3)}
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_stored_model_scores_like_the_training_run(spark, tmp_path, order):
+    docs, path = make_docs(spark, noisy_texts(5, n=50, vocabulary=9)), f"{tmp_path}/model"
+    want = katz.train_and_score(docs, F.col("doc_id") % 3 == 1, path=path, order=order, sizes=exchange.Layout(2, 5))
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert sorted(katz.score(docs, path).select(columns).collect()) == sorted(want.select(columns).collect())
+    other = katz.score(make_docs(spark, ["w1 w2 never seen", None]), path).collect()
+    assert all(r.score < 0 and r.held_out for r in other) and len(other) == 2
+    assert katz.score(docs.limit(0), path).count() == 0
