@@ -24,7 +24,7 @@ partitioned by kind and order next to the scores.
 Defined results: a null or empty text is one end token; rows with a null id belong to the
 training part; without training rows all tokens are unknown with base and model probability 1
 each; repeated rows are texts of their own and count again. Two n-grams of an order >= 2 are
-taken for one if 48 bits and the key range agree (about one in 10**9).
+taken for one if 48 bits and the key range agree (about one in 10**9), words if 56 do.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def key_bytes(k: int) -> int:
-    return 8 if k == 1 else 6
+    """Bytes of a key that travel; its range is known to the bucket besides."""
+    return 7 if k == 1 else 6
 
 
 def discounts(n: dict[int, float], top: int = TOP) -> np.ndarray:
@@ -184,8 +185,30 @@ class Chunk:
         return p
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts, nearly all of them small, in little space."""
+    large = counts[counts >= 255].astype(np.int64)
+    return _frame([zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1), zlib.compress(large.tobytes(), 1)])
+
+
 def _numbers(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), dtype=np.int64)
+    small, large = map(zlib.decompress, _unframe(blob))
+    counts = np.frombuffer(small, dtype=np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(large, dtype=np.int64)
+    return counts
+
+
+def _pack_weights(alpha: np.ndarray) -> bytes:
+    """Weights, many of them 1."""
+    other = alpha != 1.0
+    return _frame([zlib.compress(exchange.pack_bits(other), 1), alpha[other].tobytes()]) + len(alpha).to_bytes(8, "little")
+
+
+def _unpack_weights(blob: bytes) -> np.ndarray:
+    bits, values = _unframe(blob[:-8])
+    alpha = np.ones(int.from_bytes(blob[-8:], "little"))
+    alpha[exchange.unpack_bits(zlib.decompress(bits), len(alpha))] = np.frombuffer(values, dtype=np.float64)
+    return alpha
 
 
 def _frame(blobs: list[bytes]) -> bytes:
@@ -209,11 +232,15 @@ def _merged(k: int, keys: list[bytes], extras: list[bytes]):
 
 
 def _count(k: int, keys, extras) -> list[bytes]:
-    """The counts, and the first chunk of each key as its owner."""
+    """The counts (those that leave an n-gram to backoff as 0), and whether the chunk owns the
+    n-gram, as the first one that has it."""
     distinct, total, which, cuts = _merged(k, keys, extras)
+    if k > 1:
+        total[total < CUT] = 0
     own = np.zeros(len(which), dtype=bool)
     own[np.unique(which, return_index=True)[1]] = True
-    return [_frame([zlib.compress(total[w].tobytes(), 1), exchange.pack_bits(o)])
+    own &= (total >= CUT)[which]
+    return [_frame([_pack(total[w]), zlib.compress(exchange.pack_bits(o), 1)])
             for w, o in zip(np.split(which, cuts), np.split(own, cuts), strict=True)]
 
 
@@ -225,7 +252,7 @@ def _count_totals(k: int, keys, extras) -> dict:
 def _totals(k: int, distinct: np.ndarray, total: np.ndarray) -> dict:
     starts = 0
     if k == 1:
-        start = distinct == START
+        start = distinct == START & np.uint64((1 << 8 * key_bytes(1)) - 1)
         starts, total = int(total[start].sum()), total[~start]
     found = {"tokens": total.sum(), "types": (total > 0).sum(), "starts": starts, "repeated": total[total > 1].sum()}
     return found | {r: (total == r).sum() for r in range(1, TOP + 2)}
@@ -248,7 +275,7 @@ def _weigh(k: int, keys, extras) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def _weights(k: int, keys, extras) -> list[bytes]:
     _, alpha, which, cuts = _weigh(k, keys, extras)
-    return [zlib.compress(alpha[w].tobytes(), 1) for w in np.split(which, cuts)]
+    return [_pack_weights(alpha[w]) for w in np.split(which, cuts)]
 
 
 def _stored(kind: str, k: int, asked: DataFrame, n_buckets: int) -> DataFrame:
@@ -266,7 +293,8 @@ def _stored(kind: str, k: int, asked: DataFrame, n_buckets: int) -> DataFrame:
                 distinct, value, *_ = _weigh(k, keys, extras)
                 some = value != 1.0
             out.append({"kind": kind, "order": k, "bucket": own["bucket"][0].as_py(), "n_buckets": n_buckets,
-                        "keys": distinct[some].tobytes(), "values": zlib.compress(value[some].tobytes(), 1)})
+                        "keys": exchange.pack(distinct[some], key_bytes(k if kind == "count" else k - 1)),
+                        "values": _pack(value[some]) if kind == "count" else _pack_weights(value[some])})
         return pa.Table.from_pylist(out, schema=pa.schema([
             ("kind", pa.string()), ("order", pa.int32()), ("bucket", pa.int32()), ("n_buckets", pa.int32()),
             ("keys", pa.binary()), ("values", pa.binary())]))
@@ -277,20 +305,21 @@ def _stored(kind: str, k: int, asked: DataFrame, n_buckets: int) -> DataFrame:
 def _looked_up(asked: DataFrame, stored: DataFrame, kind: str, k: int) -> DataFrame:
     """Answers from a stored model, in the form in which training gives them."""
     def run(rows: pa.Table, model: pa.Table) -> pa.Table:
-        keys = model["keys"].to_pylist()
-        known = np.frombuffer(keys[0], dtype=np.uint64) if keys else np.zeros(0, np.uint64)
-        kept = zlib.decompress(model["values"][0].as_py()) if keys else b""
-        value = np.append(np.frombuffer(kept, dtype=np.int64 if kind == "count" else np.float64), 0 if kind == "count" else 1)
+        keys, size = model["keys"].to_pylist(), key_bytes(k if kind == "count" else k - 1)
+        known = exchange.unpack(keys[0], size) if keys else np.zeros(0, np.uint64)
+        kept = (_numbers if kind == "count" else _unpack_weights)(model["values"][0].as_py()) if keys else []
+        value = np.append(kept, 0 if kind == "count" else 1).astype(np.int64 if kind == "count" else np.float64)
         out = []
         for c, b, note, raw, extra in zip(*(rows[n].to_pylist() for n in ("chunk", "bucket", "note", "keys", "extra")), strict=True):
             payload = extra
             if not note:
-                wanted = exchange.unpack(raw, key_bytes(k if kind == "count" else k - 1))
+                wanted = exchange.unpack(raw, size)
                 at = np.searchsorted(known, wanted)
                 hit = at < len(known)
                 hit[hit] = known[at[hit]] == wanted[hit]
-                blob = zlib.compress(value[np.where(hit, at, len(known))].tobytes(), 1)
-                payload = _frame([blob, exchange.pack_bits(np.zeros(len(wanted), bool))]) if kind == "count" else blob
+                found = value[np.where(hit, at, len(known))]
+                none = zlib.compress(exchange.pack_bits(np.zeros(len(wanted), bool)), 1)
+                payload = _frame([_pack(found), none]) if kind == "count" else _pack_weights(found)
             out.append({"chunk": c, "bucket": b, "note": note, "payload": payload})
         return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("note", pa.bool_()),
                                                            ("payload", pa.binary())]))
@@ -303,7 +332,7 @@ def _stored_totals(stored: DataFrame, k: int, n_chunks: int) -> DataFrame:
     """What ``_count_totals`` says, from the stored counts of an order."""
     part = stored.filter((F.col("kind") == "count") & (F.col("order") == k))
     rows = part.select("bucket", F.lit(0).alias("chunk"), F.lit(False).alias("note"), "keys", F.col("values").alias("extra"))
-    return exchange.summed(rows, lambda keys, extras: _totals(k, np.frombuffer(keys[0], dtype=np.uint64), _numbers(extras[0])), n_chunks)
+    return exchange.summed(rows, lambda keys, extras: _totals(k, exchange.unpack(keys[0], key_bytes(k)), _numbers(extras[0])), n_chunks)
 
 
 def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order: int, sizes: exchange.Layout | None,
@@ -341,17 +370,16 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
                     parts = [_unframe(p) for p in back.payloads]
                     counts = np.concatenate([_numbers(p[0]) for p in parts]) if parts else np.zeros(0, np.int64)
                     sent = np.diff(exchange.ranges(chunk.keys[j], n_buckets))
-                    own = [exchange.unpack_bits(p[1], n) for p, n in zip(parts, sent[sent > 0], strict=True)]
-                    kept.insert(at, zlib.compress(counts.tobytes(), 1))
+                    own = [exchange.unpack_bits(zlib.decompress(p[1]), n) for p, n in zip(parts, sent[sent > 0], strict=True)]
+                    kept.insert(at, _pack(counts))
                 chunk.counts[j] = _numbers(kept[at])
                 chunk.totals[j] = json.loads(kept[at + 1])
                 chunk.parts[j] = first_order(chunk.totals[1]) if j == 1 else higher_order(j, chunk.totals[j], chunk.totals[1])
                 at += 2
             else:
                 if i == new:
-                    alpha = b"".join(zlib.decompress(p) for p in back.payloads)
-                    kept.insert(at, zlib.compress(alpha, 1))
-                chunk.alphas[j] = np.frombuffer(zlib.decompress(kept[at]), dtype=np.float64)
+                    kept.insert(at, _pack_weights(np.concatenate([np.zeros(0), *map(_unpack_weights, back.payloads)])))
+                chunk.alphas[j] = _unpack_weights(kept[at])
                 at += 1
         chunk.own = np.concatenate(own) if own else np.zeros(0, dtype=bool)
         return chunk, kept
@@ -362,7 +390,7 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
             if k > 1:
                 chunk.add_order(k)
             counts = chunk.own_counts(k)
-            to.send(chunk.keys[k], key_bytes(k), lambda p: zlib.compress(counts[p].astype(np.int64).tobytes(), 1))
+            to.send(chunk.keys[k], key_bytes(k), lambda p: _pack(counts[p]))
             to.remember(_frame(kept))
 
         return make
