@@ -6,7 +6,7 @@ the oracle SQL of the same key in ``opsdeck.oracle``.
 
 from __future__ import annotations
 
-import uuid
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,7 +60,8 @@ def endpoint_stats_streamed(spark, sf_dir):
     """R1 with Structured Streaming ingestion: the derived log files are parsed by a stream
     (available-now trigger) into a parquet table, then aggregated."""
     folder = fx.access_log_folder(spark, sf_dir)
-    run = uuid.uuid4().hex
+    # one table per landed folder: a later call goes on from its checkpoint and finds nothing new
+    run = os.path.basename(folder.rstrip("/"))
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/opsdeck-stream/{run}"
     requests = log_stream.requests_stream(spark, folder, fx.LOG_MARKER, RULES, glob="*.txt")
     query = log_stream.start_ingest(requests, f"{base}/requests", available_now=True,

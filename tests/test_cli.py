@@ -43,3 +43,11 @@ def test_cli_every_inventory_command(spark, capsys):
     out = capsys.readouterr().out
     assert "https://b-1.mq.eu-west-1.on.aws" in out      # fleet listing joined the broker
     assert "total_instances" in out                      # cost totals printed
+
+
+def test_cli_json_lines(spark):
+    pages = [{"page": k, **DOC} for k in (1, 2)]
+    inventory = _folder({"pages.json": "\n".join(json.dumps(p) for p in pages)})
+    out = os.path.join(tempfile.mkdtemp(prefix="opsdeck-cli-out-"), "plan")
+    assert main(["--out", out, "--json-lines", "--as-of", "2001-07-31 12:00:00", "running-listing", inventory]) == 0
+    assert [r.build for r in spark.read.parquet(out).collect()] == ["a"]
