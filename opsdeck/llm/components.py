@@ -21,10 +21,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join on ``key`` where ``many`` may have hot keys and ``one`` has a row per key: the rows
-    of a hot key go to ``salts`` tasks, for which ``one`` is repeated."""
+    of a hot key go to ``salts`` tasks, for which ``one`` is repeated.
+
+    Always a shuffled join: the planner takes the size of ``one`` from compressed files and
+    from before it is repeated, so what it would broadcast can be far larger than it thinks.
+    """
     salt = "salt__"
     left = many.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    right = one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return left.join(right, [key, salt], how).drop(salt)
 
 
@@ -46,7 +50,7 @@ def connected(links: DataFrame) -> DataFrame:
         before = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        larger = salted_join(both, least, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        larger = salted_join(both, least, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         joined = salted_join(larger, least, "u", "v")
         smaller = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
