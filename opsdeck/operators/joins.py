@@ -15,7 +15,8 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, ho
 
     AQE splits a skewed join only if both sides are plain shuffles; an aggregated lookup is
     none. Here the rows are dealt by (key, hash of ``spread_by``), and the few lookup rows are
-    repeated once per salt.
+    repeated once per salt. Where the planner broadcasts the lookup instead, that is at most
+    ``salts`` times its threshold.
     """
     # never null, so that no filter on it is pushed into one side and tells the two apart
     salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"), F.lit(0))
