@@ -54,6 +54,30 @@ def chunked(docs: DataFrame, key: list[Column], n_chunks: int, chunk_col: str =
     return docs.withColumn(chunk_col, F.pmod(F.xxhash64(*key), F.lit(n_chunks)).cast("int"))
 
 
+def packed(chunks: DataFrame, chunk_col: str = CHUNK) -> DataFrame:
+    """(chunk, rows): the rows that a task has of a chunk, compressed together, so that a shuffle
+    of long texts moves and stores a fraction of their bytes. ``requests`` and ``finish`` read
+    them with ``compressed``."""
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            number = batch.column(chunk_col).to_numpy()
+            order = np.argsort(number, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+                if len(part):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                        writer.write_batch(batch.take(pa.array(part)))
+                    yield pa.RecordBatch.from_arrays([pa.array([number[part[0]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                                     names=[chunk_col, "rows"])
+
+    return chunks.mapInArrow(run, f"`{chunk_col}` int, rows binary")
+
+
+def _unpacked(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(blob.as_buffer()).read_all() for part in rows["rows"].chunks for blob in part])
+
+
 def pack(keys: np.ndarray, n_bytes: int) -> bytes:
     """The low bytes of 64-bit keys."""
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes]).tobytes()
@@ -106,7 +130,7 @@ class Answers:
     """What a chunk got back."""
 
     payloads: list[bytes]  # in bucket order
-    notes: list[bytes]  # likewise; from the chunk itself or, with bucket -1, for all chunks
+    notes: list[bytes]  # likewise; from the chunk itself, or totals for all chunks
 
     def bits(self, keys: np.ndarray, n_buckets: int) -> np.ndarray:
         """One flag for each of the sorted keys that were sent."""
@@ -138,18 +162,18 @@ _ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("note", pa.
 
 
 def requests(chunks: DataFrame, order: list[str], n_buckets: int, make: Callable, answers: DataFrame | None = None,
-             chunk_col: str = CHUNK) -> DataFrame:
+             chunk_col: str = CHUNK, compressed: bool = False) -> DataFrame:
     """``make(rows, answers, Requests)`` for every chunk; the rows are in order."""
     def first(rows: pa.Table) -> pa.Table:
         to = Requests(rows[chunk_col][0].as_py(), n_buckets)
-        make(_ordered(rows, order), None, to)
+        make(_ordered(_unpacked(rows) if compressed else rows, order), None, to)
         return _table(to.rows, _REQUEST)
 
     def later(rows: pa.Table, back: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table([], _REQUEST)
         to = Requests(rows[chunk_col][0].as_py(), n_buckets)
-        make(_ordered(rows, order), _answers(back), to)
+        make(_ordered(_unpacked(rows) if compressed else rows, order), _answers(back), to)
         return _table(to.rows, _REQUEST)
 
     by = chunks.groupBy(chunk_col)
@@ -158,8 +182,12 @@ def requests(chunks: DataFrame, order: list[str], n_buckets: int, make: Callable
     return by.cogroup(answers.groupBy("chunk")).applyInArrow(later, REQUEST)
 
 
-def answer(asked: DataFrame, merge: Callable) -> DataFrame:
-    """``merge(keys, extras)`` for every bucket: lists over the chunks in, payloads out."""
+def answer(asked: DataFrame, merge: Callable, first: int = 0) -> DataFrame:
+    """``merge(keys, extras)`` for every bucket: lists over the chunks in, payloads out.
+
+    ``first`` is added to the buckets' numbers, so that answers of several rounds can be united
+    and come in the order of the rounds.
+    """
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("chunk", "ascending")])
         notes, keys = rows.filter(rows["note"]), rows.filter(pc.invert(rows["note"]))
@@ -167,15 +195,16 @@ def answer(asked: DataFrame, merge: Callable) -> DataFrame:
                for c, b, p in zip(*(notes[n].to_pylist() for n in ("chunk", "bucket", "extra")), strict=True)]
         if keys.num_rows:
             payloads = merge(keys["keys"].to_pylist(), keys["extra"].to_pylist())
-            out += [{"chunk": c, "bucket": b, "note": False, "payload": p}
+            out += [{"chunk": c, "bucket": b + first, "note": False, "payload": p}
                     for c, b, p in zip(keys["chunk"].to_pylist(), keys["bucket"].to_pylist(), payloads, strict=True)]
         return _table(out, _ANSWER)
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def summed(asked: DataFrame, count: Callable, n_chunks: int) -> DataFrame:
-    """Totals over all buckets, as a note (JSON of name -> total) for every chunk.
+def summed(asked: DataFrame, count: Callable, n_chunks: int, place: int = -1) -> DataFrame:
+    """Totals over all buckets, as a note (JSON of name -> total) for every chunk; notes come in
+    the order of ``place``.
 
     ``count(keys, extras)`` gives a bucket's part as a dict; the rows added up are as few as
     buckets times names.
@@ -188,17 +217,17 @@ def summed(asked: DataFrame, count: Callable, n_chunks: int) -> DataFrame:
     parts = asked.groupBy("bucket").applyInArrow(run, "name string, n long")
     totals = parts.groupBy("name").agg(F.sum("n").alias("n"))
     whole = totals.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "n")))).alias("json"))
-    return whole.select(F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), F.lit(-1).alias("bucket"),
+    return whole.select(F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), F.lit(place).alias("bucket"),
                         F.lit(True).alias("note"), F.col("json").cast("binary").alias("payload"))
 
 
 def finish(chunks: DataFrame, answers: DataFrame, order: list[str], make: Callable, schema: str,
-           chunk_col: str = CHUNK) -> DataFrame:
+           chunk_col: str = CHUNK, compressed: bool = False) -> DataFrame:
     """``make(rows, answers)`` for every chunk gives a table of ``schema``."""
     def run(rows: pa.Table, back: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _empty
-        return make(_ordered(rows, order), _answers(back))
+        return make(_ordered(_unpacked(rows) if compressed else rows, order), _answers(back))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

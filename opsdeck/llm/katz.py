@@ -46,6 +46,8 @@ from opsdeck.session import ensure_checkpoint_dir
 
 ORDER = 2
 CUT = 2
+#: Larger chunks than elsewhere share more n-grams, so fewer keys travel.
+CHUNK_BYTES = 8 << 20
 TOP = 5  # largest count that is discounted
 START, END = np.uint64(0x6C62272E07BB0142), np.uint64(0x62B821756295C58D)
 MODEL = "kind string, order int, bucket int, n_buckets int, keys binary, values binary"
@@ -302,7 +304,7 @@ def _stored(kind: str, k: int, asked: DataFrame, n_buckets: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, MODEL)
 
 
-def _looked_up(asked: DataFrame, stored: DataFrame, kind: str, k: int) -> DataFrame:
+def _looked_up(asked: DataFrame, stored: DataFrame, kind: str, k: int, first: int) -> DataFrame:
     """Answers from a stored model, in the form in which training gives them."""
     def run(rows: pa.Table, model: pa.Table) -> pa.Table:
         keys, size = model["keys"].to_pylist(), key_bytes(k if kind == "count" else k - 1)
@@ -310,17 +312,15 @@ def _looked_up(asked: DataFrame, stored: DataFrame, kind: str, k: int) -> DataFr
         kept = (_numbers if kind == "count" else _unpack_weights)(model["values"][0].as_py()) if keys else []
         value = np.append(kept, 0 if kind == "count" else 1).astype(np.int64 if kind == "count" else np.float64)
         out = []
-        for c, b, note, raw, extra in zip(*(rows[n].to_pylist() for n in ("chunk", "bucket", "note", "keys", "extra")), strict=True):
-            payload = extra
-            if not note:
-                wanted = exchange.unpack(raw, size)
-                at = np.searchsorted(known, wanted)
-                hit = at < len(known)
-                hit[hit] = known[at[hit]] == wanted[hit]
-                found = value[np.where(hit, at, len(known))]
-                none = zlib.compress(exchange.pack_bits(np.zeros(len(wanted), bool)), 1)
-                payload = _frame([_pack(found), none]) if kind == "count" else _pack_weights(found)
-            out.append({"chunk": c, "bucket": b, "note": note, "payload": payload})
+        for c, b, raw in zip(*(rows[n].to_pylist() for n in ("chunk", "bucket", "keys")), strict=True):
+            wanted = exchange.unpack(raw, size)
+            at = np.searchsorted(known, wanted)
+            hit = at < len(known)
+            hit[hit] = known[at[hit]] == wanted[hit]
+            found = value[np.where(hit, at, len(known))]
+            none = zlib.compress(exchange.pack_bits(np.zeros(len(wanted), bool)), 1)
+            payload = _frame([_pack(found), none]) if kind == "count" else _pack_weights(found)
+            out.append({"chunk": c, "bucket": b + first, "note": False, "payload": payload})
         return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("note", pa.bool_()),
                                                            ("payload", pa.binary())]))
 
@@ -328,11 +328,11 @@ def _looked_up(asked: DataFrame, stored: DataFrame, kind: str, k: int) -> DataFr
     return asked.groupBy("bucket").cogroup(part.groupBy("bucket")).applyInArrow(run, exchange.ANSWER)
 
 
-def _stored_totals(stored: DataFrame, k: int, n_chunks: int) -> DataFrame:
+def _stored_totals(stored: DataFrame, k: int, n_chunks: int, place: int) -> DataFrame:
     """What ``_count_totals`` says, from the stored counts of an order."""
     part = stored.filter((F.col("kind") == "count") & (F.col("order") == k))
     rows = part.select("bucket", F.lit(0).alias("chunk"), F.lit(False).alias("note"), "keys", F.col("values").alias("extra"))
-    return exchange.summed(rows, lambda keys, extras: _totals(k, exchange.unpack(keys[0], key_bytes(k)), _numbers(extras[0])), n_chunks)
+    return exchange.summed(rows, lambda keys, extras: _totals(k, exchange.unpack(keys[0], key_bytes(k)), _numbers(extras[0])), n_chunks, place)
 
 
 def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order: int, sizes: exchange.Layout | None,
@@ -341,63 +341,47 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
     stored model the same rounds look its tables up instead of adding up counts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    sizes = sizes or exchange.layout(rows, "text")
-    chunks = exchange.chunked(rows, [F.col("doc_id"), F.col("text")], sizes.n_chunks)
+    sizes = sizes or exchange.layout(rows, "text", CHUNK_BYTES)
+    chunks = exchange.packed(exchange.chunked(rows, [F.col("doc_id"), F.col("text")], sizes.n_chunks))
     sort, n_buckets = ["doc_id", "text"], sizes.n_buckets
 
-    def restore(table: pa.Table, back: exchange.Answers | None, step: str, k: int) -> tuple[Chunk, list[bytes]]:
-        """The chunk with all that is known before a step, and the notes for the next one.
-
-        Notes: per step done, the corpus-wide totals, counts or weights of this chunk's keys.
-        """
-        chunk = Chunk(Texts(table["text"].to_pylist(), lower=True),
-                      ~np.array(table["held_out"].to_pylist(), dtype=bool), order)
-        done = [("count", j) if s == 0 else ("weight", j) for j in range(1, order + 1) for s in (0, 1) if j > 1 or s == 0]
-        done = done[:done.index((step, k))] if (step, k) in done else done
-        if not done:
-            chunk.add_order(1)
-            return chunk, []
-        kept = _unframe(back.notes[-1])
-        if done[-1][0] == "count":  # the totals came as a note for all chunks
-            kept.append(back.notes[0])
-        own: list[np.ndarray] = []
-        new = len(done) - 1
-        at = 0
-        for i, (what, j) in enumerate(done):
+    def restore(table: pa.Table, back: exchange.Answers | None, done: list[tuple[str, int]]) -> Chunk:
+        """The chunk with all that the rounds done so far have told it."""
+        chunk = Chunk(Texts(table["text"].to_pylist(), lower=True), ~np.array(table["held_out"].to_pylist(), dtype=bool), order)
+        payloads, notes = iter(back.payloads if back else ()), iter(back.notes if back else ())
+
+        def told(keys: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+            sent = np.diff(exchange.ranges(keys, n_buckets))
+            sent = sent[sent > 0]
+            return [next(payloads) for _ in sent], sent
+
+        for what, j in done:
             if what == "count":
                 chunk.add_order(j)
-                if i == new:
-                    parts = [_unframe(p) for p in back.payloads]
-                    counts = np.concatenate([_numbers(p[0]) for p in parts]) if parts else np.zeros(0, np.int64)
-                    sent = np.diff(exchange.ranges(chunk.keys[j], n_buckets))
-                    own = [exchange.unpack_bits(zlib.decompress(p[1]), n) for p, n in zip(parts, sent[sent > 0], strict=True)]
-                    kept.insert(at, _pack(counts))
-                chunk.counts[j] = _numbers(kept[at])
-                chunk.totals[j] = json.loads(kept[at + 1])
+                blobs, sent = told(chunk.keys[j])
+                parts = [_unframe(p) for p in blobs]
+                chunk.counts[j] = np.concatenate([np.zeros(0, np.int64), *(_numbers(p[0]) for p in parts)])
+                chunk.own = np.concatenate([np.zeros(0, bool), *(exchange.unpack_bits(zlib.decompress(p[1]), n)
+                                                                 for p, n in zip(parts, sent, strict=True))])
+                chunk.totals[j] = json.loads(next(notes))
                 chunk.parts[j] = first_order(chunk.totals[1]) if j == 1 else higher_order(j, chunk.totals[j], chunk.totals[1])
-                at += 2
             else:
-                if i == new:
-                    kept.insert(at, _pack_weights(np.concatenate([np.zeros(0), *map(_unpack_weights, back.payloads)])))
-                chunk.alphas[j] = _unpack_weights(kept[at])
-                at += 1
-        chunk.own = np.concatenate(own) if own else np.zeros(0, dtype=bool)
-        return chunk, kept
-
-    def counting(k: int):
+                blobs, _ = told(chunk.keys[j - 1][chunk.histories(j - 1)])
+                chunk.alphas[j] = np.concatenate([np.zeros(0), *map(_unpack_weights, blobs)])
+        return chunk
+
+    def counting(k: int, done: list):
         def make(table, back, to: exchange.Requests) -> None:
-            chunk, kept = restore(table, back, "count", k)
-            if k > 1:
-                chunk.add_order(k)
+            chunk = restore(table, back, done)
+            chunk.add_order(k)
             counts = chunk.own_counts(k)
             to.send(chunk.keys[k], key_bytes(k), lambda p: _pack(counts[p]))
-            to.remember(_frame(kept))
 
         return make
 
-    def weighing(k: int):
+    def weighing(k: int, done: list):
         def make(table, back, to: exchange.Requests) -> None:
-            chunk, kept = restore(table, back, "weight", k)
+            chunk = restore(table, back, done)
             mine = chunk.own & (chunk.counts[k] >= CUT)
             place = np.zeros(len(mine), dtype=np.int64)
             place[chunk.index[k][chunk.at[k]]] = chunk.at[k]  # any place of the n-gram
@@ -411,12 +395,11 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
             sums, filled = sums[:, some], (sums[0] > 0)[some]
             to.send(chunk.keys[k - 1][some], key_bytes(k - 1),
                     lambda p: _frame([exchange.pack_bits(filled[p]), np.ascontiguousarray(sums[:, p][:, filled[p]]).tobytes()]))
-            to.remember(_frame(kept))
 
         return make
 
     def scored(table: pa.Table, back: exchange.Answers) -> pa.Table:
-        chunk, _ = restore(table, back, "end", 0)
+        chunk = restore(table, back, done)
         p = chunk.probabilities(order)
         n, types = chunk.totals[1].get("tokens", 0), chunk.totals[1].get("types", 0)
         token = np.ones(len(p), dtype=bool)
@@ -434,23 +417,28 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
             "score": pa.array(add(np.where(token, np.log10(p), 0.0)), pa.float64()),
         })
 
-    model, back = [], None
-    for k in range(1, order + 1):
-        asked = exchange.requests(chunks, sort, n_buckets, counting(k), back)
+    model, back, done = [], None, []
+
+    def learn(asked: DataFrame, kind: str, k: int) -> DataFrame:
+        """The round's answers, after those of the rounds before."""
+        first = len(done) * n_buckets
         if stored is not None:
-            back = _looked_up(asked, stored, "count", k).union(_stored_totals(stored, k, sizes.n_chunks))
+            new = _looked_up(asked, stored, kind, k, first)
         else:
-            model.append(_stored("count", k, asked, n_buckets))
-            back = exchange.answer(asked, lambda a, b, k=k: _count(k, a, b)).union(
-                exchange.summed(asked, lambda a, b, k=k: _count_totals(k, a, b), sizes.n_chunks))
+            model.append(_stored(kind, k, asked, n_buckets))
+            new = exchange.answer(asked, lambda a, b: (_count if kind == "count" else _weights)(k, a, b), first)
+        if kind == "count":
+            place = k - 1 - order  # negative: totals come first, in the order of the orders
+            new = new.union(_stored_totals(stored, k, sizes.n_chunks, place) if stored is not None else exchange.summed(
+                asked, lambda a, b: _count_totals(k, a, b), sizes.n_chunks, place))
+        done.append((kind, k))
+        return new if back is None else back.union(new)
+
+    for k in range(1, order + 1):
+        back = learn(exchange.requests(chunks, sort, n_buckets, counting(k, list(done)), back, compressed=True), "count", k)
         if k > 1:
-            asked = exchange.requests(chunks, sort, n_buckets, weighing(k), back)
-            if stored is not None:
-                back = _looked_up(asked, stored, "weight", k)
-            else:
-                model.append(_stored("weight", k, asked, n_buckets))
-                back = exchange.answer(asked, lambda a, b, k=k: _weights(k, a, b))
-    return exchange.finish(chunks, back, sort, scored, SCORES), model
+            back = learn(exchange.requests(chunks, sort, n_buckets, weighing(k, list(done)), back, compressed=True), "weight", k)
+    return exchange.finish(chunks, back, sort, scored, SCORES, compressed=True), model
 
 
 def train_and_score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -480,7 +468,7 @@ def score(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     made = stored.agg(F.max("order").alias("order"), F.max("n_buckets").alias("n")).first()
     if made["order"] is None:
         raise ValueError(f"no model at {path}")
-    sizes = exchange.Layout(exchange.layout(docs, text_col).n_chunks, made["n"])
+    sizes = exchange.Layout(exchange.layout(docs, text_col, CHUNK_BYTES).n_chunks, made["n"])
     return _plan(docs, F.lit(True), id_col, text_col, made["order"], sizes, stored)[0]
 
 
