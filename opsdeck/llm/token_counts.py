@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from opsdeck.llm.common import fresh
 
 CHUNK_BYTES = 1 << 18
-MAX_STATES = 250_000
+MAX_STATES = 200_000
 #: Words whose map from blank to blank is kept.
-MAX_WORDS = 700_000
+MAX_WORDS = 500_000
 TOKEN_LIMIT = 512
 _machines: dict = {}
 _SYNC = re.compile(r"\S[ \n]")
