@@ -2,11 +2,11 @@
 
 Counts: n-grams of the training texts up to ``order`` (2 or 3), over lower-cased words, one
 end and, as history only, one start per text. Discounts: Good-Turing with Katz's correction
-for counts up to 5, per order. From order 2 on, n-grams seen once are left to backoff
-(``CUT``); they still count among the counts of counts. One more count than its own is given
-to every history, so what never followed it keeps some mass:
+for counts up to 5, per order. Every n-gram of the training texts is in the model, those seen
+once too, with d(1). One more count than its own is given to every history, so what never
+followed it keeps some mass:
 
-    P(w | h) = d(c) c / (count(h) + 1)         for c = count(h w) >= CUT
+    P(w | h) = d(c) c / (count(h) + 1)         for c = count(h w) >= 1
     P(w | h) = alpha(h) P(w | shorter h)       else
     alpha(h) = (1 - sum of the former) / (1 - sum of P(w | shorter h) over the same w)
 
@@ -17,8 +17,8 @@ recursively from the longest history down.
 Every order is two rounds of packed keys (``opsdeck.llm.exchange``): all chunks send their
 distinct n-grams with training counts and get the corpus counts back; then the one chunk that a
 bucket names as the owner of an n-gram adds its two terms to its history's sums, and every chunk
-gets the weights of its histories. An n-gram is sent only if both n-grams one shorter reach
-``CUT`` (else it can't). Counts and weights are stored, packed by key range, in a table
+gets the weights of its histories. An n-gram is sent only if both n-grams one shorter are in the
+model (else it can't be). Counts and weights are stored, packed by key range, in a table
 partitioned by kind and order next to the scores.
 
 Defined results: a null or empty text is one end token; rows with a null id belong to the
@@ -44,8 +44,8 @@ from opsdeck.llm import exchange
 from opsdeck.llm.words import Texts, window_hashes
 from opsdeck.session import ensure_checkpoint_dir
 
-ORDER = 2
-CUT = 2
+ORDER = 3
+CUT = 1  # smallest count of an n-gram of the model
 #: Larger chunks than elsewhere share more n-grams, so fewer keys travel.
 CHUNK_BYTES = 8 << 20
 TOP = 5  # largest count that is discounted
@@ -103,11 +103,8 @@ def first_order(totals: dict) -> Discounted:
     return Discounted(d, (1 - unseen) / mass, unseen)
 
 
-def higher_order(k: int, totals: dict, below: dict) -> Discounted:
-    """Once-seen n-grams: all of the order less those seen more often."""
-    whole = below.get("tokens", 0) - (k - 2) * below.get("starts", 0)
-    n = {r: totals.get(str(r), 0) for r in range(2, TOP + 2)}
-    return Discounted(discounts({1: max(0, whole - totals.get("repeated", 0)), **n}))
+def higher_order(totals: dict) -> Discounted:
+    return Discounted(discounts({r: totals.get(str(r), 0) for r in range(1, TOP + 2)}))
 
 
 @dataclass
@@ -234,11 +231,8 @@ def _merged(k: int, keys: list[bytes], extras: list[bytes]):
 
 
 def _count(k: int, keys, extras) -> list[bytes]:
-    """The counts (those that leave an n-gram to backoff as 0), and whether the chunk owns the
-    n-gram, as the first one that has it."""
+    """The counts, and whether the chunk owns the n-gram, as the first one that has it."""
     distinct, total, which, cuts = _merged(k, keys, extras)
-    if k > 1:
-        total[total < CUT] = 0
     own = np.zeros(len(which), dtype=bool)
     own[np.unique(which, return_index=True)[1]] = True
     own &= (total >= CUT)[which]
@@ -252,11 +246,9 @@ def _count_totals(k: int, keys, extras) -> dict:
 
 
 def _totals(k: int, distinct: np.ndarray, total: np.ndarray) -> dict:
-    starts = 0
     if k == 1:
-        start = distinct == START & np.uint64((1 << 8 * key_bytes(1)) - 1)
-        starts, total = int(total[start].sum()), total[~start]
-    found = {"tokens": total.sum(), "types": (total > 0).sum(), "starts": starts, "repeated": total[total > 1].sum()}
+        total = total[distinct != START & np.uint64((1 << 8 * key_bytes(1)) - 1)]
+    found = {"tokens": total.sum(), "types": (total > 0).sum()}
     return found | {r: (total == r).sum() for r in range(1, TOP + 2)}
 
 
@@ -290,7 +282,7 @@ def _stored(kind: str, k: int, asked: DataFrame, n_buckets: int) -> DataFrame:
             keys, extras = own["keys"].to_pylist(), own["extra"].to_pylist()
             if kind == "count":
                 distinct, value, *_ = _merged(k, keys, extras)
-                some = value >= (1 if k == 1 else CUT)
+                some = value >= CUT
             else:
                 distinct, value, *_ = _weigh(k, keys, extras)
                 some = value != 1.0
@@ -364,7 +356,7 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
                 chunk.own = np.concatenate([np.zeros(0, bool), *(exchange.unpack_bits(zlib.decompress(p[1]), n)
                                                                  for p, n in zip(parts, sent, strict=True))])
                 chunk.totals[j] = json.loads(next(notes))
-                chunk.parts[j] = first_order(chunk.totals[1]) if j == 1 else higher_order(j, chunk.totals[j], chunk.totals[1])
+                chunk.parts[j] = first_order(chunk.totals[1]) if j == 1 else higher_order(chunk.totals[j])
             else:
                 blobs, _ = told(chunk.keys[j - 1][chunk.histories(j - 1)])
                 chunk.alphas[j] = np.concatenate([np.zeros(0), *map(_unpack_weights, blobs)])

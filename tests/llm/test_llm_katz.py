@@ -101,3 +101,18 @@ def test_stored_model_scores_like_the_training_run(spark, tmp_path, order):
     other = katz.score(make_docs(spark, ["w1 w2 never seen", None]), path).collect()
     assert all(r.score < 0 and r.held_out for r in other) and len(other) == 2
     assert katz.score(docs.limit(0), path).count() == 0
+
+
+def test_what_was_seen_once_is_in_the_model(spark, tmp_path):
+    seen, other = [f"w{i}" for i in range(40)], [f"v{i}" for i in range(40)]
+    mixed = [w for i in range(0, 40, 2) for w in (seen[i + 1], seen[i])]  # its bigrams and trigrams were never seen
+    pairs = [w for i in range(38, -2, -2) for w in seen[i:i + 2]]  # every second bigram, no trigram
+    texts = [" ".join(t) for t in (seen, other, seen, pairs, mixed)]
+    out = katz.train_and_score(make_docs(spark, texts), F.col("doc_id") >= 2, path=f"{tmp_path}/model").collect()
+    score, model = {r.doc_id: r.score for r in out}, Brute(texts[:2], 3)
+    assert score[2] > score[3] + 5 and score[3] > score[4] + 5
+    for i in (2, 3, 4):
+        q = [None, *texts[i].split(), 0]
+        assert score[i] == pytest.approx(sum(math.log10(model.p(tuple(q[max(0, j - 2):j + 1]))) for j in range(1, len(q))), abs=1e-6)
+    stored = spark.read.parquet(f"{tmp_path}/model")
+    assert {r.order for r in stored.filter("kind = 'count'").select("order").collect()} == {1, 2, 3}
