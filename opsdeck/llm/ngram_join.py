@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsdeck.llm import exchange
+from opsdeck.llm.common import fresh
 from opsdeck.llm.components import connected, salted_join, written
 from opsdeck.llm.substring_dedup import _distinct
 from opsdeck.llm.words import Texts, mix
@@ -308,10 +309,20 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_c
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """``docs`` with one row of each component: the one with the smallest id (null ids last), then
+    hash of the text, then row number.
+
+    Every row takes part as a document of its own, under the number it gets in a table written
+    first: rows that repeat or share an id, and rows without one.
+    """
+    key = fresh(docs, "row_number")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(key, text_col), id_col=key, text_col=text_col, **options)
+    found = found.select(F.col("doc_id").alias(key), "component_id")
+    ranked = rows.select(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+                                       F.xxhash64(text_col).alias("text"), F.col(key).alias("key")).alias("rank"))
+    kept = found.join(ranked, key).groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.key").alias(key))
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,19 @@ def test_each_stage_does_its_part(spark, corpus, tmp_path):
     assert all(encoding.decode(r.token_ids) == text[r.doc_id] for r in seen["byte-level BPE"].collect())
 
 
+def test_repeated_rows_null_ids_and_shared_ids(spark, tmp_path):
+    rng = random.Random(12)
+    twice, none, copied, alone, last = (" ".join(f"w{rng.random():.12f}"[:9] for _ in range(80)) for _ in range(5))
+    rows = [(1, twice), (1, twice), (None, none), (None, none), (None, copied), (2, copied), (3, copied), (3, alone), (4, last)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in rows], SCHEMA).repartition(4)
+    stages = dict(corpus_pipeline.STAGES)
+    for k, name in enumerate(["n-gram Jaccard join", "substring dedup"]):
+        stages[name](spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        found = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        assert found == sorted([(1, twice), (None, none), (2, copied), (3, alone), (4, last)], key=str)
+
+
 def test_empty_table(spark, corpus):
     docs = corpus.limit(0)
     for _, stage in corpus_pipeline.STAGES:
