@@ -12,9 +12,13 @@
 4. Which set probes which chunk: first, for each prefix n-gram, its smallest class probes every
    chunk that has the n-gram. Links found make components. An n-gram whose classes are one
    component needs nothing more; for any other, every class outside its largest component
-   probes every chunk that has it. So each pair that shares a prefix n-gram is either compared
-   or already connected: no link between components is missed, a group of thousands of near
-   copies costs one probe per chunk, and no pairs within a group are emitted.
+   probes every chunk that has it, if its set size and that of a set there allow a link: a set
+   of n n-grams, s of them shared with anybody, has links only with sets of at most
+   ``s (1 + t) / t - n`` n-grams. So each pair that shares a prefix n-gram is either compared,
+   or already connected, or can't be a link: no link between components is missed, a group of
+   thousands of near copies costs one probe per chunk, no pairs within a group are emitted, and
+   texts that share a boilerplate too short for a link don't visit one another.
+5. The probes of a chunk are dealt over blocks of bounded size, each a task with the chunk's tree.
 
 Defined results: texts of fewer words than n have one n-gram, the whole sequence; null or
 empty texts, and texts without words, have none and are linked with nothing (their component
@@ -41,6 +45,7 @@ from opsdeck.llm.words import Texts, mix
 N = 5
 PERCENT = 75
 KEY_BYTES = 5
+BLOCK_BYTES = 16 << 20  # of probing sets that meet a chunk in one task
 STEP = 64  # n-grams compared between two looks at the bounds
 
 
@@ -230,24 +235,61 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
                            "chunk int, doc_id long, n_shingles long, class_id long, prefix long, grams binary")
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """(gram, class_id, chunk) of the n-grams in prefixes."""
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(gram, class_id, chunk, size, most) of the n-grams in prefixes; ``most`` is the size of the
+    largest set that can be linked with this one, as its shared n-grams are all they can share."""
     def run(batches):
         for batch in batches:
-            for chunk, name, prefix, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                grams = np.frombuffer(raw, dtype=np.int64)[:prefix]
+            for chunk, name, size, prefix, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shared = np.frombuffer(raw, dtype=np.int64)
+                most = len(shared) * (100 + percent) // percent - size
+                grams = shared[:prefix]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams), pa.array(np.full(len(grams), name)), pa.array(np.full(len(grams), chunk, dtype=np.int32))],
-                    names=["gram", "class_id", "chunk"])
+                    [pa.array(grams), *(pa.array(np.full(len(grams), x, dtype=t))
+                                        for x, t in ((name, np.int64), (chunk, np.int32), (size, np.int64), (most, np.int64)))],
+                    names=["gram", "class_id", "chunk", "size", "most"])
 
-    return sets.select("chunk", "class_id", "prefix", "grams").mapInArrow(run, "gram long, class_id long, chunk int")
+    return sets.select("chunk", "class_id", "n_shingles", "prefix", "grams").mapInArrow(
+        run, "gram long, class_id long, chunk int, size long, most long")
 
 
-def _links(sets: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
-    """Links that the visits (class_id, chunk) find, at most one per set and round of a chunk:
-    in a chunk, sets that one another's links already connect are linked once."""
+def _places(postings: DataFrame) -> DataFrame:
+    """Of each prefix n-gram and chunk the smallest class, the number of classes, the smallest set
+    and the largest ``most``."""
+    return postings.groupBy("gram", "chunk").agg(F.min("class_id").alias("hub"), F.count("*").alias("n"),
+                                                 F.min("size").alias("least_there"), F.max("most").alias("most_there"))
+
+
+def _second(postings: DataFrame, places: DataFrame, labels: DataFrame) -> DataFrame:
+    """(class_id, chunk) of the probes by n-grams whose classes are not one component yet."""
+    fits = (F.col("least_there") <= F.col("most")) & (F.col("size") <= F.col("most_there"))
+    labelled = postings.join(labels, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
+    split = labelled.groupBy("gram", "label").agg(
+        F.count("*").alias("n"), F.min("size").alias("least_there"), F.max("most").alias("most_there")).groupBy("gram").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"),
+        F.min("least_there").alias("least_there"), F.max("most_there").alias("most_there")).filter("labels > 1")
+    split = split.select("gram", F.col("top.label").alias("main"), "least_there", "most_there")
+    movers = labelled.join(split, "gram").filter((F.col("label") != F.col("main")) & fits).select("gram", "class_id", "size", "most")
+    there = places.join(split.select("gram"), "gram", "left_semi").select("gram", "chunk", "least_there", "most_there")
+    return salted_join(movers, there, "gram", "class_id").filter(fits).select("class_id", "chunk").distinct()
+
+
+def _probes(sets: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunk, block, probe, size, probe_grams) of the visits, dealt over blocks of about
+    ``BLOCK_BYTES``, and the number of blocks of each chunk that has more than one."""
     asking = sets.select(F.col("class_id").alias("probe"), F.col("n_shingles").alias("size"), F.col("grams").alias("probe_grams"))
-    probes = visits.select(F.col("class_id").alias("probe"), F.col("chunk").alias("place")).join(asking, "probe")
+    visits = visits.select(F.col("class_id").alias("probe"), F.col("chunk").alias("place"))
+    weighed = visits.join(sets.select(F.col("class_id").alias("probe"), F.octet_length("grams").alias("bytes")), "probe")
+    blocks = weighed.groupBy("place").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = salted_join(visits, blocks, "place", "probe", "left").select(
+        "probe", "place", F.pmod(F.xxhash64("probe"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    return dealt.join(asking, "probe"), blocks
+
+
+def _links(sets: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
+    """Links that the visits (class_id, chunk) find, at most one per set and block of a chunk:
+    in a block, sets that one another's links already connect are linked once."""
+    probes, blocks = _probes(sets, visits)
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         root: dict[int, int] = {}
@@ -272,8 +314,10 @@ def _links(sets: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
         out = [x for x in out if x[0] != x[1]]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    stored = sets.select("chunk", "class_id", "n_shingles", "grams")
-    return stored.groupBy("chunk").cogroup(probes.groupBy("place")).applyInArrow(run, "a long, b long")
+    stored = sets.select("chunk", "class_id", "n_shingles", "grams").join(
+        F.broadcast(blocks.withColumnRenamed("place", "chunk")), "chunk", "left")  # a row per chunk at most
+    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return stored.groupBy("chunk", "block").cogroup(probes.groupBy("place", "block")).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
@@ -287,20 +331,15 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_c
         raise ValueError("percent must be in 1..100 and n positive")
     members = written(_members(docs, id_col, text_col, n, percent, sizes), "members")
     sets = members.filter(F.col("grams").isNotNull()).select("chunk", "class_id", "n_shingles", "prefix", "grams")
-    postings = written(_postings(sets), "postings")
+    postings = written(_postings(sets, percent), "postings")
     # probes of the smallest class of each n-gram
-    places = postings.groupBy("gram", "chunk").agg(F.min("class_id").alias("hub"), F.count("*").alias("n"))
+    places = _places(postings)
     hubs = places.groupBy("gram").agg(F.min("hub").alias("class_id"), F.sum("n").alias("n")).filter("n > 1").drop("n")
     first = places.select("gram", "chunk").join(hubs, "gram").select("class_id", "chunk").distinct()
     links = written(_links(sets, first, percent), "links")
     # n-grams whose classes are not one component yet
     labels = written(connected(links), "labels").withColumnRenamed("node", "class_id")
-    labelled = postings.join(labels, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
-    split = labelled.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(
-        F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    split = split.select("gram", F.col("top.label").alias("main"))
-    movers = labelled.join(split, "gram").filter("label <> main").select("gram", "class_id")
-    second = movers.join(places.select("gram", "chunk"), "gram").select("class_id", "chunk").distinct()
+    second = _second(postings, places, labels)
     more = _links(sets, second.join(first, ["class_id", "chunk"], "left_anti"), percent)
     labels = written(connected(links.union(more)), "labels")
     out = salted_join(members.select("doc_id", "n_shingles", "class_id"), labels.withColumnRenamed("node", "class_id"),

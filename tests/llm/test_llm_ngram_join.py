@@ -100,3 +100,26 @@ def test_components(spark):
     alone = {a for a, b in links if a == b and all(a not in l or l == (a, b) for l in links)}
     assert got == {x: top(x) for x in root if x not in alone}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_probes_meet_a_chunk_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
+    texts = noisy_texts(6, n=80, vocabulary=9, longest=30)
+    docs, want = make_docs(spark, texts), brute(texts, 2, 60)
+    out = ngram_join.near_duplicates(docs, n=2, percent=60, sizes=exchange.Layout(2, 2)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    rows = [(k % 2, i, 20, 20, bytes(160)) for k, i in enumerate(range(100))]
+    sets = spark.createDataFrame(rows, "chunk int, class_id long, n_shingles long, prefix long, grams binary")
+    visits = sets.select("class_id").crossJoin(sets.select("chunk").distinct())
+    dealt = ngram_join._probes(sets, visits)[0].groupBy("place", "block").agg(F.sum(F.octet_length("probe_grams")).alias("n")).collect()
+    assert sum(r.n for r in dealt) == 200 * 160 and len(dealt) == 16 and max(r.n for r in dealt) < 3 * 2000
+
+
+def test_boilerplate_too_short_for_a_link_brings_no_probes(spark, monkeypatch):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.random():.12f}"[:9] for _ in range(n)]
+    common, seen, second = fresh(60), [], ngram_join._second
+    texts = [" ".join(fresh(14) + common) for _ in range(30)]
+    monkeypatch.setattr(ngram_join, "_second", lambda *a: seen.append(second(*a).count()) or second(*a))
+    out = ngram_join.near_duplicates(make_docs(spark, texts), sizes=exchange.Layout(5, 3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(texts, 5, 75) and seen == [0]
