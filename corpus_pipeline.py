@@ -39,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document of the mix: its id, source and token ids."""
-    return bpe.encode_documents(docs, *bpe.production_vocabulary()).select("doc_id", "lang", "source", "token_ids")
+    """One row per document of the mix: its id, source, token ids and the bytes they decode to."""
+    return bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), *bpe.production_vocabulary())
 
 
 STAGES = [

@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts over this many characters are cut.
 PIECE_CHARS = 1 << 15
@@ -95,6 +96,29 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, *, text_col:
     return docs.withColumn(ids_col, encode(F.col(text_col), rank_file, pattern, piece_chars))
 
 
+def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str, *, text_col: str = "text", ids_col: str = "token_ids",
+                      decoded_col: str = "decoded", piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """``docs`` with the token ids in place of the text, and the bytes they decode to.
+
+    One worker does both, a few hundred rows at a time.
+    """
+    kept = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*kept, F.col(text_col).cast("binary"))
+    fields = T.StructType([*docs.select(kept).schema, T.StructField(ids_col, T.ArrayType(T.IntegerType())),
+                           T.StructField(decoded_col, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = load(rank_file, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids = [encode_text(raw.as_py(), encoding, piece_chars) for raw in part.column(len(kept))]
+                decoded = pa.array([encoding.decode_bytes(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), decoded], names=fields.names)
+
+    return rows.mapInArrow(run, fields)
+
+
 def round_trip(text: Column, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS) -> Column:
     """Number of ids, hash of the ids and hash of the bytes they decode to.
 

@@ -55,6 +55,14 @@ def test_repeated_rows_null_ids_and_shared_ids(spark, tmp_path):
         assert found == sorted([(1, twice), (None, none), (2, copied), (3, alone), (4, last)], key=str)
 
 
+def test_last_stage_decodes_what_it_encodes(spark, corpus):
+    docs = corpus.unionByName(spark.createDataFrame([(11, "ÄÖ \n日本 x", "en", "s0", 8)], SCHEMA))
+    out = dict(corpus_pipeline.STAGES)["byte-level BPE"](spark, docs, SF)
+    assert out.columns == ["doc_id", "lang", "source", "token_ids", "decoded"]
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert {r.doc_id: bytes(r.decoded) for r in out.collect()} == text
+
+
 def test_empty_table(spark, corpus):
     docs = corpus.limit(0)
     for _, stage in corpus_pipeline.STAGES:
