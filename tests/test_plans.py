@@ -82,7 +82,7 @@ def test_salted_join_splits_a_hot_key(spark, no_broadcast):
 
 
 def test_digest_spreads_a_hot_owner(spark, no_broadcast):
-    from conftest import make_instances
+    from report_helpers import make_instances
     from opsdeck.plans.digests import with_owner_header
     rows = [{"instance_id": f"i-{i}"} for i in range(300)]
     items = make_instances(spark, rows).select(
@@ -98,7 +98,7 @@ def test_digest_spreads_a_hot_owner(spark, no_broadcast):
 
 
 def test_extension_collapses_before_the_join(spark, no_broadcast):
-    from conftest import make_instances
+    from report_helpers import make_instances
     from opsdeck.plans.lifecycle import extend_lifetime
     inst = make_instances(spark, [{"instance_id": "i-1", "tags": {"role": "test", "build": "a", "terminate_after": "x"}}])
     plan = physical(extend_lifetime(inst, spark.createDataFrame([("a", 1.0)], "build string, hours double")))
@@ -109,7 +109,7 @@ def test_extension_collapses_before_the_join(spark, no_broadcast):
 def test_inventory_scan_pruned_and_pushed(spark):
     from opsdeck.plans.lifecycle import nightly_plan
     from opsdeck.sources.landing import land
-    from conftest import make_instances
+    from report_helpers import make_instances
     inst = land(make_instances(spark, [{"instance_id": "i-1", "tags": {"role": "test", "terminate_after": ""}}]),
                 "plan_test")
     text = formatted(nightly_plan(inst, "2001-07-31 12:00:00"))
@@ -119,7 +119,7 @@ def test_inventory_scan_pruned_and_pushed(spark):
 
 
 def test_digest_scans_inventory_once(spark):
-    from conftest import AS_OF, ago, make_instances
+    from report_helpers import AS_OF, ago, make_instances
     from opsdeck.plans.digests import age_digest
     from opsdeck.sources.landing import land
 

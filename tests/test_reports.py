@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, ago, iso, make_instances
+from report_helpers import AS_OF, ago, iso, make_instances
 from opsdeck.operators.collapse import first_by, last_by
 from opsdeck.operators.nested import flatten_instances, nest_instances
 from opsdeck.plans import costs, digests, lifecycle, listings

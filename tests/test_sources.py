@@ -59,7 +59,7 @@ def _owner_page(owner, **page):
 
 
 def test_pages_are_ordered_by_number_not_by_text(spark):
-    from conftest import AS_OF
+    from report_helpers import AS_OF
     from opsdeck.plans import listings
     folder = _folder({f"page-{k}.json": _owner_page(f"page{k}") for k in range(1, 11)})
     inst = flatten_instances(read_inventory(spark, folder))
@@ -67,7 +67,7 @@ def test_pages_are_ordered_by_number_not_by_text(spark):
 
 
 def test_many_documents_in_one_file_have_one_order(spark):
-    from conftest import AS_OF
+    from report_helpers import AS_OF
     from opsdeck.plans import listings
     folder = _folder({"all.json": "\n".join(_owner_page(f"line{k:04d}", page=k) for k in range(500))})
     flat = flatten_instances(read_inventory(spark, folder, json_lines=True))
@@ -105,7 +105,7 @@ def test_last_broker_wins_across_files(spark):
 
 
 def test_last_wins_across_pages(spark):
-    from conftest import AS_OF
+    from report_helpers import AS_OF
     from opsdeck.plans import listings
 
     def page(instance_id, owner):
