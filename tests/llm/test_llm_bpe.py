@@ -2,7 +2,7 @@ import random
 from hashlib import sha256
 
 import pytest
-from conftest import make_docs, noisy_texts
+from llm_helpers import make_docs, noisy_texts
 from pyspark.sql import functions as F
 
 from opsdeck.llm import bpe

@@ -2,7 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import make_docs, noisy_texts, with_clashes, words
+from llm_helpers import make_docs, noisy_texts, with_clashes, words
 from pyspark.sql import functions as F
 
 from opsdeck.llm import exchange, katz

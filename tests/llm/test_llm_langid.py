@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import make_docs
+from llm_helpers import make_docs
 from pyspark.sql import functions as F
 
 from opsdeck.llm import langid

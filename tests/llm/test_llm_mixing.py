@@ -3,7 +3,7 @@ import math
 
 import duckdb
 import pytest
-from conftest import make_docs
+from llm_helpers import make_docs
 from pyspark.sql import functions as F
 
 from opsdeck.llm import mixing

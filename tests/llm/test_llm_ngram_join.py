@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from conftest import make_docs, noisy_texts, with_clashes, words
+from llm_helpers import make_docs, noisy_texts, with_clashes, words
 from pyspark.sql import functions as F
 
 from opsdeck.llm import exchange, ngram_join

@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from conftest import SCHEMA
+from llm_helpers import SCHEMA
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"

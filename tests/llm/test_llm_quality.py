@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import make_docs, noisy_texts, with_clashes, words
+from llm_helpers import make_docs, noisy_texts, with_clashes, words
 
 from opsdeck.llm import quality
 

@@ -2,7 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
-from conftest import make_docs, noisy_texts
+from llm_helpers import make_docs, noisy_texts
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
