@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opsdeck.session import ensure_checkpoint_dir
 
 SALTS = 16
+MOST_HOT = 256  # hot keys at most
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +33,26 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread_by: str, how:
     return left.join(right, [key, salt], how).drop(salt)
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, spread_by: str, n_many: int, also: DataFrame | None = None,
+                salts: int = SALTS) -> DataFrame:
+    """Inner join of ``many`` with ``one`` on ``key``, the rows of hot keys dealt over ``salts`` tasks.
+
+    ``one`` has a row per key, with its number of rows in ``many`` or more as ``n``; ``n_many`` is the
+    number of all rows of ``many``. A key is hot if it has more than one ``MOST_HOT``-th of them, so
+    the list of hot keys is bounded and may be broadcast; rows of other keys are not repeated.
+    With ``also``, ``many`` is joined with that table, which may have many rows per key, and ``one``
+    only says which keys are hot.
+    """
+    salt = "salt__"
+    hot = one.filter(F.col("n") > max(1000, n_many // MOST_HOT)).select(key, F.lit(True).alias("hot__"))
+    left = many.join(F.broadcast(hot), key, "left").withColumn(
+        salt, F.when(F.col("hot__"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)).drop("hot__")
+    right = one if also is None else also.join(F.broadcast(hot), key, "left")
+    is_hot = F.col("n") > max(1000, n_many // MOST_HOT) if also is None else F.coalesce("hot__", F.lit(False))
+    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(0)))).drop("hot__")
+    return left.join(right.hint("merge"), [key, salt]).drop(salt)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, label): for every node that has a link, the smallest node it reaches.
 

@@ -6,19 +6,26 @@
    n-gram that one class alone holds is shared by nobody. Most sets have only such n-grams in
    their prefix; they are done. The others, without those n-grams and in global order, are
    written to a table.
-3. Every chunk of that table stores its sets in a prefix tree. A probing set walks down the
+3. Such sets are stored in prefix trees. A probing set walks down a
    tree; sets with a common beginning share the overlap counted so far, and a subtree is left
    when the longest rest below it, or its set sizes, cannot reach the similarity any more.
-4. Which set probes which chunk: first, for each prefix n-gram, its smallest class probes every
-   chunk that has the n-gram. Links found make components. An n-gram whose classes are one
-   component needs nothing more; for any other, every class outside its largest component
-   probes every chunk that has it, if its set size and that of a set there allow a link: a set
-   of n n-grams, s of them shared with anybody, has links only with sets of at most
-   ``s (1 + t) / t - n`` n-grams. So each pair that shares a prefix n-gram is either compared,
-   or already connected, or can't be a link: no link between components is missed, a group of
-   thousands of near copies costs one probe per chunk, no pairs within a group are emitted, and
-   texts that share a boilerplate too short for a link don't visit one another.
-5. The probes of a chunk are dealt over blocks of bounded size, each a task with the chunk's tree.
+4. Sets that share a popular n-gram lie together: a set's *home* is the smallest class that holds
+   the most popular n-gram of its prefix; small homes share a place, large ones are cut into places
+   of bounded bytes. So the near copies of one text meet in a few places, however many chunks of
+   documents they came from.
+5. Which set probes which place: first, for each prefix n-gram, the class with the largest share of
+   shared n-grams probes every place that has the n-gram. Links found make components. An n-gram
+   whose classes are one component needs nothing more; for any other, every class outside its
+   largest component probes every place that has it, if sizes and positions allow a link: with r
+   shared n-grams from the common one on, a set of n n-grams has links through it only with sets of
+   at most ``r (1 + t) / t - n`` n-grams (the first n-gram that two sets share is one for which that
+   holds both ways). So each pair that shares a prefix n-gram is either compared, or already
+   connected, or can't be a link: no link between components is missed, a group of thousands of
+   near copies costs a few probes a member, no pairs within a group are emitted, and texts that
+   share a boilerplate too short for a link don't visit one another.
+6. The probes of a place are dealt over blocks of bounded size, each a task with the place's tree.
+   Joins by n-gram, class or home spread the rows of hot keys (at most ``components.MOST_HOT``,
+   counted, so that the list of them may be broadcast).
 
 Defined results: texts of fewer words than n have one n-gram, the whole sequence; null or
 empty texts, and texts without words, have none and are linked with nothing (their component
@@ -38,14 +45,14 @@ from pyspark.sql import functions as F
 
 from opsdeck.llm import exchange
 from opsdeck.llm.common import fresh
-from opsdeck.llm.components import connected, salted_join, written
+from opsdeck.llm.components import connected, salted_join, spread_join, written
 from opsdeck.llm.substring_dedup import _distinct
 from opsdeck.llm.words import Texts, mix
 
 N = 5
 PERCENT = 75
 KEY_BYTES = 5
-BLOCK_BYTES = 16 << 20  # of probing sets that meet a chunk in one task
+BLOCK_BYTES = 16 << 20  # of the sets of a place, and of probing sets that meet them in one task
 STEP = 64  # n-grams compared between two looks at the bounds
 
 
@@ -85,31 +92,48 @@ def sets_of(texts: list[bytes | None], n: int = N) -> Sets:
     return Sets(gram, np.searchsorted(doc, np.arange(len(texts) + 1)))
 
 
+def _run_end(rows: list, i: int, end: int, at: int) -> int:
+    """Where the run of rows ends that have the same n-gram as row i at a place."""
+    gram, high = rows[i][1][at], end
+    low = i + 1
+    while low < high:
+        middle = (low + high) // 2
+        if rows[middle][1][at] == gram:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
 class Tree:
     """A prefix tree of sets, given as sequences in one global order."""
 
     __slots__ = ("part", "below", "ends", "least", "most", "depth")
 
-    def __init__(self, rows: list[tuple[bytes, list[int], int, int]], at: int = 0):
-        """Rows (order key, sequence, set size, name) sorted by key; all agree before ``at``."""
-        first, last = rows[0][1], rows[-1][1]
-        to = at
-        while to < len(first) and to < len(last) and first[to] == last[to]:
-            to += 1
-        self.part = first[at:to]  # what all sequences below share next
-        self.ends = [(size, name) for _, seq, size, name in rows if len(seq) == to]
-        self.below = []
-        rest = [r for r in rows if len(r[1]) > to]
-        i = 0
-        while i < len(rest):
-            j = i
-            while j < len(rest) and rest[j][1][to] == rest[i][1][to]:
-                j += 1
-            self.below.append(Tree(rest[i:j], to))
-            i = j
-        self.least = min(r[2] for r in rows)
-        self.most = max(r[2] for r in rows)
-        self.depth = max(len(r[1]) for r in rows) - at  # longest rest from the start of ``part``
+    def __init__(self, rows: list[tuple[bytes, list[int], int, int]]):
+        """Rows (order key, sequence, set size, name) sorted by key."""
+        todo, made = [(self, 0, len(rows), 0)], []
+        while todo:
+            node, i, end, at = todo.pop()  # its rows agree before ``at``
+            first, last = rows[i][1], rows[end - 1][1]
+            to = at
+            while to < len(first) and to < len(last) and first[to] == last[to]:
+                to += 1
+            node.part, node.ends, node.below = first[at:to], [], []  # part: what all sequences below share next
+            while i < end and len(rows[i][1]) == to:
+                node.ends.append((rows[i][2], rows[i][3]))
+                i += 1
+            while i < end:
+                j = _run_end(rows, i, end, to)
+                node.below.append(Tree.__new__(Tree))
+                todo.append((node.below[-1], i, j, to))
+                i = j
+            made.append(node)
+        for node in reversed(made):  # children first
+            sizes = [s for s, _ in node.ends]
+            node.least = min([*sizes, *(c.least for c in node.below)])
+            node.most = max([*sizes, *(c.most for c in node.below)])
+            node.depth = len(node.part) + max([0, *(c.depth for c in node.below)])  # longest rest from the start of ``part``
 
     def probe(self, grams: frozenset, size: int, percent: int, found: list, shared: int = 0) -> None:
         """Append the names of all sets at least ``percent`` similar to one of ``size`` n-grams,
@@ -236,59 +260,98 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(gram, class_id, chunk, size, most) of the n-grams in prefixes; ``most`` is the size of the
-    largest set that can be linked with this one, as its shared n-grams are all they can share."""
+    """(gram, class_id, size, most) of the n-grams in prefixes; ``most`` is the size of the largest
+    set that can be linked with this one if the n-gram is the first that they share."""
     def run(batches):
         for batch in batches:
-            for chunk, name, size, prefix, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, size, prefix, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shared = np.frombuffer(raw, dtype=np.int64)
-                most = len(shared) * (100 + percent) // percent - size
                 grams = shared[:prefix]
+                most = (len(shared) - np.arange(len(grams))) * (100 + percent) // percent - size
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams), *(pa.array(np.full(len(grams), x, dtype=t))
-                                        for x, t in ((name, np.int64), (chunk, np.int32), (size, np.int64), (most, np.int64)))],
-                    names=["gram", "class_id", "chunk", "size", "most"])
-
-    return sets.select("chunk", "class_id", "n_shingles", "prefix", "grams").mapInArrow(
-        run, "gram long, class_id long, chunk int, size long, most long")
-
-
-def _places(postings: DataFrame) -> DataFrame:
-    """Of each prefix n-gram and chunk the smallest class, the number of classes, the smallest set
-    and the largest ``most``."""
-    return postings.groupBy("gram", "chunk").agg(F.min("class_id").alias("hub"), F.count("*").alias("n"),
-                                                 F.min("size").alias("least_there"), F.max("most").alias("most_there"))
-
-
-def _second(postings: DataFrame, places: DataFrame, labels: DataFrame) -> DataFrame:
-    """(class_id, chunk) of the probes by n-grams whose classes are not one component yet."""
-    fits = (F.col("least_there") <= F.col("most")) & (F.col("size") <= F.col("most_there"))
-    labelled = postings.join(labels, "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
-    split = labelled.groupBy("gram", "label").agg(
-        F.count("*").alias("n"), F.min("size").alias("least_there"), F.max("most").alias("most_there")).groupBy("gram").agg(
-        F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"),
-        F.min("least_there").alias("least_there"), F.max("most_there").alias("most_there")).filter("labels > 1")
-    split = split.select("gram", F.col("top.label").alias("main"), "least_there", "most_there")
-    movers = labelled.join(split, "gram").filter((F.col("label") != F.col("main")) & fits).select("gram", "class_id", "size", "most")
-    there = places.join(split.select("gram"), "gram", "left_semi").select("gram", "chunk", "least_there", "most_there")
-    return salted_join(movers, there, "gram", "class_id").filter(fits).select("class_id", "chunk").distinct()
+                    [pa.array(grams), pa.array(np.full(len(grams), name, dtype=np.int64)),
+                     pa.array(np.full(len(grams), size, dtype=np.int64)), pa.array(most.astype(np.int64))],
+                    names=["gram", "class_id", "size", "most"])
+
+    return sets.select("class_id", "n_shingles", "prefix", "grams").mapInArrow(run, "gram long, class_id long, size long, most long")
+
+
+def _fits(size: str, most: str, least_there: str, most_there: str):
+    return (F.col(least_there) <= F.col(most)) & (F.col(size) <= F.col(most_there))
+
+
+def _shared(postings: DataFrame, n_postings: int) -> DataFrame:
+    """The postings whose n-gram lies in two prefixes at least, with its number of them (``n``),
+    smallest class (``least``) and, as ``hub``, the class that has the largest ``most`` for its size."""
+    stats = postings.groupBy("gram").agg(
+        F.count("*").alias("n"), F.min("class_id").alias("least"),
+        F.max(F.struct((F.col("most") / F.col("size")).alias("share"), "class_id", "size", "most")).alias("hub")).filter("n > 1")
+    return spread_join(postings, stats, "gram", "class_id", n_postings)
+
+
+def _placed(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(class_id, place) of the sets that share a prefix n-gram with another."""
+    homes = shared.groupBy("class_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "least")).alias("top"))
+    homes = homes.select("class_id", F.col("top.least").alias("home"))
+    homes = written(homes.join(sets.select("class_id", F.octet_length("grams").alias("bytes")), "class_id"), "homes")
+    total, count = homes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    bins = max(1, -(-total // BLOCK_BYTES))
+    sizes = homes.groupBy("home").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("parts"), F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("class_id"), F.col("parts"))
+    place = F.when(F.col("parts") > 1, F.xxhash64("home", part)).otherwise(F.pmod(F.xxhash64("home"), F.lit(bins)))
+    return spread_join(homes, sizes, "home", "class_id", count).select("class_id", place.alias("place"))
+
+
+def _there(shared: DataFrame) -> DataFrame:
+    """Of each prefix n-gram and place the smallest set and the largest ``most``."""
+    return shared.groupBy("gram", "place").agg(F.min("size").alias("least_there"), F.max("most").alias("most_there"))
+
+
+def _first(shared: DataFrame, there: DataFrame) -> DataFrame:
+    """(class_id, place) of the probes by the hub of each n-gram."""
+    hubs = shared.groupBy("gram").agg(F.first("hub").alias("hub"), F.count("*").alias("n"))
+    hubs = hubs.select("gram", "n", "hub.class_id", "hub.size", "hub.most")
+    return spread_join(there, hubs, "gram", "place", shared.count()).filter(
+        _fits("size", "most", "least_there", "most_there")).select("class_id", "place").distinct()
+
+
+def _second(shared: DataFrame, there: DataFrame, labels: DataFrame) -> DataFrame:
+    """(class_id, place) of the probes by n-grams whose classes are not one component yet."""
+    counts = shared.groupBy("class_id").agg(F.count("*").alias("n"))
+    named = counts.join(labels, "class_id", "left").select("class_id", "n", F.coalesce("label", "class_id").alias("label"))
+    rows, count = shared.select("gram", "class_id", "size", "most"), shared.count()
+    labelled = written(spread_join(rows, named, "class_id", "gram", count).select(*rows.columns, "label"), "labelled")
+    split = labelled.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
+    split = written(split.select("gram", "n", F.col("top.label").alias("main")), "split")
+    movers = spread_join(labelled, split, "gram", "class_id", count).filter("label <> main").select(*rows.columns)
+    movers = written(movers, "movers")
+    places = written(spread_join(there, split.select("gram", "n"), "gram", "place", count).drop("n"), "split-places")
+    # many places of an n-gram times many movers of it: both sides are plain rows, hot n-grams are salted
+    counts = movers.groupBy("gram").agg(F.count("*").alias("n"))
+    return spread_join(movers, counts, "gram", "class_id", movers.count(), also=places).filter(
+        _fits("size", "most", "least_there", "most_there")).select("class_id", "place").distinct()
 
 
 def _probes(sets: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunk, block, probe, size, probe_grams) of the visits, dealt over blocks of about
-    ``BLOCK_BYTES``, and the number of blocks of each chunk that has more than one."""
+    """(place, block, probe, size, probe_grams) of the visits, dealt over blocks of about
+    ``BLOCK_BYTES``, and the number of blocks of each place that is visited."""
+    visits = written(visits.select(F.col("class_id").alias("probe"), "place"), "visits")
     asking = sets.select(F.col("class_id").alias("probe"), F.col("n_shingles").alias("size"), F.col("grams").alias("probe_grams"))
-    visits = visits.select(F.col("class_id").alias("probe"), F.col("chunk").alias("place"))
-    weighed = visits.join(sets.select(F.col("class_id").alias("probe"), F.octet_length("grams").alias("bytes")), "probe")
-    blocks = weighed.groupBy("place").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")).filter("blocks > 1")
-    dealt = salted_join(visits, blocks, "place", "probe", "left").select(
-        "probe", "place", F.pmod(F.xxhash64("probe"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
-    return dealt.join(asking, "probe"), blocks
+    counts = visits.groupBy("probe").agg(F.count("*").alias("n"))
+    asking = asking.join(counts, "probe")
+    weights = asking.select("probe", "n", F.octet_length("probe_grams").alias("bytes"))
+    n_visits = visits.count()
+    weighed = spread_join(visits, weights, "probe", "place", n_visits)
+    blocks = weighed.groupBy("place").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.count("*").alias("n"))
+    dealt = spread_join(visits, blocks, "place", "probe", n_visits).select(
+        "probe", "place", F.pmod(F.xxhash64("probe"), "blocks").cast("int").alias("block"))
+    return spread_join(dealt, asking, "probe", "place", n_visits).drop("n"), blocks.select("place", "blocks")
 
 
 def _links(sets: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
-    """Links that the visits (class_id, chunk) find, at most one per set and block of a chunk:
-    in a block, sets that one another's links already connect are linked once."""
+    """Links that the visits (class_id, place) find, at most one per set and block of a place:
+    in a block, sets that one another's links already connect are linked once. ``sets`` have a place."""
     probes, blocks = _probes(sets, visits)
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
@@ -314,10 +377,10 @@ def _links(sets: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
         out = [x for x in out if x[0] != x[1]]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    stored = sets.select("chunk", "class_id", "n_shingles", "grams").join(
-        F.broadcast(blocks.withColumnRenamed("place", "chunk")), "chunk", "left")  # a row per chunk at most
-    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
-    return stored.groupBy("chunk", "block").cogroup(probes.groupBy("place", "block")).applyInArrow(run, "a long, b long")
+    # the sets of a place are bounded, so a place is no hot key here
+    stored = sets.select("place", "class_id", "n_shingles", "grams").join(blocks.hint("merge"), "place")
+    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return stored.groupBy("place", "block").cogroup(probes.groupBy("place", "block")).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
@@ -330,17 +393,19 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_c
     if not 0 < percent <= 100 or n < 1:
         raise ValueError("percent must be in 1..100 and n positive")
     members = written(_members(docs, id_col, text_col, n, percent, sizes), "members")
-    sets = members.filter(F.col("grams").isNotNull()).select("chunk", "class_id", "n_shingles", "prefix", "grams")
+    sets = members.filter(F.col("grams").isNotNull()).select("class_id", "n_shingles", "prefix", "grams")
     postings = written(_postings(sets, percent), "postings")
-    # probes of the smallest class of each n-gram
-    places = _places(postings)
-    hubs = places.groupBy("gram").agg(F.min("hub").alias("class_id"), F.sum("n").alias("n")).filter("n > 1").drop("n")
-    first = places.select("gram", "chunk").join(hubs, "gram").select("class_id", "chunk").distinct()
+    shared = written(_shared(postings, postings.count()), "shared")
+    placed = written(_placed(shared, sets), "placed")
+    sets = written(sets.join(placed, "class_id").select("place", "class_id", "n_shingles", "grams"), "sets")
+    shared = written(shared.join(placed, "class_id").select("gram", "class_id", "size", "most", "hub", "place"), "placed-postings")
+    there = written(_there(shared), "places")
+    first = written(_first(shared, there), "first")
     links = written(_links(sets, first, percent), "links")
     # n-grams whose classes are not one component yet
     labels = written(connected(links), "labels").withColumnRenamed("node", "class_id")
-    second = _second(postings, places, labels)
-    more = _links(sets, second.join(first, ["class_id", "chunk"], "left_anti"), percent)
+    second = _second(shared, there, labels)
+    more = _links(sets, second.join(first, ["class_id", "place"], "left_anti"), percent)
     labels = written(connected(links.union(more)), "labels")
     out = salted_join(members.select("doc_id", "n_shingles", "class_id"), labels.withColumnRenamed("node", "class_id"),
                       "class_id", "doc_id", "left")

@@ -102,15 +102,15 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_probes_meet_a_chunk_in_bounded_blocks(spark, monkeypatch):
+def test_probes_meet_a_place_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
     texts = noisy_texts(6, n=80, vocabulary=9, longest=30)
     docs, want = make_docs(spark, texts), brute(texts, 2, 60)
     out = ngram_join.near_duplicates(docs, n=2, percent=60, sizes=exchange.Layout(2, 2)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
-    rows = [(k % 2, i, 20, 20, bytes(160)) for k, i in enumerate(range(100))]
-    sets = spark.createDataFrame(rows, "chunk int, class_id long, n_shingles long, prefix long, grams binary")
-    visits = sets.select("class_id").crossJoin(sets.select("chunk").distinct())
+    rows = [(k % 2, i, 20, bytes(160)) for k, i in enumerate(range(100))]
+    sets = spark.createDataFrame(rows, "place long, class_id long, n_shingles long, grams binary")
+    visits = sets.select("class_id").crossJoin(sets.select("place").distinct())
     dealt = ngram_join._probes(sets, visits)[0].groupBy("place", "block").agg(F.sum(F.octet_length("probe_grams")).alias("n")).collect()
     assert sum(r.n for r in dealt) == 200 * 160 and len(dealt) == 16 and max(r.n for r in dealt) < 3 * 2000
 
@@ -123,3 +123,45 @@ def test_boilerplate_too_short_for_a_link_brings_no_probes(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "_second", lambda *a: seen.append(second(*a).count()) or second(*a))
     out = ngram_join.near_duplicates(make_docs(spark, texts), sizes=exchange.Layout(5, 3)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(texts, 5, 75) and seen == [0]
+
+
+def test_a_deep_tree_needs_no_recursion():
+    rng, n = random.Random(9), 3000
+    base = list(range(10_000, 10_000 + n))
+    rows = []
+    for i in range(n):                       # each leaves the common path one n-gram later
+        seq = base[:i] + [i] + base[i:i + 3]
+        rows.append((np.array(seq, dtype=np.uint64).tobytes(), seq, len(seq), i))
+    tree = ngram_join.Tree(sorted(rows))
+    for i in rng.sample(range(n), 5):
+        found = []
+        tree.probe(frozenset(rows[i][1]), len(rows[i][1]), 100, found)
+        assert found == [i]
+
+
+def test_near_copies_lie_together_and_are_probed_once(spark, monkeypatch):
+    """A group of near copies that are not all like one another: probes grow with its members."""
+    rng = random.Random(10)
+    base = [f"b{k}" for k in range(400)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rng.choice([1, 6, 10])):
+            copy[rng.randrange(400)] = f"n{rng.random()}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"u{rng.random()}" for _ in range(50)) for _ in range(30)]
+    visits, probes = [], ngram_join._probes
+    monkeypatch.setattr(ngram_join, "_probes", lambda sets, v: visits.append(v.count()) or probes(sets, v))
+    out = ngram_join.near_duplicates(make_docs(spark, texts), sizes=exchange.Layout(40, 5)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(texts, 5, 75)
+    assert sum(visits) < 3 * 120             # 40 chunks would have made up to 120 x 40
+
+
+def test_boilerplate_of_a_third_of_all_documents(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.random():.12f}"[:9] for _ in range(n)]
+    common = fresh(40)
+    own = [fresh(30) for _ in range(30)]
+    texts = [" ".join(own[k % 30][: 30 - k // 30] + common) for k in range(90)] + [" ".join(fresh(60)) for _ in range(180)]
+    out = ngram_join.near_duplicates(make_docs(spark, texts), sizes=exchange.Layout(9, 4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(texts, 5, 75)
