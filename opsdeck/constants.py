@@ -63,6 +63,18 @@ EXPIRY_DIGEST_HEADING = "Here's a list of instances you launched that will be te
 BOX_ITEM_FORMAT = "_*%s*_: %dd, £%d"
 USER_ITEM_FORMAT = "_*%s*_: x%d, %dd"
 TOTALS_FORMAT = "*%d* instances (*£%d/day*)\n*%d* cumulative days (*£%d*)"
+ITEM_SEPARATOR = " | "
+LINK_FORMAT = "<%s|%s>"
+MESSAGE_LINK_TEXTS = ("create", "terminate", "full listing")
+BY_AGE_TITLE = "= By age (oldest first) ="
+BY_OWNER_TITLE = "= By dev ="
+# Digest bodies (HTML): what opens a body (around the heading), each item, and what closes it.
+AGE_BODY_OPEN = "<h3>EC2 instance report</h3><p>%s<p>\n"
+AGE_BODY_ITEM = "<b>%s</b>, running for %s<br>\n"
+AGE_BODY_CLOSE = "<p><a href='%s'>Manage your instances here</a>."
+EXPIRY_BODY_OPEN = "<h3>EC2 instance termination warnings:</h3><p>%s<br><p>\n<ul>\n"
+EXPIRY_BODY_ITEM = ("<li> <b>%s</b>, created %s ago will be terminated on the evening of %s."
+                    " <a href='%s'>Extend instance life</a></li>\n")
 # Fleet listing status marker: label and colour for running / not running.
 STATUS_RUNNING = ("Running", "#28a745")
 STATUS_STOPPED = ("Stopped", "#dc3545")

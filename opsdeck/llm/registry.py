@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsdeck.llm import bpe, katz, langid, mih, mixing, ngram_join, quality, substring_dedup, token_counts, url_filter
+from opsdeck.llm import bpe, fim, katz, langid, line_dedup, mih, mixing, ngram_join, quality, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_url_filter": url_filter.query,
+    "op11_fill_in_middle": fim.query,
+    "op13_line_dedup": line_dedup.query,
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested by brute force.
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op9_ngram_jaccard_join": ngram_join.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op13_line_dedup": line_dedup.ORACLE,
 }

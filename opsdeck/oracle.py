@@ -296,3 +296,55 @@ select build, n_requests, hours, instance_id, name, old_terminate_after, new_ter
 from n
 """,
 }
+
+
+def _bodies(digest: str, opened: str, item: str, closed: str) -> str:
+    """Digest bodies in parts of 7 items from the digest's own rows (in DuckDB a plain window)."""
+    return f"""
+with d as ({ORACLE_SQL[digest]}),
+p as (select *, row_number() over (partition by owner order by build) as position from d),
+q as (select *, (position - 1) // 7 + 1 as part, (n_instances + 6) // 7 as n_parts from p)
+select owner, part, n_parts, count(*) as n_items, n_instances, subject,
+  case when part = 1 then {opened} else '' end || coalesce(string_agg({item}, '' order by position), '')
+    || case when part = n_parts then {closed} else '' end as body_text
+from q group by owner, part, n_parts, n_instances, subject
+"""
+
+
+ORACLE_SQL["age_digest_bodies"] = _bodies(
+    "age_digest", "'<h3>EC2 instance report</h3><p>' || any_value(heading) || '<p>' || chr(10)",
+    f"'<b>' || build || '</b>, running for ' || {_plural('age_days', 'day')} || '<br>' || chr(10)",
+    "'<p><a href=''' || any_value(link) || '''>Manage your instances here</a>.'")
+ORACLE_SQL["expiry_digest_bodies"] = _bodies(
+    "expiry_digest",
+    "'<h3>EC2 instance termination warnings:</h3><p>' || any_value(heading) || '<br><p>' || chr(10) || '<ul>' || chr(10)",
+    "'<li> <b>' || build || '</b>, created ' || case when age_days = 0 then 'less than a day' else "
+    f"{_plural('age_days', 'day')} end || ' ago will be terminated on the evening of ' || expires_on || '. <a href=''' || link "
+    "|| '''>Extend instance life</a></li>' || chr(10)", "''")
+ORACLE_SQL["fleet_listing_order"] = f"""
+select row_number() over (order by running desc, lower(build), build) as position, build, running
+from ({ORACLE_SQL["fleet_listing"]})
+"""
+ORACLE_SQL["running_listing_order"] = f"""
+select row_number() over (order by build) as position, build, owner from ({ORACLE_SQL["running_listing"]})
+"""
+ORACLE_SQL["cost_orders"] = f"""
+with boxes as ({ORACLE_SQL["cost_by_box"]}), users as ({ORACLE_SQL["cost_by_owner"]})
+select 'name' as list, row_number() over (order by short_name nulls first, instance_id) as position, instance_id as entry, item_text
+from boxes
+union all
+select 'age', row_number() over (order by age_days desc nulls last, short_name desc nulls last, instance_id), instance_id, item_text
+from boxes
+union all
+select 'owner', row_number() over (order by owner nulls first), owner, item_text from users
+"""
+ORACLE_SQL["cost_message"] = f"""
+with o as ({ORACLE_SQL["cost_orders"]}), t as ({ORACLE_SQL["cost_totals"]}),
+p as (select *, (position - 1) // 7 + 1 as part from o where list <> 'name')
+select 1 as section, cast(null as varchar) as title, cast(1 as bigint) as part, total_instances as n_items,
+  summary || chr(10) || '<https://reports.example.test/create|create> | <https://reports.example.test/terminate|terminate> | '
+    || '<https://reports.example.test/instances|full listing>' as text from t
+union all
+select case list when 'age' then 2 else 3 end, case list when 'age' then '= By age (oldest first) =' else '= By dev =' end,
+  part, count(*), coalesce(string_agg(item_text, ' | ' order by position), '') from p group by list, part
+"""

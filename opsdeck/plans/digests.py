@@ -1,9 +1,9 @@
 """R4 long-running digest and R5 soon-to-expire digest, one row per (owner, build).
 
 A digest is kept in long form: each row is one item of one owner's message and carries
-the owner's header (item count, subject). No owner's items are gathered into one value,
-so an owner with millions of builds is still spread over many tasks; rendering the
-message body from the ordered rows is left to the sender.
+the owner's header (item count, subject), so an owner with millions of builds is still spread
+over many tasks. ``age_bodies`` and ``expiry_bodies`` render the message bodies from such rows in
+parts of a bounded number of items.
 """
 
 from __future__ import annotations
@@ -11,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsdeck.constants import (AGE_DIGEST_HEADING_FORMAT, AGE_DIGEST_ITEM_FORMAT, AGE_DIGEST_MIN_DAYS, AGE_ZERO_TEXT,
-                               DIGEST_SUBJECT_LEAD, EXPIRY_DIGEST_HEADING, EXPIRY_DIGEST_ITEM_FORMAT,
+from opsdeck.constants import (AGE_BODY_CLOSE, AGE_BODY_ITEM, AGE_BODY_OPEN, AGE_DIGEST_HEADING_FORMAT, AGE_DIGEST_ITEM_FORMAT, AGE_DIGEST_MIN_DAYS, AGE_ZERO_TEXT,
+                               DIGEST_SUBJECT_LEAD, EXPIRY_BODY_ITEM, EXPIRY_BODY_OPEN, EXPIRY_DIGEST_HEADING, EXPIRY_DIGEST_ITEM_FORMAT,
                                EXPIRY_DIGEST_WITHIN_DAYS)
 from opsdeck.functions.tags import present_and_not, tag, tag_truthy
 from opsdeck.functions.text import plural
 from opsdeck.functions.timefns import as_of_lit, elapsed_days, expiry_phrase, parse_iso
 from opsdeck.operators.collapse import last_by
 from opsdeck.operators.joins import salted_join
+from opsdeck.operators.positions import joined_in_parts, with_group_positions
 from opsdeck.plans.fleet import in_state, order_columns, test_fleet
 
+ITEMS_PER_PART = 500
 DEFAULT_SUBJECT_PREFIX = "[EC2 report] "
 DEFAULT_REPORT_URL = "https://reports.example.test/instances"
 DEFAULT_EXTEND_URL = "https://reports.example.test/extend?instance="
@@ -74,6 +76,38 @@ def age_digest(instances: DataFrame, as_of, *, min_days: int = AGE_DIGEST_MIN_DA
     return with_owner_header(items, subject_prefix, count_column="age_days").orderBy("owner", "build")
 
 
+def _bodies(items: DataFrame, opened: Column, item: Column, closed: Column, items_per_part: int) -> DataFrame:
+    """owner, part, n_parts, n_items, n_instances, subject, body_text: the first part begins with ``opened``,
+    the last one ends with ``closed``, so an owner's parts, one after another, are the whole body.
+
+    ``opened`` and ``closed`` are the same for all items of an owner. Places within an owner come from
+    the global order (``operators.positions``); a group holds at most ``items_per_part`` items.
+    """
+    needed = items.select("owner", "build", "n_instances", "subject", item.alias("_item"), opened.alias("_open"), closed.alias("_close"))
+    placed = with_group_positions(needed, "owner", ["build"], "build")
+    keys = ["owner", "n_instances", "subject", "_open", "_close"]
+    parts = joined_in_parts(placed, F.col("_item"), "position", items_per_part, "", keys)
+    n_parts = F.ceil(F.col("n_instances") / F.lit(items_per_part)).cast("bigint")
+    body = F.concat(F.when(F.col("part") == 1, F.col("_open")).otherwise(""), F.col("text"),
+                    F.when(F.col("part") == n_parts, F.col("_close")).otherwise(""))
+    return parts.select("owner", "part", n_parts.alias("n_parts"), "n_items", "n_instances", "subject", body.alias("body_text"))
+
+
+def age_bodies(digest: DataFrame, items_per_part: int = ITEMS_PER_PART) -> DataFrame:
+    """R4's message bodies (HTML) from the rows of ``age_digest``, in parts of bounded size."""
+    item = F.format_string(AGE_BODY_ITEM, F.col("build"), plural(F.col("age_days"), "day"))
+    return _bodies(digest, F.format_string(AGE_BODY_OPEN, F.col("heading")), item, F.format_string(AGE_BODY_CLOSE, F.col("link")), items_per_part)
+
+
+def expiry_bodies(digest: DataFrame, items_per_part: int = ITEMS_PER_PART) -> DataFrame:
+    """R5's message bodies (HTML) from the rows of ``expiry_digest``; an item whose age is unknown is left
+    out of the text, as its line can't be rendered."""
+    age = _age_text(F.col("age_days"))
+    item = F.format_string(EXPIRY_BODY_ITEM, F.col("build"), age, F.col("expires_on"), F.col("link"))
+    item = F.when(age.isNotNull() & F.col("expires_on").isNotNull(), item)
+    return _bodies(digest, F.format_string(EXPIRY_BODY_OPEN, F.col("heading")), item, F.lit(""), items_per_part)
+
+
 def _age_text(age: Column) -> Column:
     return F.when(age == 0, F.lit(AGE_ZERO_TEXT)).otherwise(plural(age, "day"))
 

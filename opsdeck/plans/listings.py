@@ -17,6 +17,7 @@ from opsdeck.functions.text import age_label, owner_or_unknown, severity
 from opsdeck.functions.timefns import (as_of_lit, calendar_days, created_display, elapsed_days,
                                        parse_iso)
 from opsdeck.operators.collapse import last_by
+from opsdeck.operators.positions import with_positions
 from opsdeck.plans.fleet import in_state, is_state, order_columns, test_fleet
 
 
@@ -71,8 +72,9 @@ def build_last_wins(instances: DataFrame, exclude_builds: Sequence[str] = FLEET_
 def fleet_listing(instances: DataFrame, brokers: DataFrame, as_of, *,
                   warn_days: int = FLEET_WARN_DAYS, danger_days: int = FLEET_DANGER_DAYS,
                   exclude_builds: Sequence[str] = FLEET_EXCLUDED_BUILDS, site: str = "www",
-                  admin_site: str = "admin", region: str = DEFAULT_REGION) -> DataFrame:
-    """R2: one row per build (last instance wins), all states, running ones first.
+                  admin_site: str = "admin", region: str = DEFAULT_REGION, numbered: bool = False) -> DataFrame:
+    """R2: one row per build (last instance wins), all states, running ones first; with ``numbered``
+    as a ``position`` column (see ``operators.positions``) instead of sorted.
 
     Age is in calendar days from the ``launched_at`` tag to ``as_of``; severity uses strict
     thresholds. Columns: build, owner, hostname, website, portainer, admin, rabbit,
@@ -107,7 +109,8 @@ def fleet_listing(instances: DataFrame, brokers: DataFrame, as_of, *,
         F.when(running, F.lit(STATUS_RUNNING[1])).otherwise(F.lit(STATUS_STOPPED[1])).alias("status_color"))
     cols = ["build", "owner", "hostname", "website", "portainer", "admin", "rabbit",
             "launched_at", "age_days", "age_label", "severity", "running", "status_label", "status_color"]
-    return listing.select(*cols).orderBy(F.desc("running"), F.lower("build"), "build")
+    order = [F.desc("running"), F.lower("build"), "build"]
+    return with_positions(listing.select(*cols), order) if numbered else listing.select(*cols).orderBy(*order)
 
 
 def hostname_fallback(instances: DataFrame, *, site: str = "www", domain: str = "example.test") -> DataFrame:
@@ -172,8 +175,8 @@ def render_running(rows: DataFrame, *, overdue_days: int = RUNNING_OVERDUE_DAYS,
 
 def running_listing(instances: DataFrame, as_of, *, warn_days: int = RUNNING_WARN_DAYS,
                     danger_days: int = RUNNING_DANGER_DAYS, overdue_days: int = RUNNING_OVERDUE_DAYS,
-                    site: str = "www", domain: str = "example.test") -> DataFrame:
-    """One row per running build, sorted by build. Every field comes from the last
+                    site: str = "www", domain: str = "example.test", numbered: bool = False) -> DataFrame:
+    """One row per running build, sorted by build (``numbered``: with its ``position``). Every field comes from the last
     instance of the build except ``severity``, which keeps the last value written (an
     instance with ``no_age_alert`` does not overwrite it).
 
@@ -182,7 +185,8 @@ def running_listing(instances: DataFrame, as_of, *, warn_days: int = RUNNING_WAR
     """
     rows = running_rows(instances, as_of, warn_days=warn_days, danger_days=danger_days, domain=domain)
     last = last_by(rows, ["build"], order_columns(instances), keep_last_set=["severity"])
-    return render_running(last, overdue_days=overdue_days, site=site).orderBy("build")
+    listing = render_running(last, overdue_days=overdue_days, site=site)
+    return with_positions(listing, ["build"]) if numbered else listing.orderBy("build")
 
 
 def build_last_wins_fieldwise(instances: DataFrame, as_of, **kwargs) -> DataFrame:

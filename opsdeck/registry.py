@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +137,40 @@ def expiry_digest(spark, sf_dir):
     return digests.expiry_digest(fx.instances(spark, sf_dir), fx.AS_OF, ignore_owner=fx.IGNORE_OWNER)
 
 
+#: Items of a part in the registered bodies and lists: few, so that the test tables make several parts.
+PART = 7
+
+
+def age_digest_bodies(spark, sf_dir):
+    return digests.age_bodies(age_digest(spark, sf_dir), PART)
+
+
+def expiry_digest_bodies(spark, sf_dir):
+    return digests.expiry_bodies(expiry_digest(spark, sf_dir), PART)
+
+
+def fleet_listing_order(spark, sf_dir):
+    return listings.fleet_listing(fx.instances(spark, sf_dir), fx.brokers(spark, sf_dir), fx.AS_OF,
+                                  exclude_builds=fx.EXCLUDED_BUILDS, numbered=True).select("position", "build", "running")
+
+
+def running_listing_order(spark, sf_dir):
+    return listings.running_listing(fx.instances(spark, sf_dir), fx.AS_OF, numbered=True).select("position", "build", "owner")
+
+
+def cost_orders(spark, sf_dir):
+    """Boxes by name, boxes by age and owners by name, with their positions."""
+    rows = _costs(spark, sf_dir)
+    lists = (("name", costs.cost_by_box(rows, by="name", numbered=True), F.col("instance_id")),
+             ("age", costs.cost_by_box(rows, by="age", numbered=True), F.col("instance_id")),
+             ("owner", costs.cost_by_owner(rows, numbered=True), F.col("owner")))
+    return reduce(DataFrame.unionAll, [r.select(F.lit(name).alias("list"), "position", key.alias("entry"), "item_text") for name, r, key in lists])
+
+
+def cost_message(spark, sf_dir):
+    return costs.cost_message(_costs(spark, sf_dir), items_per_part=PART)
+
+
 def _costs(spark, sf_dir):
     return costs.cost_rows(fx.instances(spark, sf_dir), fx.AS_OF)
 
@@ -194,6 +229,12 @@ QUERIES: dict[str, Query] = {
     "listing_counts": listing_counts,                        # E8
     "age_digest": age_digest,                                # R4: B10 E4o E7 G9
     "expiry_digest": expiry_digest,                          # R5: B11 H6 H8 G10 I6
+    "age_digest_bodies": age_digest_bodies,                  # R4 body_text, in parts
+    "expiry_digest_bodies": expiry_digest_bodies,            # R5 body_text, in parts
+    "fleet_listing_order": fleet_listing_order,              # F2
+    "running_listing_order": running_listing_order,          # F3
+    "cost_orders": cost_orders,                              # F4 F5 F6
+    "cost_message": cost_message,                            # G11 G12
     "cost_totals": cost_totals,                              # R6a: C7 E5 I4 I5
     "cost_by_box": cost_by_box,                              # R6b: G6 G11 F5
     "cost_by_box_name": cost_by_box_name,                    # F4

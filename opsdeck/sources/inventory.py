@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opsdeck.sources.landing import land
+
 TAG = T.StructType([T.StructField("Key", T.StringType()), T.StructField("Value", T.StringType())])
 INSTANCE = T.StructType([
     T.StructField("InstanceId", T.StringType()),
@@ -30,14 +32,16 @@ def _pages(spark: SparkSession, path: str, schema: T.StructType, json_lines: boo
 
     Pages order the documents, so several of which one has no number, or two have the same,
     leave "last listed wins" undefined. With ``check`` (the default of the readers) that is an
-    error, found by counting documents per page before anything else runs. A single document
-    needs no number; it is page 0.
+    error. JSON is parsed once: the documents are landed as parquet, of which the check reads the
+    page column alone and the returned DataFrame what its reader needs. A single document needs no
+    number; it is page 0.
     """
     fields = T.StructType([T.StructField(PAGE, T.LongType()), *schema.fields])
     docs = spark.read.schema(fields).option("multiLine", not json_lines).json(path)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
     docs = docs.withColumn(PAGE, F.coalesce(F.col(PAGE), F.when(name != "", name.cast("bigint"))))
     if check:
+        docs = land(docs, "json-documents")
         bad = docs.groupBy(PAGE).count().filter(F.col(PAGE).isNull() | (F.col("count") > 1)).limit(5).collect()
         single = len(bad) == 1 and bad[0]["count"] == 1 and docs.filter(F.col(PAGE).isNotNull()).isEmpty()
         if bad and not single:

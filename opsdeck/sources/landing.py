@@ -23,10 +23,11 @@ def _landing_path(spark: SparkSession, name: str) -> str:
 
 def land(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet under the checkpoint folder and return a scan of it. The
-    existing partitioning is written as is."""
+    existing partitioning is written as is. ``drop_landed`` deletes it."""
     spark: SparkSession = df.sparkSession
     path = _landing_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
+    _LANDED[(spark.sparkContext.applicationId, path)] = path
     return spark.read.parquet(path)
 
 
