@@ -214,6 +214,28 @@ def _frequent(counts: DataFrame, min_count: int, number: int) -> DataFrame:
     return rows.filter(F.col("total") >= min_count).select("chunk", "key", "total", "own", "proposed", F.lit(number).cast("byte").alias("pass"))
 
 
+def _expansion(shared, number: int, max_words: int):
+    """The expansion pass of a number: what it counts in a chunk, given the frequent phrases known so far."""
+    def expand(rows: pa.Table, have: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()),
+                              ("proposed", pa.bool_())]).empty_table()
+        chunk, words = rows["chunk"][0].as_py(), _words_of(rows["rows"][0].as_buffer())
+        level, _ = _known(words, *_sorted(have), max_words)
+        out = []
+        for k, at, _, _ in _first_counted(words, shared.value, max_words):
+            if k == 1:
+                continue
+            new = words.together(k)
+            new[:-1] &= np.maximum(level[k - 1][:-1], level[k - 1][1:]) == number - 1
+            new[at] = False
+            found = Counted.of(words, np.flatnonzero(new), k)
+            out.append(_rows(chunk, found.keys, found.tags, found.n, np.zeros(len(found.keys), dtype=bool)))
+        return pa.Table.from_batches(out)
+
+    return expand
+
+
 def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
          chunk_bytes: int = CHUNK_BYTES, sample_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, DataFrame, int]:
     """Chunks, all frequent phrases of up to ``max_words`` words (a row per chunk that holds one), and the number of
@@ -238,25 +260,7 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", min
     failures, number = known.filter("not proposed").limit(1).count(), 0
     while failures:
         number += 1
-
-        def expand(rows: pa.Table, have: pa.Table, number: int = number) -> pa.Table:
-            if not rows.num_rows:
-                return pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()),
-                                  ("proposed", pa.bool_())]).empty_table()
-            chunk, words = rows["chunk"][0].as_py(), _words_of(rows["rows"][0].as_buffer())
-            level, _ = _known(words, *_sorted(have), max_words)
-            out = []
-            for k, at, _, _ in _first_counted(words, shared.value, max_words):
-                if k == 1:
-                    continue
-                new = words.together(k)
-                new[:-1] &= np.maximum(level[k - 1][:-1], level[k - 1][1:]) == number - 1
-                new[at] = False
-                found = Counted.of(words, np.flatnonzero(new), k)
-                out.append(_rows(chunk, found.keys, found.tags, found.n, np.zeros(len(found.keys), dtype=bool)))
-            return pa.Table.from_batches(out)
-
-        counts = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(expand, COUNTS)
+        counts = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_expansion(shared, number, max_words), COUNTS)
         more = written(_frequent(counts, min_count, number), "phrases")
         failures = more.limit(1).count()
         known = known.union(more)

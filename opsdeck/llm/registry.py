@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsdeck.llm import bpe, fim, katz, langid, line_dedup, mih, mixing, ngram_join, quality, substring_dedup, token_counts, url_filter
+from opsdeck.llm import bpe, fim, katz, langid, line_dedup, mih, mixing, ngram_join, phrases, quality, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_url_filter": url_filter.query,
     "op11_fill_in_middle": fim.query,
+    "op12_phrase_mining": phrases.query,
     "op13_line_dedup": line_dedup.query,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op9_ngram_jaccard_join": ngram_join.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
+    "op12_phrase_mining": phrases.ORACLE,
     "op13_line_dedup": line_dedup.ORACLE,
 }
