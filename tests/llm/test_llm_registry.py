@@ -20,6 +20,8 @@ COLUMNS = {
     "op9": ("documents", {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"}),
     "op11": ("documents", {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint",
                            "output_sha256": "string", "restored_sha256": "string"}),
+    "op12": ("documents", {"lang": "string", "rank": "bigint", "phrase": "string", "a": "bigint", "l": "bigint", "r": "bigint",
+                           "n": "bigint", "score": "bigint"}),
     "op13": ("documents", {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"}),
     "op10": ("pages", {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"}),
 }
@@ -40,6 +42,8 @@ def test_query(spark, name):
         assert len(rows) == 50 and set(rows[key]) == {0, 100, 200, 300, 400}
     elif name.startswith("op1_"):
         assert 100 < len(rows) < 400
+    elif name.startswith("op12_"):  # ranks from 1 without gaps in each language
+        assert all(sorted(part) == list(range(1, len(part) + 1)) for _, part in rows.groupby("lang")["rank"])
     else:
         assert sorted(rows[key]) == sorted(r[0] for r in source.select(key).collect())
     assert not rows[[c for c in columns if c not in ("rule", "source", "prefix_chars", "middle_chars")]].isna().any().any()
