@@ -350,10 +350,12 @@ WITH texts AS (
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
 pieces AS (SELECT lang, unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
 worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+places AS (SELECT lang, unnest(list_zip(w, w[2:], w[3:], w[4:])) AS g FROM worded),
 grams AS (
-  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3), (4)) AS lengths(k)
-  WHERE i + k - 1 <= len(w)),
+  SELECT lang, 1 AS k, g[1] AS phrase FROM places
+  UNION ALL SELECT lang, 2, g[1] || ' ' || g[2] FROM places WHERE g[2] IS NOT NULL
+  UNION ALL SELECT lang, 3, g[1] || ' ' || g[2] || ' ' || g[3] FROM places WHERE g[3] IS NOT NULL
+  UNION ALL SELECT lang, 4, g[1] || ' ' || g[2] || ' ' || g[3] || ' ' || g[4] FROM places WHERE g[4] IS NOT NULL),
 f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase),
 sizes AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
