@@ -79,12 +79,17 @@ class Pieces:
             out[: len(out) - k + 1] = self.piece[k - 1:] == self.piece[: len(out) - k + 1]
         return out
 
+    def names(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Key of the phrases of k words at some words."""
+        if not len(at):
+            return np.zeros(0, dtype=np.uint64)
+        return mix(window_hashes(self.hashes, at, k) ^ np.uint64(0x2545F4914F6CDD1D * k & 0xFFFFFFFFFFFFFFFF))
+
     def keys(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Key and tag of the phrases of k words at some words."""
-        salt = np.uint64(0x2545F4914F6CDD1D * k & 0xFFFFFFFFFFFFFFFF)
         if not len(at):
             return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
-        return mix(window_hashes(self.hashes, at, k) ^ salt), (window_hashes(self.hashes, at, k, 1) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+        return self.names(at, k), (window_hashes(self.hashes, at, k, 1) & np.uint64(0x7FFFFFFF)).astype(np.int32)
 
 
 @dataclass
@@ -136,7 +141,7 @@ def _known(words: Pieces, keys: np.ndarray, passes: np.ndarray, totals: np.ndarr
     level, total = [None], [None]
     for k in range(1, max_words + 1):
         at = np.arange(len(words.hashes)) if k == 1 else _parts_ok(level[k - 1] < _NEVER, words.together(k))
-        hit, place = _found(words.keys(at, k)[0], keys)
+        hit, place = _found(words.names(at, k), keys)
         level.append(np.full(len(words.hashes), _NEVER, dtype=np.int8))
         total.append(np.zeros(len(words.hashes), dtype=np.int64))
         level[k][at[hit]] = passes[place[hit]]
@@ -215,21 +220,27 @@ def _frequent(counts: DataFrame, min_count: int, number: int) -> DataFrame:
 
 
 def _expansion(shared, number: int, max_words: int):
-    """The expansion pass of a number: what it counts in a chunk, given the frequent phrases known so far."""
+    """The expansion pass of a number: what it counts in a chunk, given the frequent phrases known so far.
+
+    Only places beside a phrase that the pass before found are looked at. The proposals hold every part of
+    a proposal, so a phrase was counted by the first pass if its two longest parts are among them.
+    """
     def expand(rows: pa.Table, have: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()),
                               ("proposed", pa.bool_())]).empty_table()
+        keys, passes, _ = _sorted(have)
+        latest = keys[passes == number - 1]
         chunk, words = rows["chunk"][0].as_py(), _words_of(rows["rows"][0].as_buffer())
-        level, _ = _known(words, *_sorted(have), max_words)
         out = []
-        for k, at, _, _ in _first_counted(words, shared.value, max_words):
-            if k == 1:
-                continue
-            new = words.together(k)
-            new[:-1] &= np.maximum(level[k - 1][:-1], level[k - 1][1:]) == number - 1
-            new[at] = False
-            found = Counted.of(words, np.flatnonzero(new), k)
+        for k in range(2, max_words + 1):
+            near, part = np.zeros(len(words.hashes) + 1, dtype=bool), np.flatnonzero(words.together(k - 1))
+            part = part[_found(words.names(part, k - 1), latest)[0]]
+            near[part] = near[part - 1] = True  # a first word has no place before it: the last one stands for that
+            at = np.flatnonzero(near[:-1] & words.together(k))
+            parts = [words.names(at + i, k - 1) for i in (0, 1)]
+            known, counted = (_found(parts[0], among)[0] & _found(parts[1], among)[0] for among in (keys, shared.value))
+            found = Counted.of(words, at[known & ~counted], k)
             out.append(_rows(chunk, found.keys, found.tags, found.n, np.zeros(len(found.keys), dtype=bool)))
         return pa.Table.from_batches(out)
 
