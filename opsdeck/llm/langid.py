@@ -9,7 +9,9 @@ regression weights multiply into one matrix of places x languages, and a block o
 scored by one matrix product.
 
 The training rows are a bounded sample: per language the ``TRAIN_PER_LANGUAGE`` rows with the
-smallest hash of their id. What reaches the driver are their presence bits, of fixed size.
+smallest hash of id, text and place in the table, so rows without an id, or that share one, or
+repeat, are drawn like any others. What reaches the driver are their presence bits, of fixed size.
+Every language has a landmark.
 
 Defined results: a null text or one without letters gets ``und`` with score 0, as does every
 text when there is nothing to learn from. Ties go to the language first in order. Repeated
@@ -103,9 +105,9 @@ def solve(present: np.ndarray, label: np.ndarray, n_labels: int, landmarks: int
     return marks.T @ (nystroem @ weight), target_mean - mean @ weight
 
 
-def training_rows(labelled: DataFrame, id_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """Of each language the rows with the smallest hash of their id. A language's share is cut
-    by the hash first, so the window sees about twice the rows it keeps."""
+def training_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """Of each language the rows with the smallest hash. A language's share is cut by the hash
+    first, so the window sees about twice the rows it keeps."""
     counts = labelled.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -114,7 +116,7 @@ def training_rows(labelled: DataFrame, id_col: str, lang_col: str, per_language:
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col(lang_col) == r[lang_col], F.lit(min(1.0, (2.0 * per_language + 50) / r["count"]))).otherwise(share)
-    rows = labelled.withColumn(hashed, F.xxhash64(F.col(id_col), F.lit("train")))
+    rows = labelled.withColumn(hashed, F.xxhash64(id_col, text_col, F.monotonically_increasing_id()))
     rows = rows.filter(F.pmod(F.col(hashed), F.lit(1 << 40)) < share * float(1 << 40))
     order = Window.partitionBy(lang_col).orderBy(hashed, id_col)
     return rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= per_language).drop(rank, hashed)
@@ -134,7 +136,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([p.tobytes() for p in packed], pa.binary())],
                                                  names=["id", "lang", "bits"])
 
-    sample = training_rows(labelled, id_col, lang_col, per_language)
+    sample = training_rows(labelled, id_col, text_col, lang_col, per_language)
     kind = dict(sample.dtypes)[id_col]
     rows = sample.mapInArrow(bits, f"id {kind}, lang string, bits binary").orderBy("lang", F.xxhash64("id"), "bits").collect()
     languages = sorted({r["lang"] for r in rows})
@@ -142,7 +144,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return [], np.zeros((DIMS, 0)), np.zeros(0)
     present = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in rows]), axis=1)[:, :DIMS].astype(bool)
     label = np.array([languages.index(r["lang"]) for r in rows])
-    return languages, *solve(present, label, len(languages), landmarks)
+    return languages, *solve(present, label, len(languages), max(landmarks, len(languages)))
 
 
 def predict(docs: DataFrame, model, *, text_col: str = "text", lang_col: str = "lang_pred",

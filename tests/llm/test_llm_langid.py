@@ -48,5 +48,55 @@ def test_edges(spark):
 def test_sample_is_bounded(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"),
                                     F.when(F.col("id") % 3 > 0, "hot").otherwise("b").alias("lang"))
-    rows = langid.training_rows(docs, "doc_id", "lang", 100).groupBy("lang").count().collect()
+    rows = langid.training_rows(docs, "doc_id", "text", "lang", 100).groupBy("lang").count().collect()
     assert {r.lang: r["count"] for r in rows} == {"hot": 100, "b": 100}
+
+
+def test_rows_without_id_that_share_one_or_repeat_are_learned_from(spark):
+    docs = spark.range(12_000).select(
+        F.when(F.col("id") % 4 == 0, F.col("id")).when(F.col("id") % 4 == 1, 5).alias("doc_id"),
+        F.element_at(F.array(F.lit("eins zwei drei"), F.lit("un deux trois"), F.lit("uno dos tres"), F.concat(F.lit("abc "), F.col("id"))),
+                     (F.col("id") % 4 + 1).cast("int")).alias("text"),
+        F.element_at(F.array(F.lit("de"), F.lit("fr"), F.lit("es"), F.lit("xx")), (F.col("id") % 4 + 1).cast("int")).alias("lang"))
+    rows = langid.training_rows(docs, "doc_id", "text", "lang", 100).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in rows} == {"de": 100, "fr": 100, "es": 100, "xx": 100}
+    wrong = langid.predict(docs, langid.fit(docs)).filter("lang <> lang_pred").count()
+    assert wrong == 0
+
+
+def test_more_languages_than_landmarks(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("x").alias("source"),
+                                  F.concat(F.lit("l"), F.col("id") % 12).alias("lang"),
+                                  F.repeat(F.concat(F.chr(F.col("id") % 12 + 97), F.lit(" ")), 5).alias("text"))
+    found = langid.predict(docs, langid.fit(docs, landmarks=3))
+    assert found.filter("lang <> lang_pred").count() == 0
+
+
+def grams(text, n):
+    """The n-grams of a text's letters, lower case, other characters as one border."""
+    plain = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in plain:
+        plain = plain.replace("  ", " ")
+    return {plain[i:i + n] for i in range(len(plain) - n + 1)}
+
+
+def brute_kernel(a, b):
+    return sum(len(grams(a, n) & grams(b, n)) / (len(grams(a, n)) * len(grams(b, n))) ** 0.5 for n in (1, 2, 3))
+
+
+def test_against_plain_sets_and_dense_kernel_ridge_regression():
+    rng = np.random.default_rng(5)
+    alphabets = ("abcde fg", "cdefg hé", "fghijk 日本")
+    texts = ["".join(rng.choice(list(alphabets[i % 3]), 40)) + "!" for i in range(45)]
+    train, test, label = texts[:30], texts[30:], np.arange(30) % 3
+    kernel = np.array([[brute_kernel(a, b) for b in train] for a in train])
+    ours = langid.scaled(langid.presence(train)).astype(float)
+    assert np.abs(ours @ ours.T - kernel).max() < 0.1  # of 3 at most; measured 0.066, since places are hashed
+    middle = np.eye(30) - 1 / 30
+    target = (label[:, None] == np.arange(3)).astype(float)
+    alpha = np.linalg.solve(middle @ kernel @ middle + 0.5 * 30 / 100 * np.eye(30), target - target.mean(axis=0))
+    between = np.array([[brute_kernel(a, b) for b in train] for a in test])
+    want = (between - kernel.mean(axis=0)) @ middle @ alpha + target.mean(axis=0)
+    weight, offset = langid.solve(langid.presence(train), label, 3, landmarks=30, ridge=0.5)
+    got = langid.scaled(langid.presence(test)) @ weight + offset
+    assert np.abs(got - want).max() < 0.05 and (got.argmax(axis=1) == want.argmax(axis=1)).all()
