@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsdeck.functions.tags import entries_to_map
@@ -36,6 +36,11 @@ def flatten_instances(doc: DataFrame) -> DataFrame:
     )
 
 
+def page_of(res_pos: Column, page_size: int) -> Column:
+    """The page of a reservation by its global position."""
+    return F.floor(res_pos / page_size).cast("bigint")
+
+
 def nest_instances(instances: DataFrame, page_size: int = 10) -> DataFrame:
     """Flat rows -> document pages ``page, Reservations``: the inverse of ``flatten_instances``.
 
@@ -43,6 +48,7 @@ def nest_instances(instances: DataFrame, page_size: int = 10) -> DataFrame:
     flattening the pages yields the same order as (res_pos, inst_pos). Group sizes are
     bounded by ``page_size`` reservations and the instances of one reservation. Tags are
     taken from a ``Tags`` entry array when present (it may repeat keys), else from ``tags``.
+    Rows that come partitioned by ``page_of`` are not shuffled again.
     """
     if "Tags" in instances.columns:
         tag_entries = F.col("Tags")
@@ -56,9 +62,10 @@ def nest_instances(instances: DataFrame, page_size: int = 10) -> DataFrame:
         F.struct(F.col("state").alias("Name")).alias("State"),
         tag_entries.alias("Tags"),
     )
-    per_res = instances.groupBy("res_pos").agg(
+    page = page_of(F.col("res_pos"), page_size).alias("page")
+    per_res = instances.groupBy(page, "res_pos").agg(
         F.array_sort(F.collect_list(F.struct(F.col("inst_pos").alias("p"), inst.alias("i")))).alias("_insts"))
     reservation = F.struct(F.transform("_insts", lambda x: x["i"]).alias("Instances"))
-    per_page = per_res.groupBy(F.floor(F.col("res_pos") / page_size).cast("bigint").alias("page")).agg(
+    per_page = per_res.groupBy("page").agg(
         F.array_sort(F.collect_list(F.struct(F.col("res_pos").alias("p"), reservation.alias("r")))).alias("_res"))
     return per_page.select("page", F.transform("_res", lambda x: x["r"]).alias("Reservations"))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdeck.functions.timefns import iso_z, iso_z_millis
+from opsdeck.operators.nested import flatten_instances, nest_instances, page_of
 from opsdeck.sources.inventory import read_brokers, read_inventory
-from opsdeck.sources.landing import land_once, land_text_once
+from opsdeck.sources.landing import land_by_once, land_text_once
 
 # Proxy log lines rebuilt from events: ~1/11 lack the process marker, ~1/13 use OPTIONS.
 ACCESS_LOG_SQL = """
@@ -77,6 +78,8 @@ ID_PREFIX = "REF"
 IGNORE_OWNER = "bot@example.test"
 EXCLUDED_BUILDS = ("baseimage",)
 
+ROWS_PER_TASK = 25_000  # instances of which a task builds the pages; about 12 MB of JSON
+
 
 def duckdb_sql(text: str) -> str:
     """The same text with placeholders bound to the oracle's pre-registered views."""
@@ -123,14 +126,21 @@ def access_log_folder(spark: SparkSession, sf_dir: str) -> str:
     return land_text_once(spark, f"access_log/{sf_dir}", lambda: access_log_lines(spark, sf_dir))
 
 
-def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_instances(spark: SparkSession, sf_dir: str, page_size: int | None = None) -> DataFrame:
     """Flat instances with their tag entry array ``Tags`` as the API lists it (absent tags
     left out).
 
     Every 19th instance carries an extra leading ``role`` entry that its real ``role`` tag
     overrides (a repeated key: the last one wins).
+
+    With a ``page_size`` the facts are shuffled by page before the tags are built, which are
+    several times as wide, to partitions of about ``ROWS_PER_TASK`` rows: nesting the pages then
+    needs no other shuffle, and a task's rows stay few however large the tables are.
     """
     facts = _facts(spark, sf_dir)
+    if page_size:
+        n = -(-load(spark, sf_dir, "orders").count() // ROWS_PER_TASK)
+        facts = facts.repartition(max(n, 1), page_of(F.col("res_pos"), page_size))
     entries = [("role", F.when(F.col("decoy_role"), F.lit("prod")))] + _tag_values(facts)
     tags = F.filter(F.array(*[F.struct(F.lit(k).alias("Key"), v.alias("Value")) for k, v in entries]),
                     lambda e: e["Value"].isNotNull())
@@ -139,15 +149,13 @@ def raw_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory_folder(spark: SparkSession, sf_dir: str, page_size: int = 10) -> str:
-    """The instance listing as landed JSON lines, one response with its page number per line,
+    """The instance listing as landed JSON lines (gzip), one response with its page number per line,
     written once per session. Absent tags have no entry, null fields no key."""
-    from opsdeck.operators.nested import nest_instances
-
     def build() -> DataFrame:
-        pages = nest_instances(raw_instances(spark, sf_dir), page_size=page_size)
+        pages = nest_instances(raw_instances(spark, sf_dir, page_size), page_size=page_size)
         return pages.select(F.to_json(F.struct("page", "Reservations")).alias("value"))
 
-    return land_text_once(spark, f"inventory_json/{page_size}/{sf_dir}", build)
+    return land_text_once(spark, f"inventory_json/{page_size}/{sf_dir}", build, compression="gzip")
 
 
 def inventory_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +172,8 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     report filter would carry the whole map builder and constraint inference over those
     copies grows combinatorially.
     """
-    from opsdeck.operators.nested import flatten_instances
-
-    return land_once(spark, f"instances/{sf_dir}", lambda: flatten_instances(inventory_docs(spark, sf_dir)),
-                     partition_by=("state",))
+    return land_by_once(spark, f"instances/{sf_dir}", lambda session: flatten_instances(inventory_docs(session, sf_dir)),
+                        partition_by=("state",))
 
 
 def brokers_folder(spark: SparkSession, sf_dir: str, page_size: int = 50) -> str:

@@ -24,6 +24,7 @@ BROKERS_SCHEMA = T.StructType([T.StructField("BrokerSummaries", T.ArrayType(BROK
 
 
 PAGE = "page"
+DOCUMENT_GROUP_BYTES = 4 << 20  # encoded; a document of 500 instances takes some 25 KB
 
 
 def _pages(spark: SparkSession, path: str, schema: T.StructType, json_lines: bool, check: bool) -> DataFrame:
@@ -41,7 +42,7 @@ def _pages(spark: SparkSession, path: str, schema: T.StructType, json_lines: boo
     name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
     docs = docs.withColumn(PAGE, F.coalesce(F.col(PAGE), F.when(name != "", name.cast("bigint"))))
     if check:
-        docs = land(docs, "json-documents")
+        docs = land(docs, "json-documents", row_group_bytes=DOCUMENT_GROUP_BYTES)
         bad = docs.groupBy(PAGE).count().filter(F.col(PAGE).isNull() | (F.col("count") > 1)).limit(5).collect()
         single = len(bad) == 1 and bad[0]["count"] == 1 and docs.filter(F.col(PAGE).isNotNull()).isEmpty()
         if bad and not single:

@@ -131,3 +131,18 @@ def test_digest_scans_inventory_once(spark):
     final = formatted(df).split("\n\n\n")[0].split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
     assert final.count("Scan parquet") == 1
+
+
+def test_inventory_pages_take_one_narrow_shuffle(spark, no_broadcast, monkeypatch):
+    from opsdeck.operators.nested import nest_instances
+    from opsdeck.sources import fixtures as fx
+    monkeypatch.setattr(fx, "ROWS_PER_TASK", 500)
+    sf = "/root/testdata/sf0.001"
+    pages = nest_instances(fx.raw_instances(spark, sf, 10), page_size=10)
+    plan = physical(pages)
+    assert plan.count("Exchange hashpartitioning") == 3   # both sides of the join with customers, and the pages'
+    pages_shuffle = plan[plan.index("REPARTITION_BY_NUM"):]
+    assert "launched_by_email" in pages_shuffle and "AS Tags" not in pages_shuffle    # tags are built after it
+    flat = nest_instances(fx.raw_instances(spark, sf), page_size=10)
+    key = ["page", "Reservations"]
+    assert sorted(map(str, pages.select(key).collect())) == sorted(map(str, flat.select(key).collect()))
