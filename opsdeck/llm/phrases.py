@@ -5,8 +5,9 @@
    proposed. The *negative border* are the phrases that were not proposed though their two longest
    parts (without the last, without the first word) were; every word belongs to it or to the proposals.
 3. A full pass counts proposals and border exactly: a chunk sends its distinct phrases of both kinds
-   with their numbers, Spark adds them up by phrase, and what is frequent goes back to the chunks
-   that hold it.
+   with their numbers, sorted by key and packed into a row per *bucket* (a range of keys, as many as
+   there are 4 MB of text). A bucket adds them up, and what is frequent goes back, packed again, to
+   the chunks that hold it: a phrase with a number is 13 bytes of a row, not a row.
 4. If a border phrase (or a word the sample didn't know) turns out frequent, longer phrases may be
    too: an expansion pass counts the phrases whose two longest parts are now known to be frequent
    and that no pass has counted. This goes on until a pass finds nothing new. Every part of a
@@ -28,11 +29,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsdeck.llm.common import text_bytes
 from opsdeck.llm.components import spread_join, written
+from opsdeck.llm.exchange import pack_bits, ranges, unpack_bits
 from opsdeck.llm.words import mix, split_words, window_hashes
 from opsdeck.operators.positions import with_positions
 
@@ -44,7 +46,9 @@ FIRST = 2000
 CHUNK_BYTES = 8 << 20
 SAMPLE_BYTES = 16 << 20  # of text; so at most 8 M words and 16 M proposals of 8 bytes (each is seen twice)
 UNKNOWN = "und"
-COUNTS = "key long, tag int, chunk long, n long, proposed boolean"
+BUCKET_BYTES = 4 << 20  # of text whose phrases a bucket adds up
+COUNTS = "bucket int, chunk long, keys binary, tags binary, n binary, proposed binary"
+KNOWN = "chunk long, pass byte, missed long, keys binary, totals binary, own binary, proposed binary"
 _NEVER = np.int8(99)
 
 _PLAIN = np.arange(256, dtype=np.uint8)  # A-Z in lower case, ends of pieces as line feeds
@@ -113,7 +117,9 @@ def _found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Whether each key is among sorted ones, and its place there."""
     if not len(among):
         return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
-    place = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    order, place = np.argsort(keys), np.empty(len(keys), dtype=np.int64)
+    place[order] = np.searchsorted(among, keys[order])  # several times as fast as keys in any order
+    place = np.minimum(place, len(among) - 1)
     return among[place] == keys, place
 
 
@@ -149,10 +155,38 @@ def _known(words: Pieces, keys: np.ndarray, passes: np.ndarray, totals: np.ndarr
     return level, total
 
 
-def _rows(chunk: int, keys, tags, n, proposed) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64)), pa.array(tags), pa.array(np.full(len(keys), chunk, dtype=np.int64)),
-         pa.array(n.astype(np.int64)), pa.array(proposed)], names=["key", "tag", "chunk", "n", "proposed"])
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers of 0 and more in as few bytes as the largest needs (1, 2, 4 or 8 each)."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"u{len(blob) // n}" if n else "u8").astype(np.int64)
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=np.uint64)
+
+
+def _blobs(rows: pa.Table, name: str) -> list[pa.Buffer]:
+    """The values of a binary column, not copied."""
+    return [x.as_buffer() for part in rows[name].chunks for x in part]
+
+
+def _sent(chunk: int, counted: list[tuple[np.ndarray, ...]], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's phrases of several lengths (keys, tags, numbers, whether proposed), a row per bucket, sorted by key."""
+    keys, tags, n, proposed = (np.concatenate(x) for x in zip(*counted, strict=True))
+    counted.clear()
+    order = np.argsort(keys)
+    keys, tags, n, proposed = (x[order] for x in (keys, tags, n, proposed))
+    at = ranges(keys, n_buckets)
+    some = np.flatnonzero(at[1:] > at[:-1])
+    if len(some):
+        parts = [slice(at[b], at[b + 1]) for b in some]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk, dtype=np.int64)), pa.array([keys[p].tobytes() for p in parts], pa.binary()),
+             pa.array([tags[p].tobytes() for p in parts], pa.binary()), pa.array([_pack(n[p]) for p in parts], pa.binary()),
+             pa.array([pack_bits(proposed[p]) for p in parts], pa.binary())], names=["bucket", "chunk", "keys", "tags", "n", "proposed"])
 
 
 def _chunks(docs: DataFrame, lang_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
@@ -212,25 +246,95 @@ def _proposals(docs: DataFrame, total: int, lang_col: str, text_col: str, min_co
     return np.sort(frequent.toArrow()["key"].to_numpy().view(np.uint64))
 
 
+_KNOWN = pa.schema([("chunk", pa.int64()), ("pass", pa.int8()), ("missed", pa.int64()), ("keys", pa.binary()), ("totals", pa.binary()),
+                    ("own", pa.binary()), ("proposed", pa.binary())])
+
+
 def _frequent(counts: DataFrame, min_count: int, number: int) -> DataFrame:
-    """(chunk, key, total, own, proposed, pass) of the frequent phrases, a row per chunk that holds one; one of them owns it."""
-    same = Window.partitionBy("key", "tag")  # a row per chunk at most
-    rows = counts.withColumn("total", F.sum("n").over(same)).withColumn("own", F.min("chunk").over(same) == F.col("chunk"))
-    return rows.filter(F.col("total") >= min_count).select("chunk", "key", "total", "own", "proposed", F.lit(number).cast("byte").alias("pass"))
+    """The frequent phrases of a pass, a row per chunk and bucket: keys, totals, whether the chunk is the first that
+    holds the phrase (it owns it), whether it was proposed; ``missed`` are those that were not."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk")
+        keys = [_keys(b) for b in _blobs(rows, "keys")]
+        sizes = [len(k) for k in keys]
+        n = np.concatenate([_unpack(b, size) for b, size in zip(_blobs(rows, "n"), sizes, strict=True)])
+        proposed = np.concatenate([unpack_bits(b, size) for b, size in zip(_blobs(rows, "proposed"), sizes, strict=True)])
+        keys = np.concatenate(keys)
+        tags = np.concatenate([np.frombuffer(b, dtype=np.int32) for b in _blobs(rows, "tags")])
+        order = np.lexsort((tags, keys))  # stable: a phrase's first place is the first chunk's
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.diff(keys[order]) != 0
+        new[1:] |= np.diff(tags[order]) != 0
+        totals, own = np.empty_like(n), np.zeros(len(n), dtype=bool)
+        totals[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        own[order[new]] = True
+        out, cuts = [], np.cumsum([0, *sizes])
+        for chunk, begin, end in zip(rows["chunk"].to_pylist(), cuts, cuts[1:], strict=False):
+            p = begin + np.flatnonzero(totals[begin:end] >= min_count)
+            if len(p):
+                out.append({"chunk": chunk, "pass": number, "missed": int((~proposed[p]).sum()), "keys": keys[p].tobytes(),
+                            "totals": _pack(totals[p]), "own": pack_bits(own[p]), "proposed": pack_bits(proposed[p])})
+        return pa.Table.from_pylist(out, schema=_KNOWN)
+
+    return counts.groupBy("bucket").applyInArrow(run, KNOWN)
+
+
+@dataclass
+class Have:
+    """The frequent phrases that a chunk holds, sorted by key."""
+
+    keys: np.ndarray
+    passes: np.ndarray
+    totals: np.ndarray
+    own: np.ndarray
+    proposed: np.ndarray
+
+    @classmethod
+    def of(cls, known: pa.Table) -> Have:
+        none = np.zeros(0, dtype=np.int64)
+        keys = [_keys(b) for b in _blobs(known, "keys")]
+        sizes = [len(k) for k in keys]
+        totals, own, proposed = ([f(b, n) for b, n in zip(_blobs(known, c), sizes, strict=True)] for c, f in (
+            ("totals", _unpack), ("own", unpack_bits), ("proposed", unpack_bits)))
+        keys = np.concatenate([none.view(np.uint64), *keys])
+        passes = np.repeat(known["pass"].to_numpy(), sizes) if sizes else none.astype(np.int8)
+        order = np.argsort(keys)
+        flags = (np.concatenate([none.astype(bool), *x])[order] for x in (own, proposed))
+        return cls(keys[order], passes[order], np.concatenate([none, *totals])[order], *flags)
+
+
+def _unpacked(known: DataFrame) -> DataFrame:
+    """(chunk, key, total, own, proposed, pass): a row per phrase and chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = _keys(r["keys"])
+                m = len(keys)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, r["chunk"], dtype=np.int64)), pa.array(keys.view(np.int64)), pa.array(_unpack(r["totals"], m)),
+                     pa.array(unpack_bits(r["own"], m)), pa.array(unpack_bits(r["proposed"], m)), pa.array(np.full(m, r["pass"], dtype=np.int8))],
+                    names=["chunk", "key", "total", "own", "proposed", "pass"])
+
+    return known.mapInArrow(run, "chunk long, key long, total long, own boolean, proposed boolean, pass byte")
 
 
-def _expansion(shared, number: int, max_words: int):
+_COUNTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("keys", "tags", "n", "proposed"))])
+
+
+def _expansion(number: int, max_words: int, n_buckets: int):
     """The expansion pass of a number: what it counts in a chunk, given the frequent phrases known so far.
 
-    Only places beside a phrase that the pass before found are looked at. The proposals hold every part of
-    a proposal, so a phrase was counted by the first pass if its two longest parts are among them.
+    Only places beside a phrase that the pass before found without a proposal are looked at: what has none
+    among its two longest parts was counted before. (The proposals hold every part of a proposal, so the first
+    pass counted what has two proposed parts; an expansion counted what had two known ones.)
     """
-    def expand(rows: pa.Table, have: pa.Table) -> pa.Table:
+    def expand(rows: pa.Table, known: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()),
-                              ("proposed", pa.bool_())]).empty_table()
-        keys, passes, _ = _sorted(have)
-        latest = keys[passes == number - 1]
+            return _COUNTS.empty_table()
+        have = Have.of(known)
+        latest = have.keys[(have.passes == number - 1) & ~have.proposed]
+        if not len(latest):
+            return _COUNTS.empty_table()
         chunk, words = rows["chunk"][0].as_py(), _words_of(rows["rows"][0].as_buffer())
         out = []
         for k in range(2, max_words + 1):
@@ -238,11 +342,11 @@ def _expansion(shared, number: int, max_words: int):
             part = part[_found(words.names(part, k - 1), latest)[0]]
             near[part] = near[part - 1] = True  # a first word has no place before it: the last one stands for that
             at = np.flatnonzero(near[:-1] & words.together(k))
-            parts = [words.names(at + i, k - 1) for i in (0, 1)]
-            known, counted = (_found(parts[0], among)[0] & _found(parts[1], among)[0] for among in (keys, shared.value))
-            found = Counted.of(words, at[known & ~counted], k)
-            out.append(_rows(chunk, found.keys, found.tags, found.n, np.zeros(len(found.keys), dtype=bool)))
-        return pa.Table.from_batches(out)
+            for i in (0, 1):
+                at = at[_found(words.names(at + i, k - 1), have.keys)[0]]
+            found = Counted.of(words, at, k)
+            out.append((found.keys, found.tags, found.n, np.zeros(len(found.keys), dtype=bool)))
+        return pa.Table.from_batches(_sent(chunk, out, n_buckets), schema=_COUNTS)
 
     return expand
 
@@ -255,35 +359,39 @@ def mine(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", min
     Tables of both go to the shared checkpoint folder. The driver sees the proposals (a bounded sample's) and two
     numbers a pass.
     """
+    chunks, known, number = _mined(docs, lang_col, text_col, min_count, max_words, chunk_bytes, sample_bytes)
+    return chunks, _unpacked(known), number
+
+
+def _mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
+           chunk_bytes: int = CHUNK_BYTES, sample_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, DataFrame, int]:
+    """``mine`` with the phrases still packed."""
     if min_count < 2 or max_words < 2:
         raise ValueError("min_count and max_words must be 2 or more")
     chunks = written(_chunks(docs, lang_col, text_col, chunk_bytes), "phrase-chunks")
-    sample = _proposals(docs, text_bytes(docs, text_col), lang_col, text_col, min_count, max_words, sample_bytes)
+    size = text_bytes(docs, text_col)
+    sample = _proposals(docs, size, lang_col, text_col, min_count, max_words, sample_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(sample)
+    n_buckets = max(1, -(-size // BUCKET_BYTES))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for _, _, found, hit in _first_counted(_words_of(blob.as_buffer()), shared.value, max_words):
-                    yield _rows(chunk, found.keys, found.tags, found.n, hit)
+                counted = [(found.keys, found.tags, found.n, hit) for _, _, found, hit in
+                           _first_counted(_words_of(blob.as_buffer()), shared.value, max_words)]
+                yield from _sent(chunk, counted, n_buckets)
 
     known = written(_frequent(chunks.mapInArrow(first_pass, COUNTS), min_count, 0), "phrases")
-    failures, number = known.filter("not proposed").limit(1).count(), 0
+    failures, number = known.filter("missed > 0").limit(1).count(), 0
     while failures:
         number += 1
-        counts = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_expansion(shared, number, max_words), COUNTS)
+        counts = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_expansion(number, max_words, n_buckets), COUNTS)
         more = written(_frequent(counts, min_count, number), "phrases")
         failures = more.limit(1).count()
         known = known.union(more)
     return chunks, known, number
 
 
-def _sorted(have: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = have["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], have["pass"].to_numpy()[order], have["total"].to_numpy()[order]
-
-
 PHRASE = "lang string, phrase string, key long, a long, l long, r long, score long, absorbs array<long>, n long"
 
 
@@ -294,11 +402,10 @@ def _score(a: np.ndarray, both: np.ndarray, scale: int) -> np.ndarray:
     return scale * a // both
 
 
-def _scored(words: Pieces, have: pa.Table, max_words: int, absorb_percent: int, scale: int) -> list[dict]:
+def _scored(words: Pieces, have: Have, max_words: int, absorb_percent: int, scale: int) -> list[dict]:
     """The phrases that a chunk owns: number, the cut with the lowest score, the shorter phrases they absorb; and the
     number of words of each language (a row without a phrase)."""
-    keys, passes, totals = _sorted(have)
-    own = have["own"].to_numpy(zero_copy_only=False)[np.argsort(have["key"].to_numpy().view(np.uint64))]
+    keys, passes, totals, own = have.keys, have.passes, have.totals, have.own
     level, total = _known(words, keys, passes, totals, max_words)
     out = [{"lang": words.langs[i], "n": int(n)} for i, n in enumerate(np.bincount(words.lang, minlength=len(words.langs))) if n]
     for k in range(2, max_words + 1):
@@ -330,14 +437,14 @@ def collocations(docs: DataFrame, *, first: int = FIRST, absorb_percent: int = A
 
     a, l, r: numbers of the phrase and of the two parts of its lowest-scoring cut; n: of all words of the language.
     """
-    chunks, known, _ = mine(docs, max_words=max_words, **options)
+    chunks, known, _ = _mined(docs, max_words=max_words, **options)
     fields = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("key", pa.int64()), ("a", pa.int64()), ("l", pa.int64()),
                         ("r", pa.int64()), ("score", pa.int64()), ("absorbs", pa.list_(pa.int64())), ("n", pa.int64())])
 
-    def score(rows: pa.Table, have: pa.Table) -> pa.Table:
+    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return fields.empty_table()
-        return pa.Table.from_pylist(_scored(_words_of(rows["rows"][0].as_buffer()), have, max_words, absorb_percent, scale), schema=fields)
+        return pa.Table.from_pylist(_scored(_words_of(rows["rows"][0].as_buffer()), Have.of(known), max_words, absorb_percent, scale), schema=fields)
 
     scored = written(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, PHRASE), "collocations")
     sizes = scored.filter("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import make_docs, noisy_texts, with_clashes
 from pyspark.sql import functions as F
@@ -95,3 +96,25 @@ def test_a_very_long_text_and_one_hot_language(spark):
 def test_scores_beyond_64_bits():
     a, both = np.array([2 ** 44, 5]), np.array([2 ** 45 + 3, 20])
     assert phrases._score(a, both, 2_000_000).tolist() == [2_000_000 * 2 ** 44 // (2 ** 45 + 3), 500_000]
+
+
+def test_phrases_travel_packed_and_expansion_looks_beside_new_ones_only(spark):
+    docs = spark.createDataFrame(corpus(6), "lang string, text string").coalesce(2)
+    chunks, known, number = phrases._mined(docs, min_count=3, chunk_bytes=2000, sample_bytes=1)
+    rows = phrases._unpacked(known)
+    assert number >= 1 and known.count() <= chunks.count() * (number + 1) < rows.count()      # one bucket: a row per chunk and pass
+    assert sum(r.missed for r in known.collect()) == rows.filter("not proposed").count()
+    # what has only proposed parts was counted by the first pass: a pass beside none but such counts nothing
+    expand = phrases._expansion(1, 4, 1)
+    text = chunks.toArrow().slice(0, 1)
+    have = known.filter(f"pass = 0 and chunk = {text['chunk'][0].as_py()}").toArrow()
+    ones = have.set_column(have.schema.get_field_index("proposed"), "proposed", pa.array([b"\xff" * len(x.as_py()) for x in have["proposed"]], pa.binary()))
+    assert expand(text, have).num_rows and not expand(text, ones).num_rows
+
+
+def test_numbers_are_packed_in_as_few_bytes_as_they_need():
+    for most, size in ((255, 1), (256, 2), (2 ** 16, 4), (2 ** 40, 8)):
+        n = np.array([1, most, 7])
+        blob = phrases._pack(n)
+        assert len(blob) == 3 * size and phrases._unpack(blob, 3).tolist() == n.tolist()
+    assert phrases._unpack(phrases._pack(np.zeros(0, dtype=np.int64)), 0).tolist() == []
