@@ -67,12 +67,14 @@ class Pieces:
         self.buf = _PLAIN[np.frombuffer(b"\n".join(raw), dtype=np.uint8)]
         self.starts, self.ends, hashes = split_words(self.buf)
         ends_piece = np.flatnonzero(self.buf == 10)
-        self.piece = np.searchsorted(ends_piece, self.starts)  # a text ends with a line feed, so pieces lie in one text
+        small = np.int32 if len(self.buf) < 2 ** 31 else np.int64
+        self.piece = np.searchsorted(ends_piece, self.starts).astype(small)  # a text ends with a line feed, so pieces lie in one text
         begin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
         names = [UNKNOWN if x is None else x for x in langs]
         self.langs = sorted(set(names))
         number = {x: i for i, x in enumerate(self.langs)}
         self.lang = np.repeat(np.array([number[x] for x in names], dtype=np.int32), np.diff(np.searchsorted(self.starts, begin)))
+        self.starts, self.ends = self.starts.astype(small), self.ends.astype(small)
         salt = np.array([xxh3_64_intdigest(x.encode()) for x in self.langs], dtype=np.uint64)
         self.hashes = mix(hashes ^ salt[self.lang]) if len(hashes) else hashes
 
@@ -89,28 +91,35 @@ class Pieces:
             return np.zeros(0, dtype=np.uint64)
         return mix(window_hashes(self.hashes, at, k) ^ np.uint64(0x2545F4914F6CDD1D * k & 0xFFFFFFFFFFFFFFFF))
 
-    def keys(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Key and tag of the phrases of k words at some words."""
+    def tags(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Tag of the phrases of k words at some words: 31 more bits that tell them apart."""
         if not len(at):
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
-        return self.names(at, k), (window_hashes(self.hashes, at, k, 1) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            return np.zeros(0, dtype=np.int32)
+        return (window_hashes(self.hashes, at, k, 1) & np.uint64(0x7FFFFFFF)).astype(np.int32)
 
 
 @dataclass
 class Counted:
-    """Distinct phrases of some places: their keys (sorted), tags, numbers, first places, and each place's phrase."""
+    """Distinct phrases of some places: their keys (sorted), tags, numbers and first places; and the places, in the
+    order of their phrases."""
 
     keys: np.ndarray
     tags: np.ndarray
     n: np.ndarray
     first: np.ndarray
-    which: np.ndarray
+    places: np.ndarray
 
     @classmethod
     def of(cls, words: Pieces, at: np.ndarray, k: int) -> Counted:
-        keys, tags = words.keys(at, k)
-        distinct, first, which, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        return cls(distinct, tags[first], n, at[first], which)
+        keys = words.names(at, k)
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], at[order]
+        del order
+        new = np.ones(len(keys), dtype=bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        begin = np.flatnonzero(new)
+        first = places[begin]
+        return cls(keys[begin], words.tags(first, k), np.diff(begin, append=len(keys)), first, places)
 
 
 def _found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +128,8 @@ def _found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
     order, place = np.argsort(keys), np.empty(len(keys), dtype=np.int64)
     place[order] = np.searchsorted(among, keys[order])  # several times as fast as keys in any order
-    place = np.minimum(place, len(among) - 1)
+    del order
+    np.minimum(place, len(among) - 1, out=place)
     return among[place] == keys, place
 
 
@@ -139,19 +149,20 @@ def _first_counted(words: Pieces, proposed: np.ndarray, max_words: int) -> Itera
         hit = _found(found.keys, proposed)[0]
         yield k, at, found, hit
         ok = np.zeros(len(words.hashes), dtype=bool)
-        ok[at] = hit[found.which]
+        ok[found.places] = np.repeat(hit, found.n)
 
 
 def _known(words: Pieces, keys: np.ndarray, passes: np.ndarray, totals: np.ndarray, max_words: int):
     """Per length: the pass in which the phrase at each place became known as frequent, and its number."""
-    level, total = [None], [None]
+    level, total, kind = [None], [None], np.min_scalar_type(int(totals.max(initial=0)))
     for k in range(1, max_words + 1):
         at = np.arange(len(words.hashes)) if k == 1 else _parts_ok(level[k - 1] < _NEVER, words.together(k))
         hit, place = _found(words.names(at, k), keys)
         level.append(np.full(len(words.hashes), _NEVER, dtype=np.int8))
-        total.append(np.zeros(len(words.hashes), dtype=np.int64))
-        level[k][at[hit]] = passes[place[hit]]
-        total[k][at[hit]] = totals[place[hit]]
+        total.append(np.zeros(len(words.hashes), dtype=kind))
+        at, place = at[hit], place[hit]
+        level[k][at] = passes[place]
+        total[k][at] = totals[place]
     return level, total
 
 
@@ -407,6 +418,10 @@ def _scored(words: Pieces, have: Have, max_words: int, absorb_percent: int, scal
     number of words of each language (a row without a phrase)."""
     keys, passes, totals, own = have.keys, have.passes, have.totals, have.own
     level, total = _known(words, keys, passes, totals, max_words)
+
+    def number(k: int, at: np.ndarray) -> np.ndarray:
+        return total[k][at].astype(np.int64)
+
     out = [{"lang": words.langs[i], "n": int(n)} for i, n in enumerate(np.bincount(words.lang, minlength=len(words.langs))) if n]
     for k in range(2, max_words + 1):
         found = Counted.of(words, np.flatnonzero(level[k] < _NEVER), k)
@@ -414,13 +429,13 @@ def _scored(words: Pieces, have: Have, max_words: int, absorb_percent: int, scal
         at, key = found.first[mine], found.keys[mine]
         if not len(at):
             continue
-        a = total[k][at]
-        parts = [(total[c][at], total[k - c][at + c]) for c in range(1, k)]
+        a = number(k, at)
+        parts = [(number(c, at), number(k - c, at + c)) for c in range(1, k)]
         scores = np.array([_score(a, left + right, scale) for left, right in parts])
         cut = np.argmin(scores, axis=0)  # the first of the lowest
         some = np.arange(len(at))
         lefts, rights = (np.array([p[i] for p in parts])[cut, some] for i in (0, 1))
-        inner = [(words.keys(at + o, m)[0].view(np.int64), total[m][at + o]) for m in range(2, k) for o in range(k - m + 1)]
+        inner = [(words.names(at + o, m).view(np.int64), number(m, at + o)) for m in range(2, k) for o in range(k - m + 1)]
         for i in range(len(at)):
             p, times = int(at[i]), int(a[i])
             text = b" ".join(words.buf[words.starts[j]:words.ends[j]].tobytes() for j in range(p, p + k))

@@ -14,7 +14,8 @@ import numpy as np
 _P = np.uint64(0x9E3779B97F4A7C15)          # odd, = 1 mod 4 is avoided on purpose below
 _WORD_P = np.uint64(0xD1B54A32D192ED03)     # multiplier of bytes in a word (3 mod 4)
 WINDOW_P = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))  # of words in a window
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
+_SHORT = 8  # windows of up to so many words are added up word by word, without tables of powers
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -47,12 +48,14 @@ def powers(p: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all output bits (a bijection)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    part = out >> np.uint64(27)
+    out ^= part
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= np.right_shift(out, np.uint64(31), out=part)
+    return out
 
 
 def _block_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,6 +130,13 @@ class Texts:
 
 
 def window_hashes(hashes: np.ndarray, at: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    if n <= _SHORT:  # the same sum of hash * p**i
+        out = hashes[at]
+        for i in range(1, n):
+            part = hashes[i:][at]
+            part *= np.uint64(pow(int(WINDOW_P[which]), i, 1 << 64))
+            out += part
+        return mix(out)
     up, down = powers(WINDOW_P[which], len(hashes))
     total = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=total[1:])

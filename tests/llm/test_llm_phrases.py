@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -118,3 +119,31 @@ def test_numbers_are_packed_in_as_few_bytes_as_they_need():
         blob = phrases._pack(n)
         assert len(blob) == 3 * size and phrases._unpack(blob, 3).tolist() == n.tolist()
     assert phrases._unpack(phrases._pack(np.zeros(0, dtype=np.int64)), 0).tolist() == []
+
+
+def test_memory_of_a_chunk_is_bounded_by_its_words():
+    rng = random.Random(9)
+    text = " ".join(f"w{int(rng.paretovariate(0.5)) % 50_000}" for _ in range(200_000)).encode()
+
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    words, _ = peak(lambda: phrases.Pieces([text], ["en"]))
+    n = len(words.hashes)
+    assert n == 200_000
+    at = np.arange(n - 3)
+    found, most = peak(lambda: phrases.Counted.of(words, at, 4))
+    assert most < 80 * n                                                  # no tables of powers, no number for each place
+    assert (np.sort(found.places) == at).all() and (np.repeat(found.keys, found.n) == words.names(found.places, 4)).all()
+    assert (words.names(found.first, 4) == found.keys).all() and (found.first == found.places[np.cumsum(found.n) - found.n]).all()
+    every = [phrases.Counted.of(words, np.flatnonzero(words.together(k)), k) for k in (1, 2, 3, 4)]
+    order = np.argsort(keys := np.concatenate([c.keys for c in every]))
+    totals = np.concatenate([c.n for c in every])[order]
+    (level, total), most = peak(lambda: phrases._known(words, keys[order], np.zeros(len(keys), np.int8), totals, 4))
+    assert most < 90 * n
+    for k, c in enumerate(every, 1):
+        assert (level[k][c.places] == 0).all() and (total[k][c.places] == np.repeat(c.n, c.n)).all()
