@@ -16,10 +16,13 @@ recursively from the longest history down.
 
 Every order is two rounds of packed keys (``opsdeck.llm.exchange``): all chunks send their
 distinct n-grams with training counts and get the corpus counts back; then the one chunk that a
-bucket names as the owner of an n-gram adds its two terms to its history's sums, and every chunk
-gets the weights of its histories. An n-gram is sent only if both n-grams one shorter are in the
-model (else it can't be). Counts and weights are stored, packed by key range, in a table
-partitioned by kind and order next to the scores.
+bucket names as the owner of an n-gram adds its two terms to its history's sums, and a chunk gets
+the weights of those histories that it backs off from (training texts never do). An n-gram is
+sent only if both n-grams one shorter are in the model (else it can't be). Counts and weights are
+stored, packed by key range, in a table partitioned by kind and order next to the scores.
+
+Every round is a job of its own, which frees its shuffles when it ends; the answers wait in a
+table of the shared checkpoint folder, emptied at the end. So disk holds one round at a time.
 
 Defined results: a null or empty text is one end token; rows with a null id belong to the
 training part; without training rows all tokens are unknown with base and model probability 1
@@ -32,12 +35,14 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdeck.llm import exchange
@@ -50,16 +55,44 @@ CUT = 1  # smallest count of an n-gram of the model
 CHUNK_BYTES = 8 << 20
 TOP = 5  # largest count that is discounted
 START, END = np.uint64(0x6C62272E07BB0142), np.uint64(0x62B821756295C58D)
-MODEL = "kind string, order int, bucket int, n_buckets int, keys binary, values binary"
+MODEL = "bucket int, n_buckets int, keys binary, values binary"
+ROUND = f"kind string, {MODEL}, chunk int, payload binary"  # what a round writes: answers, a part of the model, totals
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
 
 
 def key_bytes(k: int) -> int:
-    """Bytes of a key that travel; its range is known to the bucket besides."""
+    """Bytes of a key that tell it apart within its bucket, at least."""
     return 7 if k == 1 else 6
 
 
+def short(k: int, keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Keys without the low bits that aren't needed beside the bucket's range; in the same order."""
+    return keys >> np.uint64(max(0, 64 - 8 * key_bytes(k) - n_buckets.bit_length()))
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps, byte by byte; only the high bytes can be compressed."""
+    steps = np.diff(keys)
+    size = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    planes = [np.ascontiguousarray(x).tobytes() for x in steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T]
+    return _frame([keys[:1].tobytes(), *planes[:-2], *(zlib.compress(x, 1) for x in planes[-2:])])
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    first, *planes = _unframe(blob)
+    first = np.frombuffer(first, dtype=np.uint64)
+    if not planes:
+        return first
+    planes = [*planes[:-2], *map(zlib.decompress, planes[-2:])]
+    steps = np.zeros((len(planes[0]) + 1, 8), dtype=np.uint8)
+    for i, x in enumerate(planes):
+        steps[1:, i] = np.frombuffer(x, dtype=np.uint8)
+    steps = steps.view("<u8").ravel()
+    steps[0] = first[0]
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def discounts(n: dict[int, float], top: int = TOP) -> np.ndarray:
     """d[c] for counts up to ``top`` (d[0] is 0) from the numbers of n-grams seen 1..top+1 times.
 
@@ -122,6 +155,7 @@ class Chunk:
     keys: dict[int, np.ndarray] = field(default_factory=dict)
     at: dict[int, np.ndarray] = field(default_factory=dict)
     counts: dict[int, np.ndarray] = field(default_factory=dict)
+    needed: dict[int, np.ndarray] = field(default_factory=dict)
     alphas: dict[int, np.ndarray] = field(default_factory=dict)
     parts: dict[int, Discounted] = field(default_factory=dict)
     totals: dict[int, dict] = field(default_factory=dict)
@@ -161,9 +195,25 @@ class Chunk:
         """Corpus count of the k-gram at each place, 0 where it is none of the model."""
         return np.append(self.counts[k], 0)[self.index[k]]
 
-    def histories(self, k: int) -> np.ndarray:
-        """The distinct k-grams that can have a weight."""
-        return np.flatnonzero(self.counts[k] >= CUT)
+    def backed_off(self, k: int) -> np.ndarray:
+        """Which of the distinct (k-1)-grams are in the model and followed, somewhere in the chunk, by what never followed
+        them in training: whose weights it needs."""
+        at = np.flatnonzero((self.left >= k) & (self.known(k - 1) >= CUT) & (self.known(k) < CUT))
+        out = np.zeros(len(self.keys[k - 1]), dtype=bool)
+        out[self.index[k - 1][at]] = True
+        return out
+
+    def last_words(self, k: int) -> np.ndarray:
+        """A place of each k-gram that the chunk owns."""
+        place = np.zeros(len(self.own), dtype=np.int64)
+        place[self.index[k][self.at[k]]] = self.at[k]
+        return place[self.own & (self.counts[k] >= CUT)]
+
+    def sent_histories(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which (k-1)-grams the chunk owns n-grams of, or needs the weights of; and the latter."""
+        needed, out = self.backed_off(k), np.zeros(len(self.keys[k - 1]), dtype=bool)
+        out[self.index[k - 1][self.last_words(k)]] = True
+        return out | needed, needed
 
     def probabilities(self, order: int) -> np.ndarray:
         """P of the token at each place by histories of up to order - 1 tokens (starts: 1)."""
@@ -171,8 +221,8 @@ class Chunk:
         p = np.where(c > 0, self.parts[1].times(c) * self.parts[1].scale, self.parts[1].unseen)
         for k in range(2, order + 1):
             history, c, gram = self.index[k - 1], self.known(k - 1), self.known(k)
-            weight = np.ones(len(self.keys[k - 1]) + 1)
-            weight[self.histories(k - 1)] = self.alphas[k]
+            weight = np.ones(len(self.keys[k - 1]) + 1)  # of training texts, too: they never back off
+            weight[:-1][self.needed[k]] = self.alphas[k]
             back = weight[history]
             # from the n-gram's begin to its last token
             to = np.arange(k - 1, len(p))
@@ -197,19 +247,6 @@ def _numbers(blob: bytes) -> np.ndarray:
     return counts
 
 
-def _pack_weights(alpha: np.ndarray) -> bytes:
-    """Weights, many of them 1."""
-    other = alpha != 1.0
-    return _frame([zlib.compress(exchange.pack_bits(other), 1), alpha[other].tobytes()]) + len(alpha).to_bytes(8, "little")
-
-
-def _unpack_weights(blob: bytes) -> np.ndarray:
-    bits, values = _unframe(blob[:-8])
-    alpha = np.ones(int.from_bytes(blob[-8:], "little"))
-    alpha[exchange.unpack_bits(zlib.decompress(bits), len(alpha))] = np.frombuffer(values, dtype=np.float64)
-    return alpha
-
-
 def _frame(blobs: list[bytes]) -> bytes:
     return np.array([len(blobs), *map(len, blobs)], dtype=np.int64).tobytes() + b"".join(blobs)
 
@@ -221,97 +258,83 @@ def _unframe(blob: bytes) -> list[bytes]:
     return [blob[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def _merged(k: int, keys: list[bytes], extras: list[bytes]):
-    """Distinct keys of a bucket, their counts over all chunks, and which key each row's are."""
-    parts = [exchange.unpack(x, key_bytes(k)) for x in keys]
+def _merged(keys: list[bytes], extras: list[bytes]):
+    """Distinct keys of a bucket, their counts over all chunks, which key each row's are, and where the rows end."""
+    parts = [unpack_keys(x) for x in keys]
     distinct, which = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.zeros(len(distinct), dtype=np.int64)
-    np.add.at(total, which, np.concatenate([_numbers(e) for e in extras]))
+    total = np.bincount(which, np.concatenate([_numbers(e) for e in extras]), len(distinct)).astype(np.int64)
     return distinct, total, which, np.cumsum([len(p) for p in parts])[:-1]
 
 
-def _count(k: int, keys, extras) -> list[bytes]:
-    """The counts, and whether the chunk owns the n-gram, as the first one that has it."""
-    distinct, total, which, cuts = _merged(k, keys, extras)
+def _totals(k: int, distinct: np.ndarray, total: np.ndarray, n_buckets: int) -> dict:
+    if k == 1:
+        total = total[distinct != short(1, np.array([START]), n_buckets)]
+    found = {"tokens": total.sum(), "types": (total > 0).sum()}
+    return {str(x): int(n) for x, n in (found | {r: (total == r).sum() for r in range(1, TOP + 2)}).items()}
+
+
+def _count(k: int, keys, extras, n_buckets: int) -> tuple[list[bytes], bytes, bytes, dict]:
+    """Answers (the counts, and whether the chunk owns the n-gram, as the first one that has it), the model's keys and
+    counts, and totals."""
+    distinct, total, which, cuts = _merged(keys, extras)
     own = np.zeros(len(which), dtype=bool)
     own[np.unique(which, return_index=True)[1]] = True
     own &= (total >= CUT)[which]
-    return [_frame([_pack(total[w]), zlib.compress(exchange.pack_bits(o), 1)])
-            for w, o in zip(np.split(which, cuts), np.split(own, cuts), strict=True)]
-
-
-def _count_totals(k: int, keys, extras) -> dict:
-    distinct, total, *_ = _merged(k, keys, extras)
-    return _totals(k, distinct, total)
+    answers = [_frame([_pack(total[w]), zlib.compress(exchange.pack_bits(o), 1)])
+               for w, o in zip(np.split(which, cuts), np.split(own, cuts), strict=True)]
+    some = total >= CUT
+    return answers, pack_keys(distinct[some]), _pack(total[some]), _totals(k, distinct, total, n_buckets)
 
 
-def _totals(k: int, distinct: np.ndarray, total: np.ndarray) -> dict:
-    if k == 1:
-        total = total[distinct != START & np.uint64((1 << 8 * key_bytes(1)) - 1)]
-    found = {"tokens": total.sum(), "types": (total > 0).sum()}
-    return found | {r: (total == r).sum() for r in range(1, TOP + 2)}
-
-
-def _weigh(k: int, keys, extras) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct histories of a bucket and their weights."""
-    parts = [exchange.unpack(x, key_bytes(k - 1)) for x in keys]
+def _weigh(k: int, keys, extras, n_buckets: int) -> tuple[list[bytes], bytes, bytes, dict]:
+    """Answers (weights of the histories that a chunk needs), and the model's histories and weights."""
+    parts, frames = [unpack_keys(x) for x in keys], [_unframe(e) for e in extras]
     distinct, which = np.unique(np.concatenate(parts), return_inverse=True)
-    sums = np.zeros((2, len(distinct)))
-    at = 0
-    for part, extra in zip(parts, extras, strict=True):
-        some, values = _unframe(extra)
-        some = np.flatnonzero(exchange.unpack_bits(some, len(part)))
-        np.add.at(sums, (slice(None), which[at + some]), np.frombuffer(values, dtype=np.float64).reshape(2, -1))
-        at += len(part)
+    owned, needed = (np.concatenate([exchange.unpack_bits(zlib.decompress(f[i]), len(p)) for p, f in zip(parts, frames, strict=True)])
+                     for i in (0, 1))
+    sums = [np.bincount(which[owned], np.frombuffer(b"".join(zlib.decompress(f[i]) for f in frames), dtype=np.float64), len(distinct))
+            for i in (2, 3)]
     alpha = np.maximum(1 - sums[0], 0) / np.maximum(1 - sums[1], 1e-300)
-    return distinct, alpha, which, np.cumsum([len(p) for p in parts])[:-1]
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    answers = [alpha[w[n]].tobytes() for w, n in zip(np.split(which, cuts), np.split(needed, cuts), strict=True)]
+    some = alpha != 1.0
+    return answers, pack_keys(distinct[some]), alpha[some].tobytes(), {}
 
 
-def _weights(k: int, keys, extras) -> list[bytes]:
-    _, alpha, which, cuts = _weigh(k, keys, extras)
-    return [_pack_weights(alpha[w]) for w in np.split(which, cuts)]
-
-
-def _stored(kind: str, k: int, asked: DataFrame, n_buckets: int) -> DataFrame:
-    """The model's rows of one order: sorted keys and their counts or weights, by bucket."""
+def _answered(kind: str, k: int, asked: DataFrame, n_buckets: int, first: int) -> DataFrame:
+    """A round's answers, its part of the model (sorted keys and their counts or weights) and totals, by bucket."""
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
-        own = rows.filter(pc.invert(rows["note"]))
-        out = []
-        if own.num_rows:
-            keys, extras = own["keys"].to_pylist(), own["extra"].to_pylist()
-            if kind == "count":
-                distinct, value, *_ = _merged(k, keys, extras)
-                some = value >= CUT
-            else:
-                distinct, value, *_ = _weigh(k, keys, extras)
-                some = value != 1.0
-            out.append({"kind": kind, "order": k, "bucket": own["bucket"][0].as_py(), "n_buckets": n_buckets,
-                        "keys": exchange.pack(distinct[some], key_bytes(k if kind == "count" else k - 1)),
-                        "values": _pack(value[some]) if kind == "count" else _pack_weights(value[some])})
+        bucket, merge = rows["bucket"][0].as_py(), _count if kind == "count" else _weigh
+        answers, keys, values, totals = merge(k, rows["keys"].to_pylist(), rows["extra"].to_pylist(), n_buckets)
+        out = [{"kind": "answer", "bucket": bucket + first, "chunk": c, "payload": a}
+               for c, a in zip(rows["chunk"].to_pylist(), answers, strict=True)]
+        out.append({"kind": kind, "bucket": bucket, "n_buckets": n_buckets, "keys": keys, "values": values})
+        out.append({"kind": "total", "bucket": bucket, "payload": json.dumps(totals).encode()})
         return pa.Table.from_pylist(out, schema=pa.schema([
-            ("kind", pa.string()), ("order", pa.int32()), ("bucket", pa.int32()), ("n_buckets", pa.int32()),
-            ("keys", pa.binary()), ("values", pa.binary())]))
+            ("kind", pa.string()), ("bucket", pa.int32()), ("n_buckets", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()),
+            ("chunk", pa.int32()), ("payload", pa.binary())]))
 
-    return asked.groupBy("bucket").applyInArrow(run, MODEL)
+    return asked.groupBy("bucket").applyInArrow(run, ROUND)
 
 
 def _looked_up(asked: DataFrame, stored: DataFrame, kind: str, k: int, first: int) -> DataFrame:
     """Answers from a stored model, in the form in which training gives them."""
     def run(rows: pa.Table, model: pa.Table) -> pa.Table:
-        keys, size = model["keys"].to_pylist(), key_bytes(k if kind == "count" else k - 1)
-        known = exchange.unpack(keys[0], size) if keys else np.zeros(0, np.uint64)
-        kept = (_numbers if kind == "count" else _unpack_weights)(model["values"][0].as_py()) if keys else []
-        value = np.append(kept, 0 if kind == "count" else 1).astype(np.int64 if kind == "count" else np.float64)
+        counts = kind == "count"
+        known = unpack_keys(model["keys"][0].as_py()) if model.num_rows else np.zeros(0, np.uint64)
+        kept = model["values"][0].as_py() if model.num_rows else None
+        kept = np.zeros(0) if kept is None else _numbers(kept) if counts else np.frombuffer(kept, dtype=np.float64)
+        value = np.append(kept, 0 if counts else 1).astype(np.int64 if counts else np.float64)
         out = []
         for c, b, raw in zip(*(rows[n].to_pylist() for n in ("chunk", "bucket", "keys")), strict=True):
-            wanted = exchange.unpack(raw, size)
+            wanted = unpack_keys(raw)
             at = np.searchsorted(known, wanted)
             hit = at < len(known)
             hit[hit] = known[at[hit]] == wanted[hit]
             found = value[np.where(hit, at, len(known))]
             none = zlib.compress(exchange.pack_bits(np.zeros(len(wanted), bool)), 1)
-            payload = _frame([_pack(found), none]) if kind == "count" else _pack_weights(found)
+            payload = _frame([_pack(found), none]) if counts else found.tobytes()
             out.append({"chunk": c, "bucket": b + first, "note": False, "payload": payload})
         return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("note", pa.bool_()),
                                                            ("payload", pa.binary())]))
@@ -320,17 +343,76 @@ def _looked_up(asked: DataFrame, stored: DataFrame, kind: str, k: int, first: in
     return asked.groupBy("bucket").cogroup(part.groupBy("bucket")).applyInArrow(run, exchange.ANSWER)
 
 
-def _stored_totals(stored: DataFrame, k: int, n_chunks: int, place: int) -> DataFrame:
-    """What ``_count_totals`` says, from the stored counts of an order."""
+def _summed(rows: DataFrame) -> dict[str, int]:
+    """Totals over all buckets, from a JSON of each; the driver gets a number per name."""
+    parts = rows.select(F.explode(F.from_json(F.col("payload").cast("string"), "map<string,long>")).alias("name", "n"))
+    return {r["name"]: r["n"] for r in parts.groupBy("name").agg(F.sum("n").alias("n")).collect()}
+
+
+def _stored_totals(stored: DataFrame, k: int) -> dict[str, int]:
+    """The totals of a stored model's counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [json.dumps(_totals(k, unpack_keys(r["keys"]), _numbers(r["values"]), r["n_buckets"])).encode() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["payload"])
+
     part = stored.filter((F.col("kind") == "count") & (F.col("order") == k))
-    rows = part.select("bucket", F.lit(0).alias("chunk"), F.lit(False).alias("note"), "keys", F.col("values").alias("extra"))
-    return exchange.summed(rows, lambda keys, extras: _totals(k, exchange.unpack(keys[0], key_bytes(k)), _numbers(extras[0])), n_chunks, place)
+    return _summed(part.select("n_buckets", "keys", "values").mapInArrow(run, "payload binary"))
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """Jobs that write in here give their shuffles' disk back when they end; the session's setting is as before then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@dataclass
+class Rounds:
+    """Where the rounds of a training run write: the model at ``path``, answers beside it until ``clear``."""
+
+    spark: SparkSession
+    path: str
+    n: int = 0
+
+    def add(self, rows: DataFrame, kind: str, order: int) -> None:
+        """Scores or a part of the model, with all columns of the table."""
+        columns = [f for f in f"{SCORES}, {MODEL}".split(", ")]
+        have = [F.col(c.split()[0]) if c.split()[0] in rows.columns else F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in columns]
+        with _shuffles_freed(self.spark):
+            rows.select(*have, F.lit(kind).alias("kind"), F.lit(order).alias("order")).write.mode("append").partitionBy(
+                "kind", "order").parquet(self.path)
+
+    def done(self, rows: DataFrame, kind: str, order: int) -> tuple[DataFrame, dict[str, int]]:
+        """Run a round: its answers and totals."""
+        self.n += 1
+        path = f"{self.path}-round-{self.n}"
+        with _shuffles_freed(self.spark):
+            rows.write.partitionBy("kind").parquet(path)
+        found = self.spark.read.schema(ROUND).parquet(path)
+        part = found.filter(F.col("kind") == kind)
+        self.add(part, kind, order)
+        self.empty(f"{path}/kind={kind}")
+        return (found.filter("kind = 'answer'").select("chunk", "bucket", F.lit(False).alias("note"), "payload"),
+                _summed(found.filter("kind = 'total'")))
+
+    def empty(self, path: str) -> None:
+        self.spark.createDataFrame([], ROUND.partition(", ")[2]).write.mode("overwrite").parquet(path)
+
+    def clear(self) -> None:
+        for i in range(1, self.n + 1):
+            self.empty(f"{self.path}-round-{i}")
 
 
 def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order: int, sizes: exchange.Layout | None,
-          stored: DataFrame | None = None):
-    """Scores and the model's rows, as DataFrames of one plan that shares its shuffles. With a
-    stored model the same rounds look its tables up instead of adding up counts."""
+          stored: DataFrame | None = None, rounds: Rounds | None = None) -> DataFrame:
+    """Scores, after the rounds of a training run. With a stored model the same rounds look its
+    tables up instead of adding up counts, in one plan that shares its shuffles."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
     sizes = sizes or exchange.layout(rows, "text", CHUNK_BYTES)
@@ -340,7 +422,7 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
     def restore(table: pa.Table, back: exchange.Answers | None, done: list[tuple[str, int]]) -> Chunk:
         """The chunk with all that the rounds done so far have told it."""
         chunk = Chunk(Texts(table["text"].to_pylist(), lower=True), ~np.array(table["held_out"].to_pylist(), dtype=bool), order)
-        payloads, notes = iter(back.payloads if back else ()), iter(back.notes if back else ())
+        payloads = iter(back.payloads if back else ())
 
         def told(keys: np.ndarray) -> tuple[list[bytes], np.ndarray]:
             sent = np.diff(exchange.ranges(keys, n_buckets))
@@ -355,11 +437,12 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
                 chunk.counts[j] = np.concatenate([np.zeros(0, np.int64), *(_numbers(p[0]) for p in parts)])
                 chunk.own = np.concatenate([np.zeros(0, bool), *(exchange.unpack_bits(zlib.decompress(p[1]), n)
                                                                  for p, n in zip(parts, sent, strict=True))])
-                chunk.totals[j] = json.loads(next(notes))
-                chunk.parts[j] = first_order(chunk.totals[1]) if j == 1 else higher_order(chunk.totals[j])
+                chunk.totals[j] = totals[j]
+                chunk.parts[j] = first_order(totals[1]) if j == 1 else higher_order(totals[j])
             else:
-                blobs, _ = told(chunk.keys[j - 1][chunk.histories(j - 1)])
-                chunk.alphas[j] = np.concatenate([np.zeros(0), *map(_unpack_weights, blobs)])
+                sent, chunk.needed[j] = chunk.sent_histories(j)
+                blobs, _ = told(chunk.keys[j - 1][sent])
+                chunk.alphas[j] = np.concatenate([np.zeros(0), *(np.frombuffer(b, dtype=np.float64) for b in blobs)])
         return chunk
 
     def counting(k: int, done: list):
@@ -367,26 +450,23 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
             chunk = restore(table, back, done)
             chunk.add_order(k)
             counts = chunk.own_counts(k)
-            to.send(chunk.keys[k], key_bytes(k), lambda p: _pack(counts[p]))
+            to.send(chunk.keys[k], lambda keys: pack_keys(short(k, keys, n_buckets)), lambda p: _pack(counts[p]))
 
         return make
 
     def weighing(k: int, done: list):
         def make(table, back, to: exchange.Requests) -> None:
             chunk = restore(table, back, done)
-            mine = chunk.own & (chunk.counts[k] >= CUT)
-            place = np.zeros(len(mine), dtype=np.int64)
-            place[chunk.index[k][chunk.at[k]]] = chunk.at[k]  # any place of the n-gram
-            place = place[mine]
+            place, size = chunk.last_words(k), len(chunk.keys[k - 1])
             history = chunk.index[k - 1][place]
-            upper = chunk.parts[k].times(chunk.counts[k][mine]) / (chunk.counts[k - 1][history] + 1)
+            upper = chunk.parts[k].times(chunk.known(k)[place]) / (chunk.counts[k - 1][history] + 1)
             lower = chunk.probabilities(k - 1)[place + k - 1]
-            size = len(chunk.keys[k - 1])
-            sums = np.stack([np.bincount(history, v, minlength=size) for v in (upper, lower)])
-            some = chunk.histories(k - 1)
-            sums, filled = sums[:, some], (sums[0] > 0)[some]
-            to.send(chunk.keys[k - 1][some], key_bytes(k - 1),
-                    lambda p: _frame([exchange.pack_bits(filled[p]), np.ascontiguousarray(sums[:, p][:, filled[p]]).tobytes()]))
+            sums = [np.bincount(history, v, minlength=size) for v in (upper, lower)]
+            sent, needed = chunk.sent_histories(k)
+            filled, sums, needed = (sums[0] > 0)[sent], [x[sent] for x in sums], needed[sent]
+            to.send(chunk.keys[k - 1][sent], lambda keys: pack_keys(short(k - 1, keys, n_buckets)),
+                    lambda p: _frame([zlib.compress(x, 1) for x in (exchange.pack_bits(filled[p]), exchange.pack_bits(needed[p]),
+                                                                    *(x[p][filled[p]].tobytes() for x in sums))]))
 
         return make
 
@@ -409,20 +489,17 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
             "score": pa.array(add(np.where(token, np.log10(p), 0.0)), pa.float64()),
         })
 
-    model, back, done = [], None, []
+    back, done, totals = None, [], {}
 
     def learn(asked: DataFrame, kind: str, k: int) -> DataFrame:
         """The round's answers, after those of the rounds before."""
         first = len(done) * n_buckets
-        if stored is not None:
-            new = _looked_up(asked, stored, kind, k, first)
+        if stored is None:
+            new, found = rounds.done(_answered(kind, k, asked, n_buckets, first), kind, k)
         else:
-            model.append(_stored(kind, k, asked, n_buckets))
-            new = exchange.answer(asked, lambda a, b: (_count if kind == "count" else _weights)(k, a, b), first)
+            new, found = _looked_up(asked, stored, kind, k, first), _stored_totals(stored, k) if kind == "count" else {}
         if kind == "count":
-            place = k - 1 - order  # negative: totals come first, in the order of the orders
-            new = new.union(_stored_totals(stored, k, sizes.n_chunks, place) if stored is not None else exchange.summed(
-                asked, lambda a, b: _count_totals(k, a, b), sizes.n_chunks, place))
+            totals[k] = found
         done.append((kind, k))
         return new if back is None else back.union(new)
 
@@ -430,7 +507,7 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
         back = learn(exchange.requests(chunks, sort, n_buckets, counting(k, list(done)), back, compressed=True), "count", k)
         if k > 1:
             back = learn(exchange.requests(chunks, sort, n_buckets, weighing(k, list(done)), back, compressed=True), "weight", k)
-    return exchange.finish(chunks, back, sort, scored, SCORES, compressed=True), model
+    return exchange.finish(chunks, back, sort, scored, SCORES, compressed=True)
 
 
 def train_and_score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -445,13 +522,11 @@ def train_and_score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id"
         raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     path = path or f"{ensure_checkpoint_dir(spark)}/katz-{uuid.uuid4().hex}"
-    scores, model = _plan(docs, held_out, id_col, text_col, order, sizes)
-    whole = scores.withColumn("kind", F.lit("score")).withColumn("order", F.lit(order))
-    for rows in model:
-        whole = whole.unionByName(rows, allowMissingColumns=True)
-    schema = whole.schema
-    whole.write.partitionBy("kind", "order").parquet(path)
-    return spark.read.schema(schema).parquet(path).filter("kind = 'score'").select(*scores.columns)
+    rounds = Rounds(spark, path)
+    rounds.add(_plan(docs, held_out, id_col, text_col, order, sizes, rounds=rounds), "score", order)
+    rounds.clear()
+    names = [c.split()[0] for c in SCORES.split(", ")]
+    return spark.read.schema(f"{SCORES}, {MODEL}, kind string, order int").parquet(path).filter("kind = 'score'").select(*names)
 
 
 def score(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -461,7 +536,7 @@ def score(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     if made["order"] is None:
         raise ValueError(f"no model at {path}")
     sizes = exchange.Layout(exchange.layout(docs, text_col, CHUNK_BYTES).n_chunks, made["n"])
-    return _plan(docs, F.lit(True), id_col, text_col, made["order"], sizes, stored)[0]
+    return _plan(docs, F.lit(True), id_col, text_col, made["order"], sizes, stored)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from llm_helpers import make_docs, noisy_texts, with_clashes, words
 from pyspark.sql import functions as F
@@ -116,3 +117,21 @@ def test_what_was_seen_once_is_in_the_model(spark, tmp_path):
         assert score[i] == pytest.approx(sum(math.log10(model.p(tuple(q[max(0, j - 2):j + 1]))) for j in range(1, len(q))), abs=1e-6)
     stored = spark.read.parquet(f"{tmp_path}/model")
     assert {r.order for r in stored.filter("kind = 'count'").select("order").collect()} == {1, 2, 3}
+
+
+def test_keys_travel_as_steps_of_their_sorted_order():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 2 ** 64), (1, 2 ** 64), (2, 2 ** 64), (5000, 2 ** 53), (5000, 3000)):
+        keys = np.sort(rng.integers(0, top, n, dtype=np.uint64))
+        assert (katz.unpack_keys(katz.pack_keys(keys)) == keys).all()
+    keys = np.sort(rng.integers(0, 2 ** 53, 50_000, dtype=np.uint64))
+    assert len(katz.pack_keys(keys)) < 5.5 * len(keys)
+
+
+def test_rounds_leave_no_answers_and_no_setting_behind(spark, tmp_path):
+    name, docs = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", make_docs(spark, noisy_texts(3))
+    before = spark.conf.get(name)
+    katz.train_and_score(docs, F.col("doc_id") % 3 == 1, path=f"{tmp_path}/model", sizes=exchange.Layout(2, 3)).collect()
+    assert spark.conf.get(name) == before
+    rounds = sorted(tmp_path.glob("model-round-*"))
+    assert rounds and all(spark.read.parquet(str(r)).count() == 0 for r in rounds)
