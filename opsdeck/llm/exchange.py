@@ -112,12 +112,14 @@ class Requests:
     n_buckets: int
     rows: list[dict] = field(default_factory=list)
 
-    def send(self, keys: np.ndarray, n_bytes: int | Callable[[np.ndarray], bytes], extra: Callable[[slice], bytes] | None = None) -> None:
-        """Sorted keys, by bucket, with what ``extra`` gives for each range of them; ``n_bytes`` of a key, or what packs them."""
+    def send(self, keys: np.ndarray, n_bytes: int | Callable[[np.ndarray], bytes], extra: Callable[[slice], bytes] | None = None,
+             first: int = 0) -> None:
+        """Sorted keys, by bucket, with what ``extra`` gives for each range of them; ``n_bytes`` of a key, or what packs them.
+        ``first`` is added to the buckets' numbers."""
         at = ranges(keys, self.n_buckets)
         for b in np.flatnonzero(at[1:] > at[:-1]):
             part = slice(at[b], at[b + 1])
-            self.rows.append({"bucket": int(b), "chunk": self.chunk, "note": False, "keys": n_bytes(keys[part]) if callable(n_bytes) else pack(keys[part], n_bytes),
+            self.rows.append({"bucket": int(b) + first, "chunk": self.chunk, "note": False, "keys": n_bytes(keys[part]) if callable(n_bytes) else pack(keys[part], n_bytes),
                               "extra": extra(part) if extra else None})
 
     def remember(self, blob: bytes) -> None:

@@ -16,8 +16,9 @@ recursively from the longest history down.
 
 Every order is two rounds of packed keys (``opsdeck.llm.exchange``): all chunks send their
 distinct n-grams with training counts and get the corpus counts back; then the one chunk that a
-bucket names as the owner of an n-gram adds its two terms to its history's sums, and a chunk gets
-the weights of those histories that it backs off from (training texts never do). An n-gram is
+bucket names as the owner of an n-gram sends the numbers that make its terms of its history's sums,
+and a chunk gets the weights of those histories that it backs off from (training texts never do;
+so counting needs no weights, and the weights of order 2 go with the counts of order 3). An n-gram is
 sent only if both n-grams one shorter are in the model (else it can't be). Counts and weights are
 stored, packed by key range, in a table partitioned by kind and order next to the scores.
 
@@ -37,7 +38,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import InitVar, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -148,7 +149,7 @@ class Chunk:
     (``keys[k]``, sorted), or is -1 if it can't be in the model.
     """
 
-    texts: Texts
+    texts: InitVar[Texts]
     train: np.ndarray
     order: int
     index: dict[int, np.ndarray] = field(default_factory=dict)
@@ -160,30 +161,30 @@ class Chunk:
     parts: dict[int, Discounted] = field(default_factory=dict)
     totals: dict[int, dict] = field(default_factory=dict)
 
-    def __post_init__(self):
-        words = self.texts
-        n = len(words.n_words)
-        self.size = words.n_words + 2
+    def __post_init__(self, texts: Texts):
+        n = len(texts.n_words)
+        self.size = texts.n_words + 2
         self.first = np.concatenate(([0], np.cumsum(self.size)))
-        self.doc = np.repeat(np.arange(n), self.size)
+        self.small = np.int32 if self.first[-1] < 2 ** 31 else np.int64
+        self.doc = np.repeat(np.arange(n, dtype=self.small), self.size)
         self.sequence = np.empty(self.first[-1], dtype=np.uint64)
-        self.sequence[np.arange(len(words.hashes)) + 2 * words.doc + 1] = words.hashes
+        self.sequence[np.arange(len(texts.hashes)) + 2 * texts.doc + 1] = texts.hashes
         self.sequence[self.first[:-1]] = START
         self.sequence[self.first[1:] - 1] = END
-        self.left = self.first[1:][self.doc] - np.arange(len(self.doc))
+        self.left = np.repeat(self.first[1:].astype(self.small), self.size) - np.arange(len(self.doc), dtype=self.small)
         self.trained = self.train[self.doc]
 
     def add_order(self, k: int) -> None:
         """Number the k-grams; counts of the order below must be known."""
         if k == 1:
-            at, hashes = np.arange(len(self.sequence)), self.sequence
+            at, hashes = np.arange(len(self.sequence), dtype=self.small), self.sequence
         else:
             below, count = self.index[k - 1], self.counts[k - 1]
             good = (below >= 0) & (np.append(count, 0)[below] >= CUT)
-            at = np.flatnonzero((self.left[:-1] >= k) & good[:-1] & good[1:])
+            at = np.flatnonzero((self.left[:-1] >= k) & good[:-1] & good[1:]).astype(self.small)
             hashes = window_hashes(self.sequence, at, k) if len(at) else np.zeros(0, np.uint64)
         self.keys[k], which = np.unique(hashes, return_inverse=True)
-        self.index[k] = np.full(len(self.sequence), -1, dtype=np.int64)
+        self.index[k] = np.full(len(self.sequence), -1, dtype=self.small)
         self.index[k][at] = which
         self.at[k] = at
 
@@ -203,16 +204,16 @@ class Chunk:
         out[self.index[k - 1][at]] = True
         return out
 
-    def last_words(self, k: int) -> np.ndarray:
+    def owned(self, k: int) -> np.ndarray:
         """A place of each k-gram that the chunk owns."""
-        place = np.zeros(len(self.own), dtype=np.int64)
+        place = np.zeros(len(self.own), dtype=self.small)
         place[self.index[k][self.at[k]]] = self.at[k]
         return place[self.own & (self.counts[k] >= CUT)]
 
     def sent_histories(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Which (k-1)-grams the chunk owns n-grams of, or needs the weights of; and the latter."""
         needed, out = self.backed_off(k), np.zeros(len(self.keys[k - 1]), dtype=bool)
-        out[self.index[k - 1][self.last_words(k)]] = True
+        out[self.index[k - 1][self.owned(k)]] = True
         return out | needed, needed
 
     def probabilities(self, order: int) -> np.ndarray:
@@ -247,6 +248,20 @@ def _numbers(blob: bytes) -> np.ndarray:
     return counts
 
 
+def _pack_bytes(numbers: np.ndarray) -> bytes:
+    """Numbers of 0 and more, byte by byte."""
+    size = (int(numbers.max(initial=0)).bit_length() + 7) // 8
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T
+    return len(numbers).to_bytes(8, "little") + _frame([zlib.compress(np.ascontiguousarray(x).tobytes(), 1) for x in planes])
+
+
+def _unpack_bytes(blob: bytes) -> np.ndarray:
+    out = np.zeros((int.from_bytes(blob[:8], "little"), 8), dtype=np.uint8)
+    for i, x in enumerate(_unframe(blob[8:])):
+        out[:, i] = np.frombuffer(zlib.decompress(x), dtype=np.uint8)
+    return out.view("<i8").ravel()
+
+
 def _frame(blobs: list[bytes]) -> bytes:
     return np.array([len(blobs), *map(len, blobs)], dtype=np.int64).tobytes() + b"".join(blobs)
 
@@ -273,7 +288,7 @@ def _totals(k: int, distinct: np.ndarray, total: np.ndarray, n_buckets: int) ->
     return {str(x): int(n) for x, n in (found | {r: (total == r).sum() for r in range(1, TOP + 2)}).items()}
 
 
-def _count(k: int, keys, extras, n_buckets: int) -> tuple[list[bytes], bytes, bytes, dict]:
+def _count(k: int, keys, extras, n_buckets: int, parts: dict[int, Discounted]) -> tuple[list[bytes], bytes, bytes, dict]:
     """Answers (the counts, and whether the chunk owns the n-gram, as the first one that has it), the model's keys and
     counts, and totals."""
     distinct, total, which, cuts = _merged(keys, extras)
@@ -286,30 +301,36 @@ def _count(k: int, keys, extras, n_buckets: int) -> tuple[list[bytes], bytes, by
     return answers, pack_keys(distinct[some]), _pack(total[some]), _totals(k, distinct, total, n_buckets)
 
 
-def _weigh(k: int, keys, extras, n_buckets: int) -> tuple[list[bytes], bytes, bytes, dict]:
+def _weigh(k: int, keys, extras, n_buckets: int, parts: dict[int, Discounted]) -> tuple[list[bytes], bytes, bytes, dict]:
     """Answers (weights of the histories that a chunk needs), and the model's histories and weights."""
-    parts, frames = [unpack_keys(x) for x in keys], [_unframe(e) for e in extras]
-    distinct, which = np.unique(np.concatenate(parts), return_inverse=True)
-    owned, needed = (np.concatenate([exchange.unpack_bits(zlib.decompress(f[i]), len(p)) for p, f in zip(parts, frames, strict=True)])
-                     for i in (0, 1))
-    sums = [np.bincount(which[owned], np.frombuffer(b"".join(zlib.decompress(f[i]) for f in frames), dtype=np.float64), len(distinct))
-            for i in (2, 3)]
+    sent, frames = [unpack_keys(x) for x in keys], [_unframe(e) for e in extras]
+    distinct, which = np.unique(np.concatenate(sent), return_inverse=True)
+    needed = np.concatenate([exchange.unpack_bits(zlib.decompress(f[0]), len(p)) for p, f in zip(sent, frames, strict=True)])
+    followers, times, *terms = (np.concatenate([_unpack_bytes(f[i]) for f in frames]) for i in range(1, len(frames[0])))
+    upper = parts[k].times(terms[0]) / (np.repeat(times, followers) + 1)
+    lower = parts[k - 1].times(terms[1])
+    lower = lower * parts[1].scale if k == 2 else lower / (terms[2] + 1)
+    history = np.repeat(which, followers)
+    sums = [np.bincount(history, x, len(distinct)) for x in (upper, lower)]
     alpha = np.maximum(1 - sums[0], 0) / np.maximum(1 - sums[1], 1e-300)
-    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    cuts = np.cumsum([len(p) for p in sent])[:-1]
     answers = [alpha[w[n]].tobytes() for w, n in zip(np.split(which, cuts), np.split(needed, cuts), strict=True)]
     some = alpha != 1.0
     return answers, pack_keys(distinct[some]), alpha[some].tobytes(), {}
 
 
-def _answered(kind: str, k: int, asked: DataFrame, n_buckets: int, first: int) -> DataFrame:
-    """A round's answers, its part of the model (sorted keys and their counts or weights) and totals, by bucket."""
+def _answered(tasks: list[tuple[str, int]], asked: DataFrame, n_buckets: int, first: int, parts: dict[int, Discounted]) -> DataFrame:
+    """A round's answers, its parts of the model (sorted keys and their counts or weights) and totals, by bucket; each
+    task of the round has ``n_buckets`` of its own."""
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
-        bucket, merge = rows["bucket"][0].as_py(), _count if kind == "count" else _weigh
-        answers, keys, values, totals = merge(k, rows["keys"].to_pylist(), rows["extra"].to_pylist(), n_buckets)
+        bucket = rows["bucket"][0].as_py()
+        kind, k = tasks[bucket // n_buckets]
+        answers, keys, values, totals = (_count if kind == "count" else _weigh)(
+            k, rows["keys"].to_pylist(), rows["extra"].to_pylist(), n_buckets, parts)
         out = [{"kind": "answer", "bucket": bucket + first, "chunk": c, "payload": a}
                for c, a in zip(rows["chunk"].to_pylist(), answers, strict=True)]
-        out.append({"kind": kind, "bucket": bucket, "n_buckets": n_buckets, "keys": keys, "values": values})
+        out.append({"kind": kind, "bucket": bucket % n_buckets, "n_buckets": n_buckets, "keys": keys, "values": values})
         out.append({"kind": "total", "bucket": bucket, "payload": json.dumps(totals).encode()})
         return pa.Table.from_pylist(out, schema=pa.schema([
             ("kind", pa.string()), ("bucket", pa.int32()), ("n_buckets", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()),
@@ -388,16 +409,16 @@ class Rounds:
             rows.select(*have, F.lit(kind).alias("kind"), F.lit(order).alias("order")).write.mode("append").partitionBy(
                 "kind", "order").parquet(self.path)
 
-    def done(self, rows: DataFrame, kind: str, order: int) -> tuple[DataFrame, dict[str, int]]:
-        """Run a round: its answers and totals."""
+    def done(self, rows: DataFrame, tasks: list[tuple[str, int]]) -> tuple[DataFrame, dict[str, int]]:
+        """Run a round: its answers and the totals of what it counted."""
         self.n += 1
         path = f"{self.path}-round-{self.n}"
         with _shuffles_freed(self.spark):
             rows.write.partitionBy("kind").parquet(path)
         found = self.spark.read.schema(ROUND).parquet(path)
-        part = found.filter(F.col("kind") == kind)
-        self.add(part, kind, order)
-        self.empty(f"{path}/kind={kind}")
+        for kind, order in tasks:
+            self.add(found.filter(F.col("kind") == kind), kind, order)
+            self.empty(f"{path}/kind={kind}")
         return (found.filter("kind = 'answer'").select("chunk", "bucket", F.lit(False).alias("note"), "payload"),
                 _summed(found.filter("kind = 'total'")))
 
@@ -438,35 +459,36 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
                 chunk.own = np.concatenate([np.zeros(0, bool), *(exchange.unpack_bits(zlib.decompress(p[1]), n)
                                                                  for p, n in zip(parts, sent, strict=True))])
                 chunk.totals[j] = totals[j]
-                chunk.parts[j] = first_order(totals[1]) if j == 1 else higher_order(totals[j])
+                chunk.parts[j] = known[j]
             else:
                 sent, chunk.needed[j] = chunk.sent_histories(j)
                 blobs, _ = told(chunk.keys[j - 1][sent])
                 chunk.alphas[j] = np.concatenate([np.zeros(0), *(np.frombuffer(b, dtype=np.float64) for b in blobs)])
         return chunk
 
-    def counting(k: int, done: list):
+    def count(k: int, chunk: Chunk, to: exchange.Requests, first: int) -> None:
+        chunk.add_order(k)
+        counts = chunk.own_counts(k)
+        to.send(chunk.keys[k], lambda keys: pack_keys(short(k, keys, n_buckets)), lambda p: _pack(counts[p]), first)
+
+    def weigh(k: int, chunk: Chunk, to: exchange.Requests, first: int) -> None:
+        place, size = chunk.owned(k), len(chunk.keys[k - 1])
+        history = chunk.index[k - 1][place]
+        place = place[np.argsort(history, kind="stable")]
+        sent, needed = chunk.sent_histories(k)
+        followers, needed, times = np.bincount(history, minlength=size)[sent], needed[sent], chunk.counts[k - 1][sent]
+        cuts = np.concatenate(([0], np.cumsum(followers)))
+        # of the n-gram, of what is left without its first word, and (for the latter's probability) of its history
+        terms = [chunk.known(k)[place], chunk.known(k - 1)[place + 1], *([chunk.known(k - 2)[place + 1]] if k > 2 else [])]
+        to.send(chunk.keys[k - 1][sent], lambda keys: pack_keys(short(k - 1, keys, n_buckets)),
+                lambda p: _frame([zlib.compress(exchange.pack_bits(needed[p]), 1), _pack_bytes(followers[p]), _pack_bytes(times[p]),
+                                  *(_pack_bytes(x[cuts[p.start]:cuts[p.stop]]) for x in terms)]), first)
+
+    def asking(tasks: list[tuple[str, int]], told: list[tuple[str, int]]):
         def make(table, back, to: exchange.Requests) -> None:
-            chunk = restore(table, back, done)
-            chunk.add_order(k)
-            counts = chunk.own_counts(k)
-            to.send(chunk.keys[k], lambda keys: pack_keys(short(k, keys, n_buckets)), lambda p: _pack(counts[p]))
-
-        return make
-
-    def weighing(k: int, done: list):
-        def make(table, back, to: exchange.Requests) -> None:
-            chunk = restore(table, back, done)
-            place, size = chunk.last_words(k), len(chunk.keys[k - 1])
-            history = chunk.index[k - 1][place]
-            upper = chunk.parts[k].times(chunk.known(k)[place]) / (chunk.counts[k - 1][history] + 1)
-            lower = chunk.probabilities(k - 1)[place + k - 1]
-            sums = [np.bincount(history, v, minlength=size) for v in (upper, lower)]
-            sent, needed = chunk.sent_histories(k)
-            filled, sums, needed = (sums[0] > 0)[sent], [x[sent] for x in sums], needed[sent]
-            to.send(chunk.keys[k - 1][sent], lambda keys: pack_keys(short(k - 1, keys, n_buckets)),
-                    lambda p: _frame([zlib.compress(x, 1) for x in (exchange.pack_bits(filled[p]), exchange.pack_bits(needed[p]),
-                                                                    *(x[p][filled[p]].tobytes() for x in sums))]))
+            chunk = restore(table, back, told)
+            for i, (kind, k) in enumerate(tasks):
+                (count if kind == "count" else weigh)(k, chunk, to, i * n_buckets)
 
         return make
 
@@ -489,25 +511,39 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
             "score": pa.array(add(np.where(token, np.log10(p), 0.0)), pa.float64()),
         })
 
-    back, done, totals = None, [], {}
+    back, done, totals, known = [], [], {}, {}
+
+    def union(kinds: tuple[str, ...]) -> DataFrame | None:
+        out = None
+        for (kind, _), rows in zip(done, back, strict=True):
+            if kind in kinds:
+                out = rows if out is None else out.union(rows)
+        return out
 
-    def learn(asked: DataFrame, kind: str, k: int) -> DataFrame:
-        """The round's answers, after those of the rounds before."""
+    def learn(tasks: list[tuple[str, int]]) -> None:
+        """A round: what it asks, and the answers; they are put in the order of the tasks."""
         first = len(done) * n_buckets
+        asked = exchange.requests(chunks, sort, n_buckets, asking(tasks, [d for d in done if d[0] == "count"]), union(("count",)), compressed=True)
         if stored is None:
-            new, found = rounds.done(_answered(kind, k, asked, n_buckets, first), kind, k)
+            new, found = rounds.done(_answered(tasks, asked, n_buckets, first, dict(known)), tasks)
         else:
+            (kind, k), = tasks
             new, found = _looked_up(asked, stored, kind, k, first), _stored_totals(stored, k) if kind == "count" else {}
-        if kind == "count":
-            totals[k] = found
-        done.append((kind, k))
-        return new if back is None else back.union(new)
-
-    for k in range(1, order + 1):
-        back = learn(exchange.requests(chunks, sort, n_buckets, counting(k, list(done)), back, compressed=True), "count", k)
-        if k > 1:
-            back = learn(exchange.requests(chunks, sort, n_buckets, weighing(k, list(done)), back, compressed=True), "weight", k)
-    return exchange.finish(chunks, back, sort, scored, SCORES, compressed=True)
+        for i, (kind, k) in enumerate(tasks):
+            if kind == "count":
+                totals[k] = found
+                known[k] = first_order(found) if k == 1 else higher_order(found)
+            done.append((kind, k))
+            begin = first + i * n_buckets
+            back.append(new.filter((F.col("bucket") >= begin) & (F.col("bucket") < begin + n_buckets)) if len(tasks) > 1 else new)
+
+    if stored is None:
+        passes = [[("count", 1)], [("count", 2)], *([("weight", k - 1), ("count", k)] for k in range(3, order + 1)), [("weight", order)]]
+    else:
+        passes = [[("count", 1)], *([x] for k in range(2, order + 1) for x in (("count", k), ("weight", k)))]
+    for tasks in passes:
+        learn(tasks)
+    return exchange.finish(chunks, union(("count", "weight")), sort, scored, SCORES, compressed=True)
 
 
 def train_and_score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
