@@ -22,8 +22,9 @@ so counting needs no weights, and the weights of order 2 go with the counts of o
 sent only if both n-grams one shorter are in the model (else it can't be). Counts and weights are
 stored, packed by key range, in a table partitioned by kind and order next to the scores.
 
-Every round is a job of its own, which frees its shuffles when it ends; the answers wait in a
-table of the shared checkpoint folder, emptied at the end. So disk holds one round at a time.
+A round is a job that asks and ``PARTS`` that answer, each for a part of the buckets; what a job
+shuffled is freed when it ends, and what was asked when it is answered. Between them, questions
+and answers wait in tables of the shared checkpoint folder. So disk holds one round at a time.
 
 Defined results: a null or empty text is one end token; rows with a null id belong to the
 training part; without training rows all tokens are unknown with base and model probability 1
@@ -35,8 +36,7 @@ from __future__ import annotations
 
 import json
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import InitVar, dataclass, field
 
@@ -54,6 +54,7 @@ ORDER = 3
 CUT = 1  # smallest count of an n-gram of the model
 #: Larger chunks than elsewhere share more n-grams, so fewer keys travel.
 CHUNK_BYTES = 8 << 20
+PARTS = 4  # in which a round is answered
 TOP = 5  # largest count that is discounted
 START, END = np.uint64(0x6C62272E07BB0142), np.uint64(0x62B821756295C58D)
 MODEL = "bucket int, n_buckets int, keys binary, values binary"
@@ -77,7 +78,7 @@ def pack_keys(keys: np.ndarray) -> bytes:
     steps = np.diff(keys)
     size = (int(steps.max(initial=0)).bit_length() + 7) // 8
     planes = [np.ascontiguousarray(x).tobytes() for x in steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T]
-    return _frame([keys[:1].tobytes(), *planes[:-2], *(zlib.compress(x, 1) for x in planes[-2:])])
+    return _frame([keys[:1].tobytes(), *planes[:-2], *(_squeezed(x) for x in planes[-2:])])
 
 
 def unpack_keys(blob: bytes) -> np.ndarray:
@@ -85,7 +86,7 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     first = np.frombuffer(first, dtype=np.uint64)
     if not planes:
         return first
-    planes = [*planes[:-2], *map(zlib.decompress, planes[-2:])]
+    planes = [*planes[:-2], *map(_whole, planes[-2:])]
     steps = np.zeros((len(planes[0]) + 1, 8), dtype=np.uint8)
     for i, x in enumerate(planes):
         steps[1:, i] = np.frombuffer(x, dtype=np.uint8)
@@ -238,11 +239,11 @@ class Chunk:
 def _pack(counts: np.ndarray) -> bytes:
     """Counts, nearly all of them small, in little space."""
     large = counts[counts >= 255].astype(np.int64)
-    return _frame([zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1), zlib.compress(large.tobytes(), 1)])
+    return _frame([_squeezed(np.minimum(counts, 255).astype(np.uint8).tobytes()), _squeezed(large.tobytes())])
 
 
 def _numbers(blob: bytes) -> np.ndarray:
-    small, large = map(zlib.decompress, _unframe(blob))
+    small, large = map(_whole, _unframe(blob))
     counts = np.frombuffer(small, dtype=np.uint8).astype(np.int64)
     counts[counts == 255] = np.frombuffer(large, dtype=np.int64)
     return counts
@@ -252,16 +253,24 @@ def _pack_bytes(numbers: np.ndarray) -> bytes:
     """Numbers of 0 and more, byte by byte."""
     size = (int(numbers.max(initial=0)).bit_length() + 7) // 8
     planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T
-    return len(numbers).to_bytes(8, "little") + _frame([zlib.compress(np.ascontiguousarray(x).tobytes(), 1) for x in planes])
+    return len(numbers).to_bytes(8, "little") + _frame([_squeezed(np.ascontiguousarray(x).tobytes()) for x in planes])
 
 
 def _unpack_bytes(blob: bytes) -> np.ndarray:
     out = np.zeros((int.from_bytes(blob[:8], "little"), 8), dtype=np.uint8)
     for i, x in enumerate(_unframe(blob[8:])):
-        out[:, i] = np.frombuffer(zlib.decompress(x), dtype=np.uint8)
+        out[:, i] = np.frombuffer(_whole(x), dtype=np.uint8)
     return out.view("<i8").ravel()
 
 
+def _squeezed(blob: bytes) -> bytes:
+    return len(blob).to_bytes(4, "little") + pa.compress(blob, codec="zstd", asbytes=True) if blob else b""
+
+
+def _whole(blob: bytes) -> bytes:
+    return pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True) if blob else b""
+
+
 def _frame(blobs: list[bytes]) -> bytes:
     return np.array([len(blobs), *map(len, blobs)], dtype=np.int64).tobytes() + b"".join(blobs)
 
@@ -295,7 +304,7 @@ def _count(k: int, keys, extras, n_buckets: int, parts: dict[int, Discounted]) -
     own = np.zeros(len(which), dtype=bool)
     own[np.unique(which, return_index=True)[1]] = True
     own &= (total >= CUT)[which]
-    answers = [_frame([_pack(total[w]), zlib.compress(exchange.pack_bits(o), 1)])
+    answers = [_frame([_pack(total[w]), _squeezed(exchange.pack_bits(o))])
                for w, o in zip(np.split(which, cuts), np.split(own, cuts), strict=True)]
     some = total >= CUT
     return answers, pack_keys(distinct[some]), _pack(total[some]), _totals(k, distinct, total, n_buckets)
@@ -305,7 +314,7 @@ def _weigh(k: int, keys, extras, n_buckets: int, parts: dict[int, Discounted]) -
     """Answers (weights of the histories that a chunk needs), and the model's histories and weights."""
     sent, frames = [unpack_keys(x) for x in keys], [_unframe(e) for e in extras]
     distinct, which = np.unique(np.concatenate(sent), return_inverse=True)
-    needed = np.concatenate([exchange.unpack_bits(zlib.decompress(f[0]), len(p)) for p, f in zip(sent, frames, strict=True)])
+    needed = np.concatenate([exchange.unpack_bits(_whole(f[0]), len(p)) for p, f in zip(sent, frames, strict=True)])
     followers, times, *terms = (np.concatenate([_unpack_bytes(f[i]) for f in frames]) for i in range(1, len(frames[0])))
     upper = parts[k].times(terms[0]) / (np.repeat(times, followers) + 1)
     lower = parts[k - 1].times(terms[1])
@@ -354,7 +363,7 @@ def _looked_up(asked: DataFrame, stored: DataFrame, kind: str, k: int, first: in
             hit = at < len(known)
             hit[hit] = known[at[hit]] == wanted[hit]
             found = value[np.where(hit, at, len(known))]
-            none = zlib.compress(exchange.pack_bits(np.zeros(len(wanted), bool)), 1)
+            none = _squeezed(exchange.pack_bits(np.zeros(len(wanted), bool)))
             payload = _frame([_pack(found), none]) if counts else found.tobytes()
             out.append({"chunk": c, "bucket": b + first, "note": False, "payload": payload})
         return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("note", pa.bool_()),
@@ -409,12 +418,17 @@ class Rounds:
             rows.select(*have, F.lit(kind).alias("kind"), F.lit(order).alias("order")).write.mode("append").partitionBy(
                 "kind", "order").parquet(self.path)
 
-    def done(self, rows: DataFrame, tasks: list[tuple[str, int]]) -> tuple[DataFrame, dict[str, int]]:
+    def done(self, asked: DataFrame, answered: Callable[[DataFrame], DataFrame], tasks: list[tuple[str, int]],
+             n_buckets: int) -> tuple[DataFrame, dict[str, int]]:
         """Run a round: its answers and the totals of what it counted."""
         self.n += 1
-        path = f"{self.path}-round-{self.n}"
+        path, parts = f"{self.path}-round-{self.n}", min(PARTS, n_buckets)
         with _shuffles_freed(self.spark):
-            rows.write.partitionBy("kind").parquet(path)
+            asked.withColumn("part", F.col("bucket") % parts).write.partitionBy("part").parquet(f"{path}-asked")
+            for i in range(parts):
+                rows = self.spark.read.schema(f"{exchange.REQUEST}, part int").parquet(f"{path}-asked").filter(F.col("part") == i)
+                answered(rows.drop("part")).write.mode("append").partitionBy("kind").parquet(path)
+                self.empty(f"{path}-asked/part={i}")
         found = self.spark.read.schema(ROUND).parquet(path)
         for kind, order in tasks:
             self.add(found.filter(F.col("kind") == kind), kind, order)
@@ -456,7 +470,7 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
                 blobs, sent = told(chunk.keys[j])
                 parts = [_unframe(p) for p in blobs]
                 chunk.counts[j] = np.concatenate([np.zeros(0, np.int64), *(_numbers(p[0]) for p in parts)])
-                chunk.own = np.concatenate([np.zeros(0, bool), *(exchange.unpack_bits(zlib.decompress(p[1]), n)
+                chunk.own = np.concatenate([np.zeros(0, bool), *(exchange.unpack_bits(_whole(p[1]), n)
                                                                  for p, n in zip(parts, sent, strict=True))])
                 chunk.totals[j] = totals[j]
                 chunk.parts[j] = known[j]
@@ -481,7 +495,7 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
         # of the n-gram, of what is left without its first word, and (for the latter's probability) of its history
         terms = [chunk.known(k)[place], chunk.known(k - 1)[place + 1], *([chunk.known(k - 2)[place + 1]] if k > 2 else [])]
         to.send(chunk.keys[k - 1][sent], lambda keys: pack_keys(short(k - 1, keys, n_buckets)),
-                lambda p: _frame([zlib.compress(exchange.pack_bits(needed[p]), 1), _pack_bytes(followers[p]), _pack_bytes(times[p]),
+                lambda p: _frame([_squeezed(exchange.pack_bits(needed[p])), _pack_bytes(followers[p]), _pack_bytes(times[p]),
                                   *(_pack_bytes(x[cuts[p.start]:cuts[p.stop]]) for x in terms)]), first)
 
     def asking(tasks: list[tuple[str, int]], told: list[tuple[str, int]]):
@@ -525,7 +539,8 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
         first = len(done) * n_buckets
         asked = exchange.requests(chunks, sort, n_buckets, asking(tasks, [d for d in done if d[0] == "count"]), union(("count",)), compressed=True)
         if stored is None:
-            new, found = rounds.done(_answered(tasks, asked, n_buckets, first, dict(known)), tasks)
+            parts = dict(known)
+            new, found = rounds.done(asked, lambda rows: _answered(tasks, rows, n_buckets, first, parts), tasks, n_buckets)
         else:
             (kind, k), = tasks
             new, found = _looked_up(asked, stored, kind, k, first), _stored_totals(stored, k) if kind == "count" else {}

@@ -134,4 +134,4 @@ def test_rounds_leave_no_answers_and_no_setting_behind(spark, tmp_path):
     katz.train_and_score(docs, F.col("doc_id") % 3 == 1, path=f"{tmp_path}/model", sizes=exchange.Layout(2, 3)).collect()
     assert spark.conf.get(name) == before
     rounds = sorted(tmp_path.glob("model-round-*"))
-    assert rounds and all(spark.read.parquet(str(r)).count() == 0 for r in rounds)
+    assert len(rounds) == 8 and all(spark.read.parquet(str(r)).count() == 0 for r in rounds)
