@@ -58,7 +58,8 @@ def connected(links: DataFrame) -> DataFrame:
 
     ``links`` has two columns of one type. Each round hangs every node's larger neighbours,
     then all its smaller ones, below the smallest; it ends when nothing changes. The driver
-    sees a count and a checksum per round.
+    sees a count and a checksum per round. A round's rows are as many as links and their nodes:
+    only nodes with a large share of all links are repeated in its joins.
     """
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
@@ -68,12 +69,13 @@ def connected(links: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        before = now
+        before, n = now, now[0]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        larger = salted_join(both, least, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = larger.groupBy("u").agg(F.min("v").alias("m"))
-        joined = salted_join(larger, least, "u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        larger = spread_join(both, least, "u", "v", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        larger = written(larger, "larger")  # read twice, computed once; a row per link
+        least = larger.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = spread_join(larger, least, "u", "v", n)
         smaller = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                                   F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(smaller.filter("u <> v").distinct(), "links")

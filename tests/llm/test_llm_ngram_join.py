@@ -102,6 +102,17 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_repeat_hot_nodes_only(spark, monkeypatch):
+    links = [(0, k) for k in range(1, 2001)] + [(3 * k, 3 * k + 1) for k in range(1000, 2000)] + [(3 * k + 1, 3 * k + 2) for k in range(1000, 2000)]
+    df, repeated = spark.createDataFrame(links, "a long, b long"), []
+    hint = type(df).hint
+    monkeypatch.setattr(type(df), "hint", lambda self, name: repeated.append(self.count()) or hint(self, name))
+    got = {r.node: r.label for r in connected(df).collect()}
+    assert got == {k: 0 for k in range(2001)} | {k: k // 3 * 3 for k in range(3000, 6000)}
+    # a row per node, 16 for the node with half of all links
+    assert len(repeated) >= 2 and max(repeated) == 5001 + 15
+
+
 def test_probes_meet_a_place_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
     texts = noisy_texts(6, n=80, vocabulary=9, longest=30)
