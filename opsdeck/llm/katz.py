@@ -142,6 +142,28 @@ def higher_order(totals: dict) -> Discounted:
     return Discounted(discounts({r: totals.get(str(r), 0) for r in range(1, TOP + 2)}))
 
 
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, and which one each is; by a hash table, so that only the distinct ones are sorted."""
+    coded = pa.array(hashes).dictionary_encode()
+    keys = coded.dictionary.to_numpy()
+    order = np.argsort(keys)
+    place = np.empty(len(keys), dtype=np.int32)
+    place[order] = np.arange(len(keys), dtype=np.int32)
+    return keys[order], place[coded.indices.to_numpy()]
+
+
+def first_places(which: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the numbers below ``n`` comes first, without a sort; all of them occur."""
+    out = np.empty(n, dtype=np.int64)
+    out[which[::-1]] = np.arange(len(which) - 1, -1, -1)  # the last one written stays
+    return out
+
+
+def grouped(numbers: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers: numbers and places are sorted as one, which is faster."""
+    return np.sort(numbers.astype(np.int64) << 32 | np.arange(len(numbers))) & 0xFFFFFFFF
+
+
 @dataclass
 class Chunk:
     """The texts of a chunk as one sequence: start, words, end of each, and its n-grams.
@@ -178,13 +200,14 @@ class Chunk:
     def add_order(self, k: int) -> None:
         """Number the k-grams; counts of the order below must be known."""
         if k == 1:
-            at, hashes = np.arange(len(self.sequence), dtype=self.small), self.sequence
+            at = np.arange(len(self.sequence), dtype=self.small)
+            self.keys[k], which = numbered(self.sequence)
         else:
             below, count = self.index[k - 1], self.counts[k - 1]
             good = (below >= 0) & (np.append(count, 0)[below] >= CUT)
             at = np.flatnonzero((self.left[:-1] >= k) & good[:-1] & good[1:]).astype(self.small)
             hashes = window_hashes(self.sequence, at, k) if len(at) else np.zeros(0, np.uint64)
-        self.keys[k], which = np.unique(hashes, return_inverse=True)
+            self.keys[k], which = np.unique(hashes, return_inverse=True)
         self.index[k] = np.full(len(self.sequence), -1, dtype=self.small)
         self.index[k][at] = which
         self.at[k] = at
@@ -200,7 +223,9 @@ class Chunk:
     def backed_off(self, k: int) -> np.ndarray:
         """Which of the distinct (k-1)-grams are in the model and followed, somewhere in the chunk, by what never followed
         them in training: whose weights it needs."""
-        at = np.flatnonzero((self.left >= k) & (self.known(k - 1) >= CUT) & (self.known(k) < CUT))
+        at = np.flatnonzero(~self.trained & (self.left >= k))
+        history, gram = self.index[k - 1][at], self.index[k][at]
+        at = at[(np.append(self.counts[k - 1], 0)[history] >= CUT) & (np.append(self.counts[k], 0)[gram] < CUT)]
         out = np.zeros(len(self.keys[k - 1]), dtype=bool)
         out[self.index[k - 1][at]] = True
         return out
@@ -211,24 +236,23 @@ class Chunk:
         place[self.index[k][self.at[k]]] = self.at[k]
         return place[self.own & (self.counts[k] >= CUT)]
 
-    def sent_histories(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sent_histories(self, k: int, owned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Which (k-1)-grams the chunk owns n-grams of, or needs the weights of; and the latter."""
         needed, out = self.backed_off(k), np.zeros(len(self.keys[k - 1]), dtype=bool)
-        out[self.index[k - 1][self.owned(k)]] = True
+        out[self.index[k - 1][self.owned(k) if owned is None else owned]] = True
         return out | needed, needed
 
     def probabilities(self, order: int) -> np.ndarray:
         """P of the token at each place by histories of up to order - 1 tokens (starts: 1)."""
-        c = self.known(1)
-        p = np.where(c > 0, self.parts[1].times(c) * self.parts[1].scale, self.parts[1].unseen)
+        c = self.counts[1]  # of words: worked out once for each
+        p = np.where(c > 0, self.parts[1].times(c) * self.parts[1].scale, self.parts[1].unseen)[self.index[1]]
         for k in range(2, order + 1):
             history, c, gram = self.index[k - 1], self.known(k - 1), self.known(k)
             weight = np.ones(len(self.keys[k - 1]) + 1)  # of training texts, too: they never back off
             weight[:-1][self.needed[k]] = self.alphas[k]
             back = weight[history]
             # from the n-gram's begin to its last token
-            to = np.arange(k - 1, len(p))
-            begin = to - (k - 1)
+            begin, to = slice(max(0, len(p) - (k - 1))), slice(k - 1, None)
             whole = self.left[begin] >= k
             seen = self.parts[k].times(gram[begin]) / (c[begin] + 1)
             better = np.where(gram[begin] >= CUT, seen, back[begin] * p[to])
@@ -302,7 +326,7 @@ def _count(k: int, keys, extras, n_buckets: int, parts: dict[int, Discounted]) -
     counts, and totals."""
     distinct, total, which, cuts = _merged(keys, extras)
     own = np.zeros(len(which), dtype=bool)
-    own[np.unique(which, return_index=True)[1]] = True
+    own[first_places(which, len(distinct))] = True
     own &= (total >= CUT)[which]
     answers = [_frame([_pack(total[w]), _squeezed(exchange.pack_bits(o))])
                for w, o in zip(np.split(which, cuts), np.split(own, cuts), strict=True)]
@@ -488,8 +512,8 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
     def weigh(k: int, chunk: Chunk, to: exchange.Requests, first: int) -> None:
         place, size = chunk.owned(k), len(chunk.keys[k - 1])
         history = chunk.index[k - 1][place]
-        place = place[np.argsort(history, kind="stable")]
-        sent, needed = chunk.sent_histories(k)
+        sent, needed = chunk.sent_histories(k, place)
+        place = place[grouped(history)]
         followers, needed, times = np.bincount(history, minlength=size)[sent], needed[sent], chunk.counts[k - 1][sent]
         cuts = np.concatenate(([0], np.cumsum(followers)))
         # of the n-gram, of what is left without its first word, and (for the latter's probability) of its history
@@ -513,7 +537,7 @@ def _plan(docs: DataFrame, held_out: Column, id_col: str, text_col: str, order:
         token = np.ones(len(p), dtype=bool)
         token[chunk.first[:-1]] = False
         c = chunk.known(1)
-        base = np.where(token, np.log10((c + 1) / (n + types + 1)), 0.0)
+        base = np.where(token, np.log10((chunk.counts[1] + 1) / (n + types + 1))[chunk.index[1]], 0.0)
         docs_n = table.num_rows
         add = lambda v: np.bincount(chunk.doc, v, minlength=docs_n)
         return pa.table({

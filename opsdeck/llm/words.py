@@ -15,6 +15,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)          # odd, = 1 mod 4 is avoided on purpo
 _WORD_P = np.uint64(0xD1B54A32D192ED03)     # multiplier of bytes in a word (3 mod 4)
 WINDOW_P = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))  # of words in a window
 _BLOCK = 1 << 18
+_PIECE = 1 << 17  # bytes split at once, so that their 64-bit numbers stay in a core's cache
 _SHORT = 8  # windows of up to so many words are added up word by word, without tables of powers
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -61,15 +62,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _block_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = _IS_SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts = edge[~space[edge]] if len(edge) else edge
-    ends = edge[space[edge]] if len(edge) else edge
-    if len(buf) and not space[0]:
+    inside = int(len(buf) > 0 and not space[0])  # then the first edge ends a word; starts and ends alternate
+    starts, ends = edge[inside::2], edge[1 - inside::2]
+    if inside:
         starts = np.concatenate(([0], starts))
     if len(buf) and not space[-1]:
         ends = np.concatenate((ends, [len(buf)]))
     up, down = powers(_WORD_P, len(buf))
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
+    part = total[1:]  # worked on in place
+    part[:] = buf
+    part += np.uint64(1)
+    part *= up[: len(buf)]
+    np.cumsum(part, out=part)
     h = (total[ends] - total[starts]) * down[starts]
     return starts, ends, mix(h + (ends - starts).astype(np.uint64) * _P)
 
@@ -77,14 +82,14 @@ def _block_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def split_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of a byte array, worked off in blocks that end
     at white space (a longer word makes a longer block)."""
-    if len(buf) <= _BLOCK:
+    if len(buf) <= _PIECE:
         return _block_words(buf)
     cuts, at = [0], 0
     while at < len(buf):
-        to = min(at + _BLOCK, len(buf))
+        to = min(at + _PIECE, len(buf))
         while to < len(buf) and not _IS_SPACE[buf[to]]:
-            step = np.flatnonzero(_IS_SPACE[buf[to:to + _BLOCK]])
-            to = to + int(step[0]) if len(step) else min(to + _BLOCK, len(buf))
+            step = np.flatnonzero(_IS_SPACE[buf[to:to + _PIECE]])
+            to = to + int(step[0]) if len(step) else min(to + _PIECE, len(buf))
         cuts.append(to)
         at = to
     parts = [_block_words(buf[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]

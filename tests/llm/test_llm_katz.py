@@ -135,3 +135,14 @@ def test_rounds_leave_no_answers_and_no_setting_behind(spark, tmp_path):
     assert spark.conf.get(name) == before
     rounds = sorted(tmp_path.glob("model-round-*"))
     assert len(rounds) == 8 and all(spark.read.parquet(str(r)).count() == 0 for r in rounds)
+
+
+def test_numbers_places_and_orders_without_sorts_of_all_rows():
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 5), (1, 5), (3000, 40), (3000, 2 ** 63)):
+        hashes = rng.integers(0, top, n, dtype=np.uint64)
+        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        got, numbers = katz.numbered(hashes)
+        assert (got == keys).all() and got.dtype == keys.dtype and (numbers == which).all()
+        assert (katz.first_places(which, len(keys)) == first).all()
+        assert (katz.grouped(which.astype(np.int32)) == np.argsort(which, kind="stable")).all()
